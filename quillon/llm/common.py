@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word, wherever a contract speaks of words.
@@ -38,6 +39,17 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:
+    """(id, y, text) of at most ``per_class`` labelled documents a class, lowest
+    hash of the id first. Null labels and null texts do not count; of repeated
+    labels the highest holds. The sample is chosen from ids alone, within tasks
+    before rows are dealt out, and only its bounded list of ids is broadcast."""
+    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    rank = W.partitionBy("y").orderBy(F.xxhash64("id", F.lit(label)), "id")
+    some = marks.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_class).select("id", "y")
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).filter("text IS NOT NULL").join(F.broadcast(some), "id").select("id", "y", "text")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null and empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -49,6 +61,7 @@ def n_words(text: Column) -> Column:
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = _rng.integers(1, 2**63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +88,9 @@ def _power(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[1], np.full(max(n, 256), _BASE)]).astype(np.uint64))
+            _powers = np.full(max(n, 256), _BASE, np.uint64)
+            _powers[0] = 1
+            _powers = np.cumprod(_powers, dtype=np.uint64)
     return _powers
 
 
@@ -108,15 +123,16 @@ def word_spans(data: np.ndarray, at: np.ndarray, kind: np.ndarray = PLAIN) -> tu
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, blind to the case of A-Z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans, blind to the case of A-Z unless ``exact``;
+    spans are not empty."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
     first = np.cumsum(lens) - lens
     place = np.arange(lens.sum()) - np.repeat(first, lens)
     with np.errstate(over="ignore"):
-        value = _BYTE[data[place + np.repeat(starts, lens)]] * _power(int(lens.max()))[place]
+        value = (_EXACT if exact else _BYTE)[data[place + np.repeat(starts, lens)]] * _power(int(lens.max()))[place]
         return mix(np.add.reduceat(value, first) + lens.astype(np.uint64))
 
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pii
+from . import chat, extract, jaccard, langid, mixing, pii, quality, sptokens, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_pii": pii.op2_pii,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_sentencepiece": sptokens.op4_sentencepiece,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_html_extract": extract.op6_html_extract,
+    "op7_top_k": topk.op7_top_k,
+    "op8_quality": quality.op8_quality,
+    "op9_langid": langid.op9_langid,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op3_chat_format": chat.ORACLE,
+    "op5_jaccard_join": jaccard.ORACLE,
+    "op7_top_k": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
