@@ -5,14 +5,16 @@ Jaccard similarity is at least :data:`PERCENT` per cent. The result is one row
 per document with its component and links, never a list of all pairs.
 
 * Equal sets are one class, named by a hash of the set; only classes are joined.
-* Prefix index: in a global order of shingles, similar sets share one of their
-  first n - ceil(t n) + 1. Frequent shingles come last in the order, so common
-  passages leave the prefixes. Each prefix entry holds its position and the
-  set's size: a common entry at positions i, j bounds the overlap by
-  min(n - i, m - j), and entries beyond that bound are skipped.
+* Prefix index: in a global order of shingles, similar sets share at least l of
+  their first n - ceil(t n) + l, for any l; here l is 1 + n / :data:`MORE` of the
+  smaller set. Frequent shingles come last in the order, so common passages leave
+  the prefixes, and a passage that is no more than a part of both sets does not
+  make l common entries. Each entry holds its position and the set's size: the
+  first common entry at i, j bounds the overlap by min(n - i, m - j), and pairs
+  below what the similarity needs are skipped.
 * Index-level skipping: the entries of a shingle lie together in one list, and
-  each list is led by a pivot. Step one verifies every member against its pivot
-  only: a list of k members gives k - 1 pairs, not all of them.
+  each list is led by a pivot. Step one verifies every set against the one pivot
+  that it meets most often: k members give k - 1 pairs, not all of them.
 * Answer-level skipping: a member that is linked to its pivot shares the pivot's
   component, so pairs inside a component need no verification. What remains are
   pairs across components. They are asked of the pivots first; Jaccard distance
@@ -51,7 +53,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, mix, parts, stored, table, windows, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
-LOCAL, HEAVY = 3, 1 << 18
+LOCAL, HEAVY = 2, 1 << 21
+#: A set of n has 1 + n // MORE entries more than the shortest prefix.
+MORE = 25
 #: Members of a heavy list that are kept together.
 PART = 20_000
 
@@ -155,7 +159,7 @@ def _index(k: int, percent: int, order, at: int):
                 met.add(name)
                 rank, count = order.value.of(s)
                 n = len(s)
-                reach = n - int(_least(n, percent)) + 1
+                reach = min(n, n - int(_least(n, percent)) + 1 + n // MORE)
                 first = np.lexsort((s, rank))[:reach] if rank.any() else np.arange(reach)
                 split = count[first] // PART + 1
                 out[0].append(s[first].view(np.int64))
@@ -212,20 +216,28 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [c[-1] for c in (shingle, part, set_, n, pos, *pivot)] + [alone]
 
 
-def _members(k: int, at: int, wanted):
-    """Whole sets of the texts whose set is wanted, as far as a filter of fixed size can tell."""
+def _slots(ids: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _members(k: int, wanted):
+    """Whole sets of the texts whose id is wanted, as far as a filter of fixed size can tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         bits = wanted.value
         for batch in batches:
+            ids = batch.column(0)
+            known = ~np.asarray(ids.is_null())
+            ok = bits[_slots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(bits))] | ~known
+            texts = batch.column(1).filter(pa.array(ok))
             names, each = [], []
-            for s in sets(batch.column(at), k):
+            for s in sets(texts, k):
                 if not len(s):
                     continue
                 name = name_of(s)
-                slot = name & (len(bits) * 8 - 1)
-                if not bits[slot >> 3] >> (slot & 7) & 1 or name in met:
+                if name in met:
                     continue
                 if len(met) >= 1 << 20:
                     met.clear()
@@ -259,21 +271,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _bits(names: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2 MB) over set names."""
-    size = 1 << 24
-    out = np.zeros(size >> 3, np.uint8)
-    slots = names.select(F.col("set").bitwiseAND(F.lit(size - 1)).alias("x"))
-    words = slots.groupBy(F.floor(F.col("x") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 32 as int))")).alias("v"))
-    got = words.toArrow()
-    view = out.view(np.uint32)
-    view[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint32)
-    return out
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size (16 million flags) over the column ``id``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << 24, bool)
+        for batch in batches:
+            flags[_slots(batch.column(0).to_numpy(), len(flags))] = True
+        packed = np.packbits(flags).reshape(-1, 1 << 13)
+        used = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << 8, 1 << 13), np.uint8)
+    few = ids.filter("id IS NOT NULL").coalesce(64)  # so that no more than 64 filters come back
+    for r in few.mapInArrow(run, "block long, bits binary").toLocalIterator():
+        out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, set (the class), component_id, n_links (of the class, to
-    classes verified) for every row of the table."""
+    """id, n_shingles, set (the class), component_id, n_links for every row of the
+    table. Links inside a component are verified as far as they are needed to know
+    it; n_links counts those."""
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     survey = stored(rows.mapInArrow(_survey(k, 0, 1), "kind int, id long, a long, b long"), "kind")
@@ -286,16 +305,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     dealt = entries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shingle", "part").sortWithinPartitions("shingle", "part", "set")
     lists = stored(dealt.mapInArrow(_lists, "shingle long, part int, set long, n int, pos int, p long, pn int, ppos int"))
 
-    # the whole sets of all classes that share a list
-    wanted = spark.sparkContext.broadcast(_bits(lists.select("set").distinct()))
-    whole = stored(rows.select("text").mapInArrow(_members(k, 0, wanted), "set long, s array<long>").dropDuplicates(["set"]))
-
     enough = lambda o, n, m: (100 + percent) * o >= percent * (n + m)
     fits = lambda n, m: (100 * n >= percent * m) & (100 * m >= percent * n)
-    left = lambda n, i: n - i
+    needed = lambda n, m: 1 + F.floor(F.least(n, m) / MORE)
+    first_id = owners.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b with their exact overlap and sizes."""
+        """a, b with their exact overlap and sizes; only sets in pairs are fetched."""
+        asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        wanted = spark.sparkContext.broadcast(_bits(asked.join(first_id, "set").select("id")))
+        whole = stored(rows.mapInArrow(_members(k, wanted), "set long, s array<long>").join(asked, "set", "left_semi").dropDuplicates(["set"]))
         one = whole.select(F.col("set").alias("a"), F.col("s").alias("sa"))
         two = whole.select(F.col("set").alias("b"), F.col("s").alias("sb"))
         got = pairs.join(one, "a").join(two, "b")
@@ -303,9 +322,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
     distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
 
-    # step one: members against their pivots
-    led = lists.filter((F.col("set") != F.col("p")) & fits(F.col("n"), F.col("pn")) & enough(F.least(left(F.col("n"), F.col("pos")), left(F.col("pn"), F.col("ppos"))), F.col("n"), F.col("pn")))
-    first = stored(verified(led.select(F.col("set").alias("a"), F.col("p").alias("b")).distinct()).filter(enough(F.col("o"), F.col("na"), F.col("nb"))).withColumn("d", distance))
+    # step one: every set against the pivot that leads most of its lists
+    led = lists.filter((F.col("set") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy(F.col("set").alias("a"), F.col("p").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+    led = led.filter(2 * F.col("c") >= needed(F.col("n"), F.col("pn"))).groupBy("a").agg(F.max(F.struct("c", "b")).alias("most")).select("a", F.col("most.b").alias("b"))
+    first = stored(verified(stored(led)).filter(enough(F.col("o"), F.col("na"), F.col("nb"))).withColumn("d", distance))
     comps = stored(components(first))
 
     # each class with its component and the pivot that knows it best
@@ -318,15 +338,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     # step two: pivots against pivots of other components, with the best that their members could reach
     asked = open_.groupBy("shingle", "comp", "rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("d").alias("far"))
     x, y = asked.alias("x"), asked.alias("y")
-    met = x.join(
-        y,
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & (100 * F.col("x.hi") >= percent * F.col("y.lo"))
-        & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
-        & enough(F.least("x.rest", "y.rest"), F.col("x.lo"), F.col("y.lo")),
-    ).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.max("x.far").alias("fa"), F.max("y.far").alias("fb"))
+    met = (
+        x.join(
+            y,
+            (F.col("x.shingle") == F.col("y.shingle"))
+            & (F.col("x.rep") < F.col("y.rep"))
+            & (F.col("x.comp") != F.col("y.comp"))
+            & (100 * F.col("x.hi") >= percent * F.col("y.lo"))
+            & (100 * F.col("y.hi") >= percent * F.col("x.lo")),
+        )
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .agg(F.max("x.far").alias("fa"), F.max("y.far").alias("fb"), F.count(F.lit(1)).alias("c"), F.min("x.lo").alias("n"), F.min("y.lo").alias("m"), F.max(F.least("x.rest", "y.rest")).alias("rest"))
+        .filter((F.col("c") >= needed(F.col("n"), F.col("m"))) & enough(F.col("rest"), F.col("n"), F.col("m")))
+        .select("a", "b", "fa", "fb")
+    )
     asked_pairs = stored(met)
     second = stored(verified(asked_pairs.select("a", "b")).withColumn("d", distance).join(asked_pairs, ["a", "b"]))
 
@@ -337,10 +362,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     mine = u.join(near, F.col("u.rep") == F.col("a")).select("shingle", F.col("set").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("d").alias("d1"), F.col("comp").alias("c1"), "b", "between")
     third_pairs = (
         mine.join(v.withColumnRenamed("rep", "b"), ["shingle", "b"])
-        .filter((F.col("c1") != F.col("comp")) & (F.col("between") - F.col("d1") - F.col("d") <= limit) & (F.col("d1") + F.col("d") > 0) & fits(F.col("n1"), F.col("n")) & enough(F.least(F.col("n1") - F.col("i1"), F.col("n") - F.col("pos")), F.col("n1"), F.col("n")))
-        .select(F.col("s1").alias("a"), F.col("set").alias("b"))
-        .distinct()
+        .filter((F.col("c1") != F.col("comp")) & (F.col("between") - F.col("d1") - F.col("d") <= limit) & (F.col("d1") + F.col("d") > 0) & fits(F.col("n1"), F.col("n")))
+        .groupBy(F.col("s1").alias("a"), F.col("set").alias("b"))
+        .agg(F.count(F.lit(1)).alias("c"), F.first("n1").alias("n"), F.first("n").alias("m"), F.max(F.least(F.col("n1") - F.col("i1"), F.col("n") - F.col("pos"))).alias("rest"))
+        .filter((F.col("c") >= needed(F.col("n"), F.col("m"))) & enough(F.col("rest"), F.col("n"), F.col("m")))
+        .select("a", "b")
     )
+    third_pairs = stored(third_pairs)
     third = stored(verified(third_pairs).filter(enough(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b"))
     across = second.filter(enough(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b").union(third)
 
