@@ -33,9 +33,7 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     there, so a lost executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    if partition_by:
-        return spark.read.option("basePath", path).parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by))
     return spark.read.schema(df.schema).parquet(path)
 
 

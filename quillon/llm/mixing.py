@@ -92,7 +92,7 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     copies = (
         placed.filter("size > 0")
         .withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(most)])))
-        .withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target"))
+        .withColumn("finish", F.try_divide((F.col("copy") * F.col("source_size") + F.col("upto")).cast("double"), F.col("target")))
         .withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(4 * ranges)))
     )
     spent = copies.groupBy("range").agg(F.sum("size").alias("_words"))
@@ -112,7 +112,7 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     )
     # within a source finish times rise with the order, so the last one taken at the edge says all
     last = goal.join(edge, "src", "left").select("src", F.col("_last"))
-    finish = [(F.lit(i) * F.col("source_size") + F.col("upto")).cast("double") / F.col("target") for i in range(most)]
+    finish = [F.try_divide((F.lit(i) * F.col("source_size") + F.col("upto")).cast("double"), F.col("target")) for i in range(most)]
     takes = [F.when((F.col("size") > 0) & ((F.floor(f * ranges) < cut["range"]) | (f <= F.col("_last"))), 1).otherwise(0) for f in finish]
     result = placed.join(last, "src").withColumn("copies", sum(takes[1:], takes[0]))
     return result.select("key", "src", "h", "size", "source_size", "target", "copies")
