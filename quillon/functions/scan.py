@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,m:string>>"
-BIG = 2**31 - 1
+BIG = 2**30
 #: The line ends that Python's ``splitlines`` knows.
 LINE_END = "\r\n|[\n\x0b\f\r\x1c-\x1e\x85  ]"
 

@@ -156,7 +156,7 @@ def check(refs: DataFrame, registry: DataFrame, title_threshold: float = TITLE)
 
 # -- free-text entries -----------------------------------------------------------
 
-DOI = r"10\.\d{4,9}/[^\s\"<>]+"
+DOI = r"(?U)\b10\.\d{4,9}/\S+"
 
 
 def entry_doi(entry: Column) -> Column:

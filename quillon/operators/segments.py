@@ -47,9 +47,8 @@ def split_manuscript(df: DataFrame, text: str = "text") -> DataFrame:
 def entries(section: Column) -> Column:
     """The entries of a reference list: cut at leading numbers where three or more
     lines have them, else at blank lines, else at line ends; short ones go."""
-    mark = rf"(?mdU)^\s*+(?={_MARK})"
-    by_mark = F.split(section, mark, -1)
-    by_mark = F.slice(by_mark, 2, BIG)
+    mark = rf"(?mdU)^\s*+({_MARK})"
+    by_mark = F.slice(F.split(F.regexp_replace(F.translate(section, "\x01", " "), mark, "\x01$1"), "\x01", -1), 2, BIG)
     by_gap = F.split(section, r"(?U)\n\s*\n", -1)
     parts = F.when(F.size(by_mark) >= 3, by_mark).when(F.size(by_gap) >= 3, by_gap).otherwise(F.split(section, "\n", -1))
     clean = F.transform(parts, lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, r"(?U)\s+", " ")), rf"(?U)^{_MARK}", ""))
