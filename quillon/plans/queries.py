@@ -313,7 +313,11 @@ def typo_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(spark, sf_dir, wording.check_typography, "degree-glyph")
 
 
-@query("editorial_phrases", _planted(5, 2, ("banned-phrase", "this work", "the present work / the present assessment", "warning"), ("compute->calculate", "compute", "calculate", "warning")))
+# Some documents have a licence line that begins with this phrase too.
+_THIS = "(?i)(?:^|[^\\pL\\pN_])(this work)(?:[^\\pL\\pN_]|$)"
+
+
+@query("editorial_phrases", f"WITH {PARTS}, t AS (SELECT doc_id, unnest(regexp_extract_all(prose, '{_THIS}', 1)) AS token FROM parts) SELECT doc_id, 'banned-phrase' AS kind, token, 'the present work / the present assessment' AS suggestion, 'warning' AS severity FROM t UNION ALL " + _planted(5, 2, ("compute->calculate", "compute", "calculate", "warning")))
 def editorial_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(spark, sf_dir, wording.check_editorial, "banned-phrase", "compute->calculate")
 
