@@ -85,7 +85,8 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         .select("src", "slot", "offset", "source_size", "target")
     )
     within = W.partitionBy("src", "slot").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = stored(rows.join(offsets, ["src", "slot"]).withColumn("upto", F.col("offset") + F.sum("size").over(within)).drop("slot", "offset"))
+    offsets = stored(offsets)
+    placed = stored(rows.join(offsets, ["src", "slot"]).withColumn("upto", F.col("offset") + F.sum("size").over(within)).drop("offset"))
 
     budget = F.sum("target")
     total = goal.agg(budget).first()[0] or 0.0
@@ -111,10 +112,11 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         .agg(F.max("finish").alias("_last"))
     )
     # within a source finish times rise with the order, so the last one taken at the edge says all
-    last = goal.join(edge, "src", "left").select("src", F.col("_last"))
+    # it meets the rows by source and slot, for a source alone can be hot
+    last = offsets.join(edge, "src", "left").select("src", "slot", F.col("_last"))
     finish = [F.try_divide((F.lit(i) * F.col("source_size") + F.col("upto")).cast("double"), F.col("target")) for i in range(most)]
     takes = [F.when((F.col("size") > 0) & ((F.floor(f * ranges) < cut["range"]) | (f <= F.col("_last"))), 1).otherwise(0) for f in finish]
-    result = placed.join(last, "src").withColumn("copies", sum(takes[1:], takes[0]))
+    result = placed.join(last, ["src", "slot"]).withColumn("copies", sum(takes[1:], takes[0]))
     return result.select("key", "src", "h", "size", "source_size", "target", "copies")
 
 
