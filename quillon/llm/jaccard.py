@@ -13,8 +13,9 @@ per document with its component and links, never a list of all pairs.
   first common entry at i, j bounds the overlap by min(n - i, m - j), and pairs
   below what the similarity needs are skipped.
 * Index-level skipping: the entries of a shingle lie together in one list, and
-  each list is led by a pivot. Step one verifies every set against the one pivot
-  that it meets most often: k members give k - 1 pairs, not all of them.
+  each list is led by a pivot, the most central of its sets. Step one verifies
+  every set against the one pivot that it meets most often: k members give k - 1
+  pairs, not all of them.
 * Answer-level skipping: a member that is linked to its pivot shares the pivot's
   component, so pairs inside a component need no verification. What remains are
   pairs across components. They are asked of the pivots first; Jaccard distance
@@ -251,24 +252,57 @@ def _members(k: int, wanted):
     return run
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task -> every node with the smallest node that those links reach."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while up[top] != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(x, x)
+            up.setdefault(y, y)
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for i in range(0, len(nodes), 1 << 16):
+        part = nodes[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+
+
+#: Links that a task contracts by itself.
+LINKS = 1 << 20
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of all nodes with a link; comp is the smallest node that is
-    reachable. Alternating star contraction: each round links every node's larger
-    neighbours to its smallest one; tables only, and no list of neighbours."""
+    reachable. Tasks first contract the links that they hold, about LINKS each;
+    where those are several tasks, rounds of alternating star contraction between
+    them link every node's larger neighbours to its smallest one until nothing
+    changes. Tables only, and no list of neighbours."""
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
+        tasks = edges.count() // LINKS + 1
+        edges = stored(edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long"))
+        if tasks == 1:
+            return edges.toDF("node", "comp")
+        both = edges.filter("u <> v").union(edges.filter("u <> v").select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        new = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = stored(new)
+        edges = stored(large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
-            break
+            return edges.toDF("node", "comp").union(edges.select("v", "v").distinct())
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -303,7 +337,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
     entries = rows.select("text").mapInArrow(_index(k, percent, order, 0), "shingle long, part int, set long, n int, pos int")
     dealt = entries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shingle", "part").sortWithinPartitions("shingle", "part", "set")
-    lists = stored(dealt.mapInArrow(_lists, "shingle long, part int, set long, n int, pos int, p long, pn int, ppos int"))
+    lists = stored(dealt.mapInArrow(_lists, "shingle long, part int, set long, n int, pos int, p long, pn int, ppos int").select("shingle", "set", "n", "pos"))
 
     enough = lambda o, n, m: (100 + percent) * o >= percent * (n + m)
     fits = lambda n, m: (100 * n >= percent * m) & (100 * m >= percent * n)
@@ -314,7 +348,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
         """a, b with their exact overlap and sizes; only sets in pairs are fetched."""
         asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
         wanted = spark.sparkContext.broadcast(_bits(asked.join(first_id, "set").select("id")))
-        whole = stored(rows.mapInArrow(_members(k, wanted), "set long, s array<long>").join(asked, "set", "left_semi").dropDuplicates(["set"]))
+        whole = stored(rows.mapInArrow(_members(k, wanted), "set long, s array<long>").dropDuplicates(["set"]))
         one = whole.select(F.col("set").alias("a"), F.col("s").alias("sa"))
         two = whole.select(F.col("set").alias("b"), F.col("s").alias("sb"))
         got = pairs.join(one, "a").join(two, "b")
@@ -322,8 +356,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
     distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
 
-    # step one: every set against the pivot that leads most of its lists
-    led = lists.filter((F.col("set") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy(F.col("set").alias("a"), F.col("p").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+    # step one: every set against the one central set that leads most of its lists.
+    # Central is what shares most of its prefix: an original, rather than its copies,
+    # which have shingles of their own
+    central = lists.groupBy("set").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("n") - F.ceil(F.first("n") * percent / 100) + 1 + F.floor(F.first("n") / MORE))).alias("share"))
+    shared = lists.select("shingle", "set", "n").join(central, "set")
+    heads = shared.groupBy("shingle").agg(F.max(F.struct("share", "set", "n")).alias("head"))
+    led = shared.join(heads, "shingle").select(F.col("set").alias("a"), "n", F.col("head.set").alias("b"), F.col("head.n").alias("pn")).filter((F.col("a") != F.col("b")) & fits(F.col("n"), F.col("pn")))
+    led = led.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     led = led.filter(2 * F.col("c") >= needed(F.col("n"), F.col("pn"))).groupBy("a").agg(F.max(F.struct("c", "b")).alias("most")).select("a", F.col("most.b").alias("b"))
     first = stored(verified(stored(led)).filter(enough(F.col("o"), F.col("na"), F.col("nb"))).withColumn("d", distance))
     comps = stored(components(first))
