@@ -397,9 +397,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
     # step three: members whose answers the pivots leave open
     limit = 1 - percent / 100 + 1e-9
-    near = second.filter((F.col("fa") + F.col("fb") > 0) & (F.col("d") - F.col("fa") - F.col("fb") <= limit)).select("a", "b", F.col("d").alias("between"))
+    near = second.filter((F.col("fa") + F.col("fb") > 0) & (F.col("d") - F.col("fa") - F.col("fb") <= limit)).select("a", "b", "fb", F.col("d").alias("between"))
     u, v = open_.alias("u"), open_.alias("v")
-    mine = u.join(near, F.col("u.rep") == F.col("a")).select("shingle", F.col("set").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("d").alias("d1"), F.col("comp").alias("c1"), "b", "between")
+    # a member goes on only if it is far enough from its own pivot to reach some member there
+    mine = u.join(near, (F.col("u.rep") == F.col("a")) & (F.col("between") - F.col("u.d") - F.col("fb") <= limit)).select("shingle", F.col("set").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("d").alias("d1"), F.col("comp").alias("c1"), "b", "between")
     third_pairs = (
         mine.join(v.withColumnRenamed("rep", "b"), ["shingle", "b"])
         .filter((F.col("c1") != F.col("comp")) & (F.col("between") - F.col("d1") - F.col("d") <= limit) & (F.col("d1") + F.col("d") > 0) & fits(F.col("n1"), F.col("n")))
