@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -146,6 +147,22 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
         return mix(h + np.uint64(k))
 
 
+def lean(run):
+    """``run`` over a task's batches, giving freed memory back when the task ends:
+    Python workers live on and would keep each operator's high-water mark."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def parts(texts: pa.Array, most: int = 2 << 20):
     """(first row, rows) runs of a batch with about ``most`` bytes each, so that
     the arrays made from them stay small; a longer text is a run of its own."""

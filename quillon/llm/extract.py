@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, source: str = "html", target: str = "text") -> Dat
             texts = pa.array([main_text(x.as_py()) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*kept, target])
 
-    return pages.select(kept).mapInArrow(run, schema)
+    return pages.select(kept).mapInArrow(lean(run), schema)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, parts, stored, table, windows, word_hashes, word_spans
+from .common import bytes_of, lean, mix, parts, stored, table, windows, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
 LOCAL, HEAVY = 2, 1 << 21
@@ -318,7 +318,7 @@ def _bits(ids: DataFrame) -> np.ndarray:
 
     out = np.zeros((1 << 8, 1 << 13), np.uint8)
     few = ids.filter("id IS NOT NULL").coalesce(64)  # so that no more than 64 filters come back
-    for r in few.mapInArrow(run, "block long, bits binary").toLocalIterator():
+    for r in few.mapInArrow(lean(run), "block long, bits binary").toLocalIterator():
         out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
@@ -329,15 +329,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     it; n_links counts those."""
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    survey = stored(rows.mapInArrow(_survey(k, 0, 1), "kind int, id long, a long, b long"), "kind")
+    survey = stored(rows.mapInArrow(lean(_survey(k, 0, 1)), "kind int, id long, a long, b long"), "kind")
     owners = survey.filter("kind = 0").select("id", F.col("a").alias("set"), F.col("b").alias("n"))
     total = owners.agg(F.sum("n")).first()[0] or 0
     heavy = survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= max(32, total // HEAVY)).toArrow()
     order = spark.sparkContext.broadcast(Order(heavy.column("a").to_numpy().view(np.uint64), heavy.column("n").to_numpy()))  # no more than HEAVY entries
 
-    entries = rows.select("text").mapInArrow(_index(k, percent, order, 0), "shingle long, part int, set long, n int, pos int")
+    entries = rows.select("text").mapInArrow(lean(_index(k, percent, order, 0)), "shingle long, part int, set long, n int, pos int")
     dealt = entries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shingle", "part").sortWithinPartitions("shingle", "part", "set")
-    lists = stored(dealt.mapInArrow(_lists, "shingle long, part int, set long, n int, pos int, p long, pn int, ppos int").select("shingle", "set", "n", "pos"))
+    lists = stored(dealt.mapInArrow(lean(_lists), "shingle long, part int, set long, n int, pos int, p long, pn int, ppos int").select("shingle", "set", "n", "pos"))
 
     enough = lambda o, n, m: (100 + percent) * o >= percent * (n + m)
     fits = lambda n, m: (100 * n >= percent * m) & (100 * m >= percent * n)
@@ -348,7 +348,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
         """a, b with their exact overlap and sizes; only sets in pairs are fetched."""
         asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
         wanted = spark.sparkContext.broadcast(_bits(asked.join(first_id, "set").select("id")))
-        whole = stored(rows.mapInArrow(_members(k, wanted), "set long, s array<long>").dropDuplicates(["set"]))
+        whole = stored(rows.mapInArrow(lean(_members(k, wanted)), "set long, s array<long>").dropDuplicates(["set"]))
         one = whole.select(F.col("set").alias("a"), F.col("s").alias("sa"))
         two = whole.select(F.col("set").alias("b"), F.col("s").alias("sb"))
         got = pairs.join(one, "a").join(two, "b")

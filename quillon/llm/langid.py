@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 PER_LANG, DICT_BYTES, TRAIN_CHARS = 240, 110_000, 2_000
 PIECE, LEVEL = 8192, 5
@@ -106,7 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *new])
 
-    return docs.select(kept).mapInArrow(run, schema)
+    return docs.select(kept).mapInArrow(lean(run), schema)
 
 
 def remainder(key: Column) -> Column:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import PLAIN, bytes_of, labelled, parts, table, windows, word_hashes, word_spans
+from .common import PLAIN, bytes_of, labelled, lean, parts, table, windows, word_hashes, word_spans
 
 PER_CLASS, FIT_LINES = 1500, 48
 FEATURES = ("one", "words", "symbols", "capitals", "bangs", "bars", "digits", "repeats", "again", "open", "short")
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 each = [got.x[a : min(b, a + FIT_LINES)].astype(np.float32).tobytes() for a, b in zip(got.line_upto[:-1], got.line_upto[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(each, pa.binary())], ["id", "y", "x"])
 
-    rows = [r for r in sorted(labelled(docs, labels, key, text, label, per_class).mapInArrow(lines, "id long, y int, x binary").collect()) if r["x"]]
+    rows = [r for r in sorted(labelled(docs, labels, key, text, label, per_class).mapInArrow(lean(lines), "id long, y int, x binary").collect()) if r["x"]]
     if len({r["y"] for r in rows}) < 2:
         return Field(np.zeros(len(FEATURES)), np.zeros((2, 2)))
     x = np.zeros((len(rows), FIT_LINES, len(FEATURES)))
@@ -242,7 +242,7 @@ def judge(docs: DataFrame, field: Field, text: str = "text", least: float = MIN_
                 new = [c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, share, failed, ~failed & (share >= least)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array(v) for v in new]], [*kept, *NEW])
 
-    return docs.select(kept).mapInArrow(run, schema)
+    return docs.select(kept).mapInArrow(lean(run), schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

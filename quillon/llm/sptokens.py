@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import parts, table
+from .common import lean, parts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", ids: str = "i
                 flat = pa.array(np.concatenate([np.zeros(0, np.int32), *[np.array(g, np.int32) for g in got]]))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.ListArray.from_arrays(pa.array(upto), flat)], [*kept, ids])
 
-    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(ids, ArrayType(IntegerType())))
+    return docs.select(kept).mapInArrow(lean(run), docs.select(kept).schema.add(ids, ArrayType(IntegerType())))
 
 
 def decode(docs: DataFrame, path: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -211,7 +211,7 @@ def decode(docs: DataFrame, path: str = MODEL, ids: str = "ids", text: str = "te
                 texts = made.decode_batch([x or [] for x in piece.column(at).to_pylist()], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*kept, text])
 
-    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(text, "string"))
+    return docs.select(kept).mapInArrow(lean(run), docs.select(kept).schema.add(text, "string"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 
 K, SCALE, SLICES = 10, 1024, 2
 #: Queries and bytes of queries in one wave, and scores held at once in a task.
@@ -176,7 +176,7 @@ def top_k(rows: DataFrame, query: Column, k: int = K, key: str = "vec_id", vecto
         def first(batches, scores=scores):
             return _first(scores.value, k, scale, batches)
 
-        leading = plain.mapInArrow(first, "q long, score long")
+        leading = plain.mapInArrow(lean(first), "q long, score long")
         best = leading.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k)
         cutoff = np.full(len(ids), -(2.0**63))
         for r in best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).filter(F.col("n") == k).collect():
@@ -186,7 +186,7 @@ def top_k(rows: DataFrame, query: Column, k: int = K, key: str = "vec_id", vecto
         def second(batches, scores=scores, limits=limits):
             return _second(scores.value, limits.value, k, scale, batches)
 
-        part = plain.mapInArrow(second, "query_id long, q long, vec_id long, score long")
+        part = plain.mapInArrow(lean(second), "query_id long, q long, vec_id long, score long")
         part = part.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
         part = part.select("query_id", "rank", "vec_id", "score")
         out = part if out is None else out.unionByName(part)

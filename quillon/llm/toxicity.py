@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import LETTERS, bytes_of, labelled, parts, table, word_hashes, word_spans
+from .common import LETTERS, bytes_of, labelled, lean, parts, table, word_hashes, word_spans
 
 PER_CLASS, Z, GRADES = 3000, 6.0, 4
 #: Expected severity from which a text counts as toxic.
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 each = [np.unique(h[a:b]).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(each, pa.binary())], ["id", "y", "words"])
 
-    rows = sorted(got.mapInArrow(words, "id long, y int, words binary").collect())
+    rows = sorted(got.mapInArrow(lean(words), "id long, y int, words binary").collect())
     y = np.array([r["y"] for r in rows], np.int64)
     empty = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, np.inf))
     if not (y == 1).any() or not (y == 0).any():
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
             s = np.round(held.value.score(batch.column(at)), 9)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(np.rint(s).astype(np.int32)), pa.array(s >= TOXIC)], [*kept, *new])
 
-    return docs.select(kept).mapInArrow(run, schema)
+    return docs.select(kept).mapInArrow(lean(run), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
