@@ -70,6 +70,20 @@ def test_join_against_brute_force(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("links", [1 << 20, 6])
+def test_components(spark, monkeypatch, links):
+    monkeypatch.setattr(jaccard, "LINKS", links)
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(100, 118)] + [(900, i) for i in range(910, 925)] + [tuple(int(x) for x in e) for e in rng.integers(1000, 1040, (20, 2))] + [(5, 5)]
+    label = {n: n for e in edges for n in e}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert sorted(map(tuple, got)) == sorted((n, label[n]) for n in linked)
+
+
 def test_lists_do_not_depend_on_batches():
     rng = np.random.default_rng(1)
     rows = sorted({(int(a), -1 if a % 3 else int(b % 2), int(b)) for a, b in rng.integers(0, 9, (60, 2))})
