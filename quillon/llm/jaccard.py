@@ -2,7 +2,8 @@
 
 Documents become sets of hashed word shingles; two sets are linked when their
 Jaccard similarity is at least :data:`PERCENT` per cent. The result is one row
-per document with its component and links, never a list of all pairs.
+per document with its component and the number of its links, never a list of
+all pairs.
 
 * Equal sets are one class, named by a hash of the set; only classes are joined.
 * Prefix index: in a global order of shingles, similar sets share at least l of
@@ -17,11 +18,16 @@ per document with its component and links, never a list of all pairs.
   every set against the one pivot that it meets most often: k members give k - 1
   pairs, not all of them.
 * Answer-level skipping: a member that is linked to its pivot shares the pivot's
-  component, so pairs inside a component need no verification. What remains are
-  pairs across components. They are asked of the pivots first; Jaccard distance
+  component, so pairs inside a component are not needed to know it. What remains
+  are pairs across components. They are asked of the pivots first; Jaccard distance
   is a metric, so a member a of pivot p can be linked to a member b of q only if
   d(p, q) - d(a, p) - d(b, q) <= 1 - t: the answers of a follow from those of the
   highly similar p, and only the members that this leaves open are verified.
+* Links inside components: Jaccard links are not transitive, so a component does
+  not tell which of its pairs link. All of its pairs are counted, exactly: its
+  classes are dealt into blocks of even hash and bounded size, and each pair of
+  blocks, a task's work, counts the overlaps of its sets on the shingles that two
+  or more of them hold. Rows leave a pair of blocks once a class, not once a pair.
 
 Frequencies cover all documents: each task sends the shingles that it has met
 :data:`LOCAL` times or more, and those that make up at least 1 / :data:`HEAVY` of
@@ -277,6 +283,40 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
 
 
+#: Classes, and shingles of them, in a block of a component.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+
+
+def _degrees(percent: int):
+    """Two blocks of a component, or one with itself -> links of each class between them."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        names, block = group.column("set").to_numpy(), group.column("block").to_numpy()
+        lists = group.column("s").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[column] > 1  # what one set alone holds is in no overlap
+        row, column = np.repeat(np.arange(len(n)), n)[shared], column[shared]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        overlap = np.zeros((len(left), len(right)), np.int64)
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 1 << 12):
+            a, b = np.searchsorted(column, [c, c + (1 << 12)])
+            held = np.zeros((len(n), 1 << 12), np.float32)
+            held[row[a:b], column[a:b] - c] = 1
+            overlap += (held[left] @ held[right].T).astype(np.int64)
+        linked = (100 + percent) * overlap >= percent * (n[left][:, None] + n[right])
+        if lo == hi:
+            np.fill_diagonal(linked, False)
+            return pa.table({"set": names[left], "n_links": linked.sum(1)})
+        return pa.table({"set": np.concatenate([names[left], names[right]]), "n_links": np.concatenate([linked.sum(1), linked.sum(0)])})
+
+    return run
+
+
 #: Links that a task contracts by itself.
 LINKS = 1 << 20
 
@@ -325,8 +365,7 @@ def _bits(ids: DataFrame) -> np.ndarray:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, set (the class), component_id, n_links for every row of the
-    table. Links inside a component are verified as far as they are needed to know
-    it; n_links counts those."""
+    table; n_links counts all other classes that the row's class is linked with."""
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     survey = stored(rows.mapInArrow(lean(_survey(k, 0, 1)), "kind int, id long, a long, b long"), "kind")
@@ -344,11 +383,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     needed = lambda n, m: 1 + F.floor(F.least(n, m) / MORE)
     first_id = owners.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
 
+    def fetched(asked: DataFrame) -> DataFrame:
+        """Whole sets of the asked classes, and some others."""
+        wanted = spark.sparkContext.broadcast(_bits(asked.join(first_id, "set").select("id")))
+        return rows.mapInArrow(lean(_members(k, wanted)), "set long, s array<long>").dropDuplicates(["set"])
+
     def verified(pairs: DataFrame) -> DataFrame:
         """a, b with their exact overlap and sizes; only sets in pairs are fetched."""
-        asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        wanted = spark.sparkContext.broadcast(_bits(asked.join(first_id, "set").select("id")))
-        whole = stored(rows.mapInArrow(lean(_members(k, wanted)), "set long, s array<long>").dropDuplicates(["set"]))
+        whole = stored(fetched(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()))
         one = whole.select(F.col("set").alias("a"), F.col("s").alias("sa"))
         two = whole.select(F.col("set").alias("b"), F.col("s").alias("sb"))
         got = pairs.join(one, "a").join(two, "b")
@@ -414,10 +456,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     across = second.filter(enough(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b").union(third)
 
     links = stored(first.select("a", "b").union(across))
-    final = components(links)
-    degree = links.union(links.select("b", "a")).toDF("set", "other").groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
+    final = stored(components(links)).withColumnRenamed("node", "set")
+
+    # links inside components: two classes have one, three and more are counted by blocks
+    sizes = final.join(owners.filter("n > 0").groupBy("set").agg(F.first("n").alias("n")), "set").groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
+    sizes = sizes.select("comp", "many", F.greatest(F.floor(F.col("many") / BLOCK), F.floor(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("last"))
+    placed = stored(final.join(sizes, "comp").select("set", "comp", "many", "last", F.pmod(F.xxhash64("set"), F.col("last") + 1).cast("int").alias("block")))
+    open_ = placed.filter("many > 2")
+    dealt = open_.join(fetched(open_.select("set")), "set").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "s")
+    counted = dealt.groupBy("comp", "lo", "hi").applyInArrow(_degrees(percent), "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
+    degree = stored(counted.union(placed.filter("many = 2").select("set", F.lit(1).cast("long"))))
     classes = owners.filter("n > 0").groupBy("set").agg(F.min("id").alias("first"))
-    named = classes.join(final.withColumnRenamed("node", "set"), "set", "left").join(degree, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    named = classes.join(final, "set", "left").join(degree, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_class = named.join(smallest, "comp").select("set", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     whole_rows = owners.withColumn("set", F.when(F.col("n") > 0, F.col("set"))).join(by_class, "set", "left")

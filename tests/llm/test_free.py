@@ -70,6 +70,30 @@ def test_join_against_brute_force(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_inside_components_are_all_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join([*words, "y"])]  # each linked with both others
+    chain = [f"c{i}" for i in range(100)]
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 40, 4)]  # a component whose ends are not linked
+    for g in range(6):
+        start = [f"g{g}_{i}" for i in rng.integers(0, 90, 80)]
+        for _ in range(14):
+            copy = list(start)
+            for i in rng.integers(0, 80, rng.integers(0, 4)):
+                copy[i] = f"n{rng.integers(1000)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], texts[5], "alone in the whole table here", None]
+    each = [shingles(t) for t in texts]
+    classes = {frozenset(s) for s in each if s}
+    degree = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in classes) for a in classes}
+    got = {r["id"]: r["n_links"] for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert [got[i] for i in range(3)] == [2, 2, 2]
+    assert got == {i: degree.get(frozenset(s), 0) for i, s in enumerate(each)}
+
+
 @pytest.mark.parametrize("links", [1 << 20, 6])
 def test_components(spark, monkeypatch, links):
     monkeypatch.setattr(jaccard, "LINKS", links)
