@@ -179,12 +179,12 @@ def verdict(entry: Column, title: Column, first_author: Column) -> Column:
     return F.when(overlap(entry, title) < 0.6, "no-match").when(~F.array_contains(F.split(entry, " "), name), "check").otherwise("match")
 
 
-def audit_entries(entries: DataFrame, registry: DataFrame, most: int = 200) -> DataFrame:
-    """entries: doc_id, ord, entry. The first ``most`` entries of a document get
-    doc_id, ord, doi, record title and verdict: by their DOI, else by the record
+def audit_entries(entries: DataFrame, registry: DataFrame, most: int | None = 200) -> DataFrame:
+    """entries: doc_id, ord, entry. The first ``most`` entries of a document, all of
+    them if it is None, get doc_id, ord, doi, record title and verdict: by their DOI, else by the record
     that shares most telling words with them. The search meets records on their
     words, rarest first, and never pairs entries with all records."""
-    rows = entries.filter(F.col("ord") < most).withColumn("doi", doi_key(entry_doi(F.col("entry")))).withColumn("folded", T.norm(F.col("entry")))
+    rows = (entries if most is None else entries.filter(F.col("ord") < most)).withColumn("doi", doi_key(entry_doi(F.col("entry")))).withColumn("folded", T.norm(F.col("entry")))
     known = registry.select(doi_key(F.col("doi")).alias("doi"), F.col("title").alias("r_title"), T.norm(F.col("title")).alias("r_folded"), T.norm(F.coalesce(F.get("authors", 0), F.lit(""))).alias("r_first"))
     best = known.groupBy("doi").agg(F.min(F.struct("r_title", "r_folded", "r_first")).alias("r"))
     direct = rows.filter("doi IS NOT NULL").join(best, "doi", "left")

@@ -67,6 +67,16 @@ def test_entry_audit(spark, registry):
     assert got == {0: "match", 1: "match", 2: "check", 3: "no-match", 4: "match"}
 
 
+def test_every_entry_of_a_long_list_is_judged(spark, monkeypatch):
+    from quillon.plans import queries
+
+    line = lambda i: (1, i, "Adams, B. First long title about lattices of salts" if i % 2 else f"Number {i} of no record")
+    entries = spark.createDataFrame([line(i) for i in range(450)], "doc_id int, ord int, entry string")
+    monkeypatch.setattr(queries, "ref_entries", lambda spark, sf_dir: entries)
+    got = {r["ord"]: r["verdict"] for r in queries.entry_verdict(spark, "").collect()}
+    assert got == {i: "match" if i % 2 else "no-match" for i in range(450)}
+
+
 def test_csl():
     items = [{"id": "a", "title": "T", "author": [{"given": "Ann", "family": "Lee"}, {"literal": "Group"}, {"family": "Others"}, "junk"], "issued": {"date-parts": [["2019"]]}, "page": "5–9", "DOI": "10.1000/x", "volume": 7}, "stray", None, {"author": "bare", "issued": {"date-parts": [["n.d."]]}}]
     a, b = bibliography.parse_csl(json.dumps(items))
