@@ -5,6 +5,8 @@ its length and its commas and passes them to its ancestors, less with distance;
 an element's points are discounted by its link density. The element with most
 points is the container of the article: it and those of its siblings that also
 carry text are kept, less what is no text of the article by its tag or name.
+Where the page names no article or main element, siblings are judged by their own
+text blocks too, and headings stay with the kept text that follows them.
 
 One pass over the pages, row by row, no shuffle; memory is one page's tree.
 Scanning is linear: open elements are counted by name, so that no end tag ever
@@ -44,15 +46,17 @@ NOTES = frozenset(
 HEADERS = frozenset(["header", "banner"])
 HOMES = frozenset(["article", "main"])
 NEAR = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+STOPS = frozenset(".!?:…。！？")
+TITLES = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 LEVELS = 6
 
 
 class Node:
-    __slots__ = ("dropped", "home", "inline", "link", "links", "main", "parent", "points", "size", "tag", "under")
+    __slots__ = ("dropped", "home", "inline", "link", "links", "main", "parent", "points", "prose", "size", "tag", "under")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, inline: bool, home: bool, link: bool):
         self.tag, self.parent, self.dropped, self.inline, self.home, self.link = tag, parent, dropped, inline, home, link
-        self.points, self.size, self.links, self.main = 0.0, 0, 0, False
+        self.points, self.size, self.links, self.prose, self.main = 0.0, 0, 0, 0, False
         self.under = parent if parent is None or not parent.inline else parent.under
 
 
@@ -183,6 +187,8 @@ def main_text(page: str | None) -> str:
     for owner, text, linked in found:
         owner.size += len(text)
         owner.links += linked
+        if linked <= 0.25 * len(text) and (len(text) >= 80 or text.rstrip("\"'”’»)")[-1:] in STOPS):
+            owner.prose += len(text)
         points = 1 + text.count(",") + text.count("、") + min(len(text) // 100, 3)
         points *= min(1.0, len(text) / 25) * (1 - linked / max(len(text), 1))
         up = owner.under if owner.tag in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and owner.under else owner
@@ -195,6 +201,7 @@ def main_text(page: str | None) -> str:
         if node.under is not None:
             node.under.size += node.size
             node.under.links += node.links
+            node.under.prose += node.prose
     for node in nodes:
         node.points *= 1 - node.links / max(node.size, 1)
     best = max(nodes, key=lambda n: n.points)
@@ -210,6 +217,15 @@ def main_text(page: str | None) -> str:
         for node in nodes:
             if node.under is home.under and node is not home and node.points >= max(0.2 * best.points, 1e-9):
                 kept.add(node)
+    if not home.main and home.under is not None and home.under.tag != "html":
+        follows = False
+        for node in reversed([n for n in nodes if n.under is home.under and not n.dropped and n.size]):
+            if node.tag in TITLES:
+                if follows and node.links <= 0.25 * node.size:
+                    kept.add(node)
+            elif 2 * node.prose >= node.size:
+                kept.add(node)
+            follows = node in kept
     inside: dict[Node, bool] = {}
     for node in nodes:  # parents come first
         inside[node] = node in kept or node.under is not None and inside[node.under]

@@ -281,6 +281,13 @@ def test_odd_pages(page, text):
         assert extract.main_text(page) == text
 
 
+def test_text_beside_the_best_container_is_kept():
+    ten = "".join(f"<p>Paragraph {i}, with some words, and more of them.</p>" for i in range(10))
+    page = f"<html><body><div id=page><ul><li><a href=x>Home</a></li></ul><h1>Title</h1><p>Lead.</p><div class=text>{ten}</div><div><h2>Last part</h2><p>A short section.</p></div><p><a href=y>More of this.</a></p><p>End.</p><h3>Links</h3></div></body></html>"
+    got = extract.main_text(page).split("\n\n")
+    assert got == ["Title", "Lead.", *[f"Paragraph {i}, with some words, and more of them." for i in range(10)], "Last part", "A short section.", "End."]
+
+
 def test_long_pages_stay_linear():
     assert len(extract.main_text("<b>" * 100_000 + "<p>x</i>" * 100_000)) > 100_000
     assert extract.main_text("<div " + 'a="' * 100_000) is not None
