@@ -45,6 +45,8 @@ NOTES = frozenset(
 #: Roles and names of a page's header, which inside an article is its own.
 HEADERS = frozenset(["header", "banner"])
 HOMES = frozenset(["article", "main"])
+#: Names that no part of an article has: they drop a container also inside one.
+CERTAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promotions cookie cookies gdpr disqus commentlist".split())
 NEAR = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset(".!?:…。！？")
 TITLES = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -52,32 +54,38 @@ LEVELS = 6
 
 
 class Node:
-    __slots__ = ("dropped", "home", "inline", "link", "links", "main", "parent", "points", "prose", "size", "tag", "under")
+    __slots__ = ("dropped", "home", "inline", "link", "links", "main", "named", "parent", "points", "prose", "size", "tag", "under")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, inline: bool, home: bool, link: bool):
         self.tag, self.parent, self.dropped, self.inline, self.home, self.link = tag, parent, dropped, inline, home, link
         self.points, self.size, self.links, self.prose, self.main = 0.0, 0, 0, 0, False
+        self.named = False
         self.under = parent if parent is None or not parent.inline else parent.under
 
 
-def _named(tag: str, attributes: str, home: bool) -> tuple[bool, bool]:
-    """(dropped, main) by what the attributes say."""
-    main = False
+def _named(tag: str, attributes: str, home: bool) -> tuple[bool, bool, bool]:
+    """(dropped, main, to be weighed) by what the attributes say. Inside an article
+    names are weighed against the text of a container, and say nothing of inline
+    elements; ids of headings, paragraphs and inline elements say nothing anywhere."""
+    main = weighed = False
+    small = tag in TITLES or tag in INLINE or tag == "p"
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
+            return True, False, False
         if name == "itemprop" and value == "articlebody" or name == "role" and value in HOMES:
             main = True
-        elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+        elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not (small and (name == "id" or home and tag != "p")):
             for word in value.split():
                 pieces = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word)) if x]
                 if not pieces or pieces[0] in ("has", "with", "no", "without", "is"):
                     continue
                 ends = {pieces[0], pieces[-1]}
                 if ends & NOTES - HEADERS or ends & HEADERS and not home:
-                    return True, False
-    return False, main
+                    if not home or ends & CERTAIN:
+                        return True, False, False
+                    weighed = True
+    return False, main, weighed
 
 
 def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
@@ -159,9 +167,9 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         parent = stack[-1]
         home = parent.home or name in HOMES
         dropped = parent.dropped or name in DROPPED or name == "header" and not parent.home
-        main = False
+        main = weighed = False
         if not dropped and tag[3]:
-            dropped, main = _named(name, tag[3], parent.home)
+            dropped, main, weighed = _named(name, tag[3], parent.home)
         if tag[3].endswith("/") and name not in ("a", "p", "div", "span"):  # svg and the like
             continue
         if name in RAW:
@@ -169,7 +177,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
             at = close.end() if close else end
             continue
         node = Node(name, parent, dropped, inline, home or main, parent.link or name == "a")
-        node.main = main or name in HOMES
+        node.main, node.named = main or name in HOMES, weighed
         stack.append(node)
         count[name] = count.get(name, 0) + 1
         if not inline:
@@ -230,7 +238,8 @@ def main_text(page: str | None) -> str:
     for node in nodes:  # parents come first
         inside[node] = node in kept or node.under is not None and inside[node.under]
         crowd = node.tag in ("ul", "ol", "dl", "table") and node.size and node.links > 0.5 * node.size
-        if crowd and node not in kept:
+        # a name of the page's furniture holds unless most of the element is running text
+        if (crowd or node.named and 2 * node.prose < node.size) and node not in kept:
             inside[node] = False
     out = [text for owner, text, _ in found if inside[owner]]
     return "\n\n".join(out or [text for _, text, _ in found])

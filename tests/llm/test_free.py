@@ -288,6 +288,13 @@ def test_text_beside_the_best_container_is_kept():
     assert got == ["Title", "Lead.", *[f"Paragraph {i}, with some words, and more of them." for i in range(10)], "Last part", "A short section.", "End."]
 
 
+def test_names_inside_an_article_are_weighed_against_its_text():
+    long = "A sentence of the paper, with some words, that goes on for a while and then comes to its end."
+    page = f"<body><article><h2 id='how-to-search'>How to search</h2><p>{long}</p><section id='discussion'><h2 id='tools'>Tools</h2><p>{long}</p></section><section id=related-work><p>{long}</p></section><p id='notice'>Mind <a class='social' href=x>this</a> word.</p>"
+    page += "<div class=share><a href=a>One</a> <a href=b>Two</a></div><div class=tags>alpha beta</div><div class=ad><p>" + long + "</p></div><div class='related'><ul><li><a href=c>Other page</a></li></ul></div></article></body>"
+    assert extract.main_text(page).split("\n\n") == ["How to search", long, "Tools", long, long, "Mind this word."]
+
+
 def test_long_pages_stay_linear():
     assert len(extract.main_text("<b>" * 100_000 + "<p>x</i>" * 100_000)) > 100_000
     assert extract.main_text("<div " + 'a="' * 100_000) is not None
