@@ -39,9 +39,11 @@ BASE = {
 }
 #: A cheap test that a text must pass before the pattern is run.
 GATE = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+#: What an address has from its at on, in all forms. The loose pattern ends in it, so as a gate it loses none.
+_HOST = r"(?:[(\[{]at[)\]}]|\x20at\x20|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++)"
 #: Further generators: (kind, gate, pattern).
 LOOSE = (
-    ("email", r"(?i)[(\[{]at[)\]}]|\x20at\x20.{1,60}\x20dot\x20", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:[(\[{]at[)\]}]|\x20at\x20|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++){1,4}"),
+    ("email", rf"(?i){_HOST}", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?{_HOST}{{1,4}}"),
     ("ip", r"[0-9][(\[]\.[)\]]", r"(?<![0-9.])[0-9]{1,3}(?:[(\[]?\.[)\]]?[0-9]{1,3}){3}(?![0-9.])"),
     ("card", r"[0-9]{4}[./_][0-9]{4}", r"(?<![0-9])[0-9]{4}(?:[\x20./_-][0-9]{4}){2}[\x20./_-][0-9]{1,7}(?![0-9])"),
     ("phone", r"[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}", r"(?<![0-9+.])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.])"),
@@ -108,6 +110,7 @@ def features(kind: Column, m: Column, b: Column, a: Column) -> dict[str, Column]
         "octets": flag(m.rlike(r"^[^A-Za-z]*$") & F.forall(F.filter(F.split(m, r"[^0-9]+"), lambda x: x != ""), lambda x: (F.length(x) <= 3) & (F.lpad(x, 3, "0") <= "255"))),
         "spelt": flag(m.rlike(r"(?i)[(\[{\x20](?:at|dot)[)\]}\x20]")),
         "both": flag(m.rlike(r"(?i)[(\[{\x20]at[)\]}\x20].*(?:[(\[{\x20]dot[)\]}\x20]|[a-z0-9]\.[a-z]{2,})")),
+        "broken": flag(m.rlike(r"\.\x20|\x20\.|[.@]$")),  # a full stop between words
         "bracket": flag(m.rlike(r"[(\[{]")),
         "dots": F.length(F.regexp_replace(m, r"[^.]", "")).cast("double"),
         "groups": F.size(F.split(m, r"[^0-9]+")).cast("double"),
@@ -143,13 +146,13 @@ def _made_up(spark: SparkSession, rows: int) -> DataFrame:
     cut = lambda sep: join(F.substring(card, 1, 4), sep, F.substring(card, 5, 4), sep, F.substring(card, 9, 4), sep, F.substring(card, 13, 4))
     o = lambda i: number(f"o{i}", 1, 255)
     a3, b3, d4 = number("a3", 200, 999), number("b3", 200, 999), number("d4", 1000, 9999)
-    good = pick("good", join(name, " (at) ", host, " (dot) ", end), join(name, "[at]", host, "[dot]", end), join(name, " at ", host, " dot ", end), join(name, " (at) ", host, ".", end), join(o(1), "[.]", o(2), "[.]", o(3), "[.]", o(4)), join(o(1), "(.)", o(2), "(.)", o(3), "(.)", o(4)), cut("."), cut("/"), cut("_"), join("(", a3, ") ", b3, "-", d4), join(a3, "-", b3, "-", d4))
-    bad = pick("bad", join(number("x", 300, 999), ".", o(2), ".", o(3), ".", o(4)), join("1.2.", number("x", 256, 4000), ".7"), join(q(1), q(2), q(3), q(4)), join(q(1), " ", q(2), " ", q(3), " ", q(4)), join(q(1), "/", q(2), "/", q(3), "/", q(4)), join(q(1), ".", q(2), ".", q(3), ".", q(4)), join("look at ", host, " dot"), join(a3, " ", b3, " ", d4), join(a3, ".", b3, ".", d4), join(a3, "-", b3, "-", d4), join("+1 ", number("s", 100, 999), " 22"), join(q(1), number("y", 10**9, 10**10 - 1)), join("0000 0000 0000 0000"))
+    good = pick("good", join(name, " (at) ", host, " (dot) ", end), join(name, "[at]", host, "[dot]", end), join(name, " at ", host, " dot ", end), join(name, " (at) ", host, ".", end), join(o(1), "[.]", o(2), "[.]", o(3), "[.]", o(4)), join(o(1), "(.)", o(2), "(.)", o(3), "(.)", o(4)), cut("."), cut("/"), cut("_"), join("(", a3, ") ", b3, "-", d4), join(a3, "-", b3, "-", d4), join(name, " at ", host, ".", end), join(name, " @ ", host, ".", end), join(name, "@", host, " dot ", end), join(name, " at ", host, " (dot) ", end), join(name, "@", host, "(dot)", end))
+    bad = pick("bad", join(number("x", 300, 999), ".", o(2), ".", o(3), ".", o(4)), join("1.2.", number("x", 256, 4000), ".7"), join(q(1), q(2), q(3), q(4)), join(q(1), " ", q(2), " ", q(3), " ", q(4)), join(q(1), "/", q(2), "/", q(3), "/", q(4)), join(q(1), ".", q(2), ".", q(3), ".", q(4)), join("look at ", host, " dot"), join("met at ", host, ". Then"), join("stay at ", host, ".It was"), join("two @ ", host, ". They"), join(a3, " ", b3, " ", d4), join(a3, ".", b3, ".", d4), join(a3, "-", b3, "-", d4), join("+1 ", number("s", 100, 999), " 22"), join(q(1), number("y", 10**9, 10**10 - 1)), join("0000 0000 0000 0000"))
     near = pick("near", "Please call ", "phone: ", "contact ", "mail ", "card ", "host ", "", "and then the ", "of ", "server ")
     far = pick("far", "order ", "version ", "ISBN ", "the ", "no ", "part ", "", "total of ", "ref ", "code x")
     positive = F.pmod(F.xxhash64("id", F.lit("label")), F.lit(2)) == 1
     # a ten-digit number without a plus or brackets is a telephone number only after a word that says so
-    shaped = F.pmod(F.xxhash64("id", F.lit("good")), F.lit(11)) == 10
+    shaped = F.pmod(F.xxhash64("id", F.lit("good")), F.lit(16)) == 10
     lead = F.when(positive & shaped, pick("said", "phone: ", "Please call ", "tel ", "mobile ")).when(positive, near).otherwise(far)
     return spark.range(rows).select("id", F.concat(F.lit("Then "), lead, F.when(positive, good).otherwise(bad), pick("tail", " and more.", ".", " for them", ", so")).alias("text"), positive.cast("double").alias("label"))
 

@@ -80,6 +80,15 @@ def test_unusual_forms_are_added_and_look_alikes_are_not(spark):
         assert r["s"] == cases[r["text"]], r["text"]
 
 
+def test_each_written_form_of_an_address_is_a_candidate_alone(spark):
+    forms = ["joe.doe at acme.com", "joe @ acme.com", "joe@acme dot com", "joe at acme (dot) com", "joe@acme(dot)com", "joe (at) acme (dot) com", "joe[at]acme.com", "joe at acme dot com"]
+    rows = spark.createDataFrame([(f"mail {f}, please",) for f in forms] + [("We met at home. Then we left.",)], "text string")
+    got = {r["text"]: [(c["kind"], c["m"]) for c in r["p"]] for r in rows.select("text", pii.proposals(F.col("text")).alias("p")).collect()}
+    assert all(("email", f) in got[f"mail {f}, please"] for f in forms)
+    spans = {r["text"]: r["s"] for r in pii.detect(rows).select("text", pii.digest(F.col("spans")).alias("s")).collect()}
+    assert spans == {f"mail {f}, please": f"email:5:{5 + len(f)}" for f in forms} | {"We met at home. Then we left.": ""}
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "é a@b.cc, 4111 1111 1111 1111 +1 555 555 5555!"), (2, None), (3, "none")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.detect(rows)).collect()}
