@@ -6,14 +6,19 @@ again. All but the last return the columns of ``documents``.
 1. language: texts that no language claims clearly go; ``lang`` becomes the
    language found.
 2. near duplicates: of each group of documents that links of similarity 0.8 or
-   more connect, the one with the smallest id stays. Rows that repeat an id are
-   one document; rows without an id stay.
-3. personal data is replaced by its kind in brackets.
+   more connect one stays, the one with the smallest id; of rows that share that id
+   and are linked, the one whose text comes first by hash. Ids that repeat with texts
+   that are not linked are different documents. A row without an id counts like any
+   other and comes last in its group. Texts without words are linked with nothing: all stay.
+3. personal data is replaced by its kind in brackets; null texts stay null.
 4. sources are mixed to their weights: a document stands as often as the mix
-   takes it. Rows that repeat an id and a size are taken alike.
+   takes it. Rows that repeat an id and a size are taken alike; rows without an id
+   go by their text.
 5. SentencePiece ids.
 
-Empty tables pass through every stage; null texts are rejected by the first.
+Empty tables pass through every stage; null texts are rejected by the first. Whole
+texts are used, however long. Columns of the table beyond those of ``documents`` are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard, langid, mixing, pii, sptokens
-from quillon.llm.common import n_words, stored
+from quillon.llm.common import Shelf, n_words, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,13 +40,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    rows = jaccard.join(docs).filter("id IS NOT NULL")
-    stays = stored(rows.groupBy("id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("id = first"))
-    kept = docs.join(stays.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    if not stays.filter("n > 1").isEmpty():
-        order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        kept = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
+    rows = jaccard.join(docs).filter("n_shingles > 0")
+    order = F.struct(F.col("id").isNull(), "id", "mark")
+    first = rows.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), "rows")
+    stays = stored(first)
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["id"]) & (marked["_mark"] == stays["mark"]), "left")
+    kept = kept.filter(F.col("mark").isNotNull() | (n_words(F.col("text")) == 0))
+    if not rows.groupBy("id", "mark").count().filter("count > 1").isEmpty():  # rows that repeat an id and a text
+        again = W.partitionBy("doc_id", "_mark").orderBy("lang", "source", "n_chars")
+        kept = kept.filter("mark IS NULL").unionByName(kept.filter("mark IS NOT NULL").withColumn("_n", F.row_number().over(again)).filter("_n = 1").drop("_n"))
+    return kept.select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +60,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    plan = mixing.mix(docs).filter("copies > 0").groupBy("key", "size").agg(F.max("copies").alias("copies"))
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    taken = rows.join(plan, rows["doc_id"].eqNullSafe(plan["key"]) & (rows["_size"] == plan["size"]))
+    rows = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))))
+    plan = mixing.mix(rows, key="_key").filter("copies > 0").groupBy("key", "size").agg(F.max("copies").alias("copies"))
+    taken = rows.join(plan, (rows["_key"] == plan["key"]) & (rows["_size"] == plan["size"]))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
@@ -75,9 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, shelf = spark.read.parquet(f"{sf_dir}/documents.parquet"), Shelf(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs)
+            docs = shelf.put(f"stage{i}", docs)
+            shelf.clear(f"stage{i}")  # the stage before has been read
     return docs

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,20 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none
+    is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"quillon-{os.getpid()}")
     return f"{named.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
+class Shelf:
+    """Tables between the steps of one operator, in the shared folder. Each ends
+    the lineage: a lost executor costs a reread and not a recomputation. A table
+    goes as soon as all that read it is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
+        path = shared_dir(self.spark)
+        df.write.parquet(path, partitionBy=list(partition_by))
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables, and lets Spark see that the shuffles behind them are of no more use."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+    def clear(self, *but: str) -> None:
+        self.drop(*[n for n in self.paths if n not in but])
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends
-    there, so a lost executor costs a reread and not a recomputation."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path, partitionBy=list(partition_by))
-    return spark.read.schema(df.schema).parquet(path)
+    """One table of its own, which stays."""
+    return Shelf(df.sparkSession).put("", df, *partition_by)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:

@@ -13,31 +13,38 @@ all pairs.
   make l common entries. Each entry holds its position and the set's size: the
   first common entry at i, j bounds the overlap by min(n - i, m - j), and pairs
   below what the similarity needs are skipped.
-* Index-level skipping: the entries of a shingle lie together in one list, and
-  each list is led by a pivot, the most central of its sets. Step one verifies
+* Index-level skipping: the entries of a shingle lie together in one list, in order
+  of size and position and in blocks of like size. A block whose sizes and best
+  position leave an entry no room for the overlap is skipped as one, and an entry that
+  skips all blocks of its list is out of the search across components. The same bound
+  stands in the join of the lists, so that pairs without room are not made.
+* Pivots: each list is led by the most central of its sets. Step one verifies
   every set against the one pivot that it meets most often: k members give k - 1
-  pairs, not all of them.
-* Answer-level skipping: a member that is linked to its pivot shares the pivot's
-  component, so pairs inside a component are not needed to know it. What remains
-  are pairs across components. They are asked of the pivots first; Jaccard distance
-  is a metric, so a member a of pivot p can be linked to a member b of q only if
+  pairs, not all of them, and with their pivot make a star.
+* Answer-level skipping, across components: Jaccard distance is a metric, so a
+  member a of pivot p can be linked to a member b of q only if
   d(p, q) - d(a, p) - d(b, q) <= 1 - t: the answers of a follow from those of the
-  highly similar p, and only the members that this leaves open are verified.
-* Links inside components: Jaccard links are not transitive, so a component does
-  not tell which of its pairs link. All of its pairs are counted, exactly: its
-  classes are dealt into blocks of even hash and bounded size, and each pair of
-  blocks, a task's work, counts the overlaps of its sets on the shingles that two
-  or more of them hold. Rows leave a pair of blocks once a class, not once a pair.
-
-Frequencies cover all documents: each task sends the shingles that it has met
-:data:`LOCAL` times or more, and those that make up at least 1 / :data:`HEAVY` of
-all shingles, of which there can be no more than HEAVY, form the broadcast list.
-The order decides only the effort, never the result.
+  highly similar p. Pivots are asked first; of stars that this leaves open, and that
+  other links have not joined, the members that could reach each other meet in blocks.
+* Answer-level derivation, inside components: links are not transitive, so a component
+  does not tell which of its pairs link, and all are counted. Each class is kept as
+  its difference D from one base p of the component, to which its answer is known;
+  x and y share |p| - |p - x| - |p - y| + |D(x) & D(y)| shingles. Where the first terms
+  suffice, and among near copies they mostly do, no pair is intersected. Classes are
+  dealt into blocks of even hash and bounded size; each pair of blocks is a task's
+  work, and rows leave it once a class, not once a pair.
+
+The order of shingles is by frequency as the tasks meet it: each sends the shingles
+that it has met :data:`LOCAL` times or more in a window of 4 million, and those that make
+up at least 1 / :data:`HEAVY` of all shingles, of which there can be no more than HEAVY,
+form the broadcast list. All documents count; a passage that no window holds twice counts
+as rare. The order decides only the effort, never the result.
 
 Skew: copies of a document fall into one class within each task already; lists
-of heavy shingles are dealt out by (shingle, part of the set hash); pivots are
-met by size-split joins on set hashes, which are even. Lists are streamed, not
-gathered. Components come from min-label contraction with tables of links.
+of heavy shingles are dealt out by (shingle, part of the set hash) and streamed, not
+gathered. Joins of lists on a shingle are plain joins, whose large partitions Spark
+splits; joins on set hashes are even. Components come from min-label contraction with
+tables of links. Tables between the steps are deleted once read for the last time.
 
 Shingle hashes have 64 bits and set names 64: with n classes a false merge has
 probability below n^2 / 2^65.
@@ -57,14 +64,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, lean, mix, parts, stored, table, windows, word_hashes, word_spans
+from .common import Shelf, bytes_of, lean, mix, parts, table, windows, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
 LOCAL, HEAVY = 2, 1 << 21
 #: A set of n has 1 + n // MORE entries more than the shortest prefix.
 MORE = 25
-#: Members of a heavy list that are kept together.
-PART = 20_000
+#: Members of a heavy list that are kept together, and entries of a list that are weighed as one.
+PART, LONG = 20_000, 1 << 18
+#: Growth of the sizes from one block of a list to the next.
+STEP = 1.1
 
 
 def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -94,8 +103,9 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _survey(k: int, ids: int, at: int):
+def _survey(k: int):
     """Per document its set's size and name, and the shingles that a task meets often."""
+    names_ = ["kind", "id", "mark", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -104,12 +114,12 @@ def _survey(k: int, ids: int, at: int):
             value, n = np.unique(np.concatenate(held), return_counts=True)
             few = n >= LOCAL
             m = int(few.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(value[few].view(np.int64)), pa.array(n[few].astype(np.int64))], ["kind", "id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 2, pa.array(value[few].view(np.int64)), pa.array(n[few].astype(np.int64))], names_)
 
         met: set[int] = set()
         for batch in batches:
             names, sizes = [], []
-            for s in sets(batch.column(at), k):
+            for s in sets(batch.column(1), k):
                 name = name_of(s) if len(s) else 0
                 names.append(name)
                 sizes.append(len(s))
@@ -123,7 +133,7 @@ def _survey(k: int, ids: int, at: int):
                         yield often()
                         held, size = [], 0
             n = len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(ids), pa.array(np.array(names, np.int64)), pa.array(np.array(sizes, np.int64))], ["kind", "id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(2), pa.array(np.array(names, np.int64)), pa.array(np.array(sizes, np.int64))], names_)
         if held:
             yield often()
 
@@ -180,47 +190,76 @@ def _index(k: int, percent: int, order, at: int):
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries come in order of (shingle, part, set). Passes on the lists with two
-    sets or more, and on all parts of split lists, each entry with its list's first set as pivot, in constant memory."""
-    last = None  # of the rows so far: shingle, part, set, n, pos, its pivot's set, n, pos, and whether it is alone
-    names = ["shingle", "part", "set", "n", "pos", "p", "pn", "ppos"]
-    for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        if not len(cols[0]):
-            continue
-        if last is not None:
-            cols = [np.concatenate([[x], c]) for x, c in zip(last[:5], cols, strict=True)]
-        shingle, part, set_, n, pos = cols
-        new = np.ones(len(shingle), bool)
-        new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
-        copy = np.zeros(len(shingle), bool)
-        copy[1:] = ~new[1:] & (set_[1:] == set_[:-1])
-        keep = ~copy
-        shingle, part, set_, n, pos, new = (c[keep] for c in (shingle, part, set_, n, pos, new))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        pivot = [set_[start].copy(), n[start].copy(), pos[start].copy()]
-        alone_at_start = True
-        if last is not None:  # the first row is the carried one: its list may have begun earlier
-            same = start == 0
-            for i in range(3):
-                pivot[i][same] = last[5 + i]
-            alone_at_start = last[8]
-        follows = ~new
-        if last is not None:
-            follows[0] = False
-        follows_next = np.zeros(len(new), bool)
-        follows_next[:-1] = ~new[1:]
-        emit = follows.copy()
-        lead = np.arange(len(new)) == start
-        emit |= lead & follows_next  # a pivot goes out once its second member is seen
-        emit |= lead & (part >= 0)  # or at once, where other parts may hold that member
-        if last is not None and (not alone_at_start or part[0] >= 0):
-            emit[0] = False  # it has gone out before
-        if emit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in (shingle, part, set_, n, pos, *pivot)], names)
-        alone = bool(lead[-1]) and part[-1] < 0 and (last is None or start[-1] != 0 or alone_at_start)
-        last = [c[-1] for c in (shingle, part, set_, n, pos, *pivot)] + [alone]
+def _weighed(cols: list[np.ndarray], percent: int, more: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of complete lists, in order of (shingle, part, n, pos, set): which entries are
+    in a list with others, each set once, and which of them can have a partner there. A list
+    is cut into blocks of like size; a block whose sizes or best position cannot meet an
+    entry's is skipped as one."""
+    shingle, part, set_, n, pos = cols
+    new = np.ones(len(shingle), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
+    fresh = new.copy()
+    fresh[1:] |= set_[1:] != set_[:-1]
+    if whole:  # a piece of a longer list: the rest of it is not here
+        return fresh, fresh
+    rest = n.astype(np.int64) - pos
+    key = np.cumsum(new) * 4096 + np.floor(np.log(np.maximum(n, 1)) / np.log(STEP)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    keys, many = key[starts], np.add.reduceat(fresh, starts)
+    low, high, best = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts), np.maximum.reduceat(rest, starts)
+    keep = part >= 0  # a part of a split list: its partners may be in others
+    near = int(np.ceil(np.log(100 / percent) / np.log(STEP)))
+    for step in range(-near, near + 1):
+        at = np.minimum(np.searchsorted(keys, key + step), len(keys) - 1)
+        ok = (keys[at] == key + step) & (100 * high[at] >= percent * n) & (100 * n >= percent * low[at])
+        if step == 0:
+            ok &= many[at] > 1
+        bound = np.minimum(rest, best[at]) + np.minimum(n, high[at]) // more
+        keep |= ok & ((100 + percent) * bound >= percent * (n + low[at]))
+    lists = np.flatnonzero(new)
+    alone = np.repeat(np.add.reduceat(fresh, lists) < 2, np.diff(np.append(lists, len(new))))
+    return fresh & (~alone | (part >= 0)), keep
+
+
+def _lists(percent: int):
+    """Passes on the lists with two sets or more, in the memory of a batch and
+    :data:`LONG` entries; ``open`` are the entries that can have a partner."""
+    names = ["shingle", "set", "n", "pos", "open"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long_ = None, None  # entries of a list that may go on; the list of which some have gone out already
+
+        def out(cols: list[np.ndarray], whole: bool):
+            keep, can = _weighed(cols, percent, MORE, whole)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (cols[0], cols[2], cols[3], cols[4], can)], names)
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if long_ is not None:
+                on = int(np.argmin(np.append((cols[0] == long_[0]) & (cols[1] == long_[1]), False)))
+                if on:
+                    yield out([c[:on] for c in cols], True)
+                    cols = [c[on:] for c in cols]
+                if not len(cols[0]):
+                    held = None
+                    continue
+                long_ = None
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield out([c[:cut] for c in cols], False)
+            held = [c[cut:] for c in cols]
+            if len(held[0]) > LONG:
+                yield out(held, True)
+                held, long_ = None, (held[0][-1], held[1][-1])
+        if held is not None:
+            yield out(held, False)
+
+    return run
 
 
 def _slots(ids: np.ndarray, size: int) -> np.ndarray:
@@ -229,16 +268,15 @@ def _slots(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _members(k: int, wanted):
-    """Whole sets of the texts whose id is wanted, as far as a filter of fixed size can tell."""
+    """Whole sets of the texts whose id is wanted, as far as a filter of fixed size can tell; all without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        bits = wanted.value
         for batch in batches:
-            ids = batch.column(0)
-            known = ~np.asarray(ids.is_null())
-            ok = bits[_slots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(bits))] | ~known
-            texts = batch.column(1).filter(pa.array(ok))
+            texts = batch.column(1)
+            if wanted is not None:
+                ids, bits = batch.column(0), wanted.value
+                texts = texts.filter(pa.array(bits[_slots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(bits))] | np.asarray(ids.is_null())))
             names, each = [], []
             for s in sets(texts, k):
                 if not len(s):
@@ -287,28 +325,47 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 
+def _common(lists: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left with right rows."""
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # what one row alone holds is in no intersection
+    row, column = np.repeat(np.arange(len(n)), n)[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 1 << 12):
+        a, b = np.searchsorted(column, [c, c + (1 << 12)])
+        held = np.zeros((len(n), 1 << 12), np.float32)
+        held[row[a:b], column[a:b] - c] = 1
+        out += (held[left] @ held[right].T).astype(np.int64)
+    return out
+
+
 def _degrees(percent: int):
-    """Two blocks of a component, or one with itself -> links of each class between them."""
+    """Two blocks of a component, or one with itself -> links of each class between
+    them, derived from the answers for the component's base p: with D the difference
+    of a set from p and r what of p it lacks, two sets x, y share
+    |p| - r(x) - r(y) + |D(x) & D(y)| shingles. Where the first three terms suffice,
+    nothing is intersected."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         lo, hi = key[1].as_py(), key[2].as_py()
-        names, block = group.column("set").to_numpy(), group.column("block").to_numpy()
-        lists = group.column("s").combine_chunks()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = times[column] > 1  # what one set alone holds is in no overlap
-        row, column = np.repeat(np.arange(len(n)), n)[shared], column[shared]
-        _, column = np.unique(column, return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
+        names, block, n, lacks, base = (group.column(c).to_numpy() for c in ("set", "block", "n", "lacks", "base_n"))
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        overlap = np.zeros((len(left), len(right)), np.int64)
-        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 1 << 12):
-            a, b = np.searchsorted(column, [c, c + (1 << 12)])
-            held = np.zeros((len(n), 1 << 12), np.float32)
-            held[row[a:b], column[a:b] - c] = 1
-            overlap += (held[left] @ held[right].T).astype(np.int64)
-        linked = (100 + percent) * overlap >= percent * (n[left][:, None] + n[right])
+        linked = np.zeros((len(left), len(right)), bool)
+        if len(left) and len(right):
+            known = base[0] - lacks[left][:, None] - lacks[right]
+            needs = percent * (n[left][:, None] + n[right]) - (100 + percent) * known
+            linked = needs <= 0
+            open_left, open_right = np.flatnonzero(~linked.all(1)), np.flatnonzero(~linked.all(0))
+            if len(open_left):
+                rows = np.unique(np.concatenate([left[open_left], right[open_right]]))
+                lists = group.column("differs").combine_chunks().take(pa.array(rows))
+                got = _common(lists, np.searchsorted(rows, left[open_left]), np.searchsorted(rows, right[open_right]))
+                at = np.ix_(open_left, open_right)
+                linked[at] |= (100 + percent) * got >= needs[at]
         if lo == hi:
             np.fill_diagonal(linked, False)
             return pa.table({"set": names[left], "n_links": linked.sum(1)})
@@ -317,32 +374,75 @@ def _degrees(percent: int):
     return run
 
 
+def _joined(percent: int):
+    """A block of one star's sets and a block of its near stars' sets -> (a, b): each set that is
+    linked across, with the first set that those links reach."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        names, side = group.column("set").to_numpy(), group.column("side").to_numpy()
+        lists = group.column("s").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        linked = (100 + percent) * _common(lists, left, right) >= percent * (n[left][:, None] + n[right])
+        x, y = np.arange(len(left)), len(left) + np.arange(len(right))
+        while True:  # labels go along the links until none changes
+            new_y = np.minimum(y, np.where(linked, x[:, None], len(names)).min(0))
+            new_x = np.minimum(x, np.where(linked, new_y, len(names)).min(1))
+            if (new_x == x).all() and (new_y == y).all():
+                break
+            x, y = new_x, new_y
+        node, label = np.concatenate([names[left], names[right]]), np.concatenate([x, y])
+        moved = label != np.arange(len(label))
+        return pa.table({"a": node[moved], "b": node[label[moved]]})
+
+    return run
+
+
 #: Links that a task contracts by itself.
 LINKS = 1 << 20
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, shelf: Shelf | None = None, name: str = "components", a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of all nodes with a link; comp is the smallest node that is
     reachable. Tasks first contract the links that they hold, about LINKS each;
     where those are several tasks, rounds of alternating star contraction between
     them link every node's larger neighbours to its smallest one until nothing
-    changes. Tables only, and no list of neighbours."""
-    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    seen = None
+    changes. Tables only, and no list of neighbours. The result is on the shelf as ``name``."""
+    shelf = shelf or Shelf(links.sparkSession)
+    edges = shelf.put("edges0", links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    seen, at = None, 0
+
+    def next_(df: DataFrame) -> DataFrame:
+        nonlocal at
+        new = shelf.put(f"edges{at + 1}", df)
+        shelf.drop(f"edges{at}")
+        at += 1
+        return new
+
     while True:
         tasks = edges.count() // LINKS + 1
-        edges = stored(edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long"))
-        if tasks == 1:
-            return edges.toDF("node", "comp")
-        both = edges.filter("u <> v").union(edges.filter("u <> v").select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = stored(large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == seen:
-            return edges.toDF("node", "comp").union(edges.select("v", "v").distinct())
-        seen = now
+        edges = next_(edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long"))
+        found = edges.toDF("node", "comp") if tasks == 1 else None
+        if found is None:
+            both = edges.filter("u <> v").union(edges.filter("u <> v").select("v", "u"))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+            small = large.groupBy("u").agg(F.min("v").alias("m"))
+            edges = next_(large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+            if now == seen:
+                found = edges.toDF("node", "comp").union(edges.select("v", "v").distinct())
+            seen = now
+        if found is not None:
+            found = shelf.put(name, found)
+            shelf.drop(f"edges{at}")
+            return found
+
+
+#: Ids that the filter below can hold and still tell apart most others.
+FEW = 1 << 22
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -364,62 +464,77 @@ def _bits(ids: DataFrame) -> np.ndarray:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, set (the class), component_id, n_links for every row of the
-    table; n_links counts all other classes that the row's class is linked with."""
+    """id, mark (xxhash64 of the text), n_shingles, set (the class), group (a number of
+    the component, null without words), component_id, n_links for every row of the table;
+    n_links counts all other classes that the row's class is linked with."""
     spark = docs.sparkSession
+    shelf = Shelf(spark)
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    survey = stored(rows.mapInArrow(lean(_survey(k, 0, 1)), "kind int, id long, a long, b long"), "kind")
-    owners = survey.filter("kind = 0").select("id", F.col("a").alias("set"), F.col("b").alias("n"))
+    survey = shelf.put("survey", rows.withColumn("mark", F.xxhash64("text")).mapInArrow(lean(_survey(k)), "kind int, id long, mark long, a long, b long"), "kind")
+    owners = survey.filter("kind = 0").select("id", "mark", F.col("a").alias("set"), F.col("b").alias("n"))
     total = owners.agg(F.sum("n")).first()[0] or 0
     heavy = survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= max(32, total // HEAVY)).toArrow()
     order = spark.sparkContext.broadcast(Order(heavy.column("a").to_numpy().view(np.uint64), heavy.column("n").to_numpy()))  # no more than HEAVY entries
 
     entries = rows.select("text").mapInArrow(lean(_index(k, percent, order, 0)), "shingle long, part int, set long, n int, pos int")
-    dealt = entries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shingle", "part").sortWithinPartitions("shingle", "part", "set")
-    lists = stored(dealt.mapInArrow(lean(_lists), "shingle long, part int, set long, n int, pos int, p long, pn int, ppos int").select("shingle", "set", "n", "pos"))
+    dealt = entries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shingle", "part").sortWithinPartitions("shingle", "part", "n", "pos", "set")
+    lists = shelf.put("lists", dealt.mapInArrow(lean(_lists(percent)), "shingle long, set long, n int, pos int, open boolean"))
+    del entries, dealt
+    shelf.drop()  # the shuffle of all entries
 
     enough = lambda o, n, m: (100 + percent) * o >= percent * (n + m)
     fits = lambda n, m: (100 * n >= percent * m) & (100 * m >= percent * n)
     needed = lambda n, m: 1 + F.floor(F.least(n, m) / MORE)
     first_id = owners.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
 
-    def fetched(asked: DataFrame) -> DataFrame:
-        """Whole sets of the asked classes, and some others."""
-        wanted = spark.sparkContext.broadcast(_bits(asked.join(first_id, "set").select("id")))
-        return rows.mapInArrow(lean(_members(k, wanted)), "set long, s array<long>").dropDuplicates(["set"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def fetched(asked: DataFrame, name: str) -> DataFrame:
+        """Whole sets of the asked classes, and some others, on the shelf as ``name``."""
+        ids = shelf.put("ids", asked.join(first_id, "set").select("id"))
+        if ids.count() > FEW:  # a filter of fixed size would let all through
+            some = rows.join(ids.distinct(), "id", "left_semi").union(rows.filter("id IS NULL"))
+            wanted = None
+        else:
+            some, wanted = rows, spark.sparkContext.broadcast(_bits(ids))
+        whole = shelf.put(name, some.mapInArrow(lean(_members(k, wanted)), "set long, s array<long>").dropDuplicates(["set"]))
+        shelf.drop("ids")
+        if wanted is not None:
+            wanted.destroy()
+        return whole
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """a, b with their exact overlap and sizes; only sets in pairs are fetched."""
-        whole = stored(fetched(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()))
+        whole = fetched(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), f"{name}_sets")
         one = whole.select(F.col("set").alias("a"), F.col("s").alias("sa"))
         two = whole.select(F.col("set").alias("b"), F.col("s").alias("sb"))
         got = pairs.join(one, "a").join(two, "b")
-        return got.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-
-    distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+        out = shelf.put(name, got.select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).alias("o"), F.size("sa").alias("na"), F.size("sb").alias("nb")))
+        shelf.drop(f"{name}_sets")
+        return out.withColumn("d", 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o")))
 
     # step one: every set against the one central set that leads most of its lists.
     # Central is what shares most of its prefix: an original, rather than its copies,
     # which have shingles of their own
-    central = lists.groupBy("set").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("n") - F.ceil(F.first("n") * percent / 100) + 1 + F.floor(F.first("n") / MORE))).alias("share"))
-    shared = lists.select("shingle", "set", "n").join(central, "set")
+    size = F.first("n")
+    central = shelf.put("central", lists.groupBy("set").agg(size.alias("n"), (F.count(F.lit(1)) / F.least(size, size - F.ceil(size * percent / 100) + 1 + F.floor(size / MORE))).alias("share")))
+    shared = lists.select("shingle", "set").join(central, "set")
     heads = shared.groupBy("shingle").agg(F.max(F.struct("share", "set", "n")).alias("head"))
     led = shared.join(heads, "shingle").select(F.col("set").alias("a"), "n", F.col("head.set").alias("b"), F.col("head.n").alias("pn")).filter((F.col("a") != F.col("b")) & fits(F.col("n"), F.col("pn")))
     led = led.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     led = led.filter(2 * F.col("c") >= needed(F.col("n"), F.col("pn"))).groupBy("a").agg(F.max(F.struct("c", "b")).alias("most")).select("a", F.col("most.b").alias("b"))
-    first = stored(verified(stored(led)).filter(enough(F.col("o"), F.col("na"), F.col("nb"))).withColumn("d", distance))
-    comps = stored(components(first))
+    first = verified(shelf.put("led", led), "first").filter(enough(F.col("o"), F.col("na"), F.col("nb")))
+    del shared, heads, led
+    comps = components(first, shelf, "comps")
 
-    # each class with its component and the pivot that knows it best
+    # each class of a component with the pivot that knows it best
     pivot = first.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select(F.col("a").alias("set"), F.col("best.b").alias("rep"), F.col("best.d").alias("d"))
-    members = lists.select("shingle", "set", "n", "pos").join(comps.withColumnRenamed("node", "set"), "set", "left").join(pivot, "set", "left")
-    members = members.select("shingle", "set", "n", "pos", F.coalesce("comp", "set").alias("comp"), F.coalesce("rep", "set").alias("rep"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    spread = members.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
-    open_ = stored(members.join(spread, "shingle"))
+    known = shelf.put("known", comps.withColumnRenamed("node", "set").join(pivot, "set", "left").select("set", "comp", F.coalesce("rep", "set").alias("rep"), F.coalesce("d", F.lit(0.0)).alias("d")))
+    members = lists.filter("open").join(known, "set", "left").select("shingle", "set", "n", "pos", F.coalesce("comp", "set").alias("comp"), F.coalesce("rep", "set").alias("rep"), F.coalesce("d", F.lit(0.0)).alias("d"))
 
-    # step two: pivots against pivots of other components, with the best that their members could reach
-    asked = open_.groupBy("shingle", "comp", "rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("d").alias("far"))
+    # step two: pivots against pivots of other components, where sizes and positions
+    # leave room for some pair of their members, with the best that these could reach
+    asked = members.groupBy("shingle", "comp", "rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("d").alias("far"))
     x, y = asked.alias("x"), asked.alias("y")
+    room = F.least("x.rest", "y.rest") + F.floor(F.least("x.hi", "y.hi") / MORE)
     met = (
         x.join(
             y,
@@ -427,52 +542,79 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
             & (F.col("x.rep") < F.col("y.rep"))
             & (F.col("x.comp") != F.col("y.comp"))
             & (100 * F.col("x.hi") >= percent * F.col("y.lo"))
-            & (100 * F.col("y.hi") >= percent * F.col("x.lo")),
+            & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+            & enough(room, F.col("x.lo"), F.col("y.lo")),
         )
         .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .agg(F.max("x.far").alias("fa"), F.max("y.far").alias("fb"), F.count(F.lit(1)).alias("c"), F.min("x.lo").alias("n"), F.min("y.lo").alias("m"), F.max(F.least("x.rest", "y.rest")).alias("rest"))
         .filter((F.col("c") >= needed(F.col("n"), F.col("m"))) & enough(F.col("rest"), F.col("n"), F.col("m")))
         .select("a", "b", "fa", "fb")
     )
-    asked_pairs = stored(met)
-    second = stored(verified(asked_pairs.select("a", "b")).withColumn("d", distance).join(asked_pairs, ["a", "b"]))
-
-    # step three: members whose answers the pivots leave open
+    second = verified(shelf.put("asked", met), "second")
+    del members, asked, x, y, met
+    shelf.drop("lists", "led", "asked")
+    linked = enough(F.col("o"), F.col("na"), F.col("nb"))
+    links = first.select("a", "b").union(second.filter(linked).select("a", "b"))
+    merged = components(links, shelf, "merged")
+
+    # step three: stars still apart whose pivots leave open whether some members are
+    # linked. A member takes part if it is far enough from its own pivot to reach the
+    # other star; what a pivot's near stars have of such members meets in blocks
     limit = 1 - percent / 100 + 1e-9
-    near = second.filter((F.col("fa") + F.col("fb") > 0) & (F.col("d") - F.col("fa") - F.col("fb") <= limit)).select("a", "b", "fb", F.col("d").alias("between"))
-    u, v = open_.alias("u"), open_.alias("v")
-    # a member goes on only if it is far enough from its own pivot to reach some member there
-    mine = u.join(near, (F.col("u.rep") == F.col("a")) & (F.col("between") - F.col("u.d") - F.col("fb") <= limit)).select("shingle", F.col("set").alias("s1"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("d").alias("d1"), F.col("comp").alias("c1"), "b", "between")
-    third_pairs = (
-        mine.join(v.withColumnRenamed("rep", "b"), ["shingle", "b"])
-        .filter((F.col("c1") != F.col("comp")) & (F.col("between") - F.col("d1") - F.col("d") <= limit) & (F.col("d1") + F.col("d") > 0) & fits(F.col("n1"), F.col("n")))
-        .groupBy(F.col("s1").alias("a"), F.col("set").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.first("n1").alias("n"), F.first("n").alias("m"), F.max(F.least(F.col("n1") - F.col("i1"), F.col("n") - F.col("pos"))).alias("rest"))
-        .filter((F.col("c") >= needed(F.col("n"), F.col("m"))) & enough(F.col("rest"), F.col("n"), F.col("m")))
-        .select("a", "b")
-    )
-    third_pairs = stored(third_pairs)
-    third = stored(verified(third_pairs).filter(enough(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b"))
-    across = second.filter(enough(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b").union(third)
-
-    links = stored(first.select("a", "b").union(across))
-    final = stored(components(links)).withColumnRenamed("node", "set")
-
-    # links inside components: two classes have one, three and more are counted by blocks
+    at_a, at_b = (merged.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    near = second.filter(~linked & (F.col("fa") + F.col("fb") > 0) & (F.col("d") - F.col("fa") - F.col("fb") <= limit)).join(at_a, "a", "left").join(at_b, "b", "left")
+    near = near.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "fa", "fb", F.col("d").alias("between"))
+    # the larger star of a pair is its first: it meets all its near stars at once
+    stars = known.groupBy("rep").agg(F.count(F.lit(1)).alias("many"))
+    of_a, of_b = (stars.select(F.col("rep").alias(c), F.col("many").alias(f"m{c}")) for c in "ab")
+    near = near.join(of_a, "a", "left").join(of_b, "b", "left").withColumn("turn", F.coalesce("mb", F.lit(0)) > F.coalesce("ma", F.lit(0)))
+    turned = lambda x, y: F.when(F.col("turn"), F.col(y)).otherwise(F.col(x)).alias(x)
+    near = shelf.put("near", near.select(turned("a", "b"), turned("b", "a"), turned("fa", "fb"), turned("fb", "fa"), "between"))
+    pivots = near.select(F.col("a").alias("set")).union(near.select("b")).distinct().join(known, "set", "left_anti")
+    sized = known.select("set", "rep", "d").union(pivots.select("set", "set", F.lit(0.0))).join(central.select("set", "n"), "set")
+    loosest = near.groupBy("a").agg(F.min(F.col("between") - F.col("fb")).alias("least"))
+    own = sized.join(loosest, F.col("rep") == F.col("a")).filter(F.col("least") - F.col("d") <= limit).select("a", F.lit(0).alias("side"), "set", "n")
+    others = sized.join(near, F.col("rep") == F.col("b")).filter(F.col("between") - F.col("fa") - F.col("d") <= limit).select("a", F.lit(1).alias("side"), "set", "n").distinct()
+    sides = shelf.put("sides", own.union(others))
+    side = lambda i, f: f(F.when(F.col("side") == i, F.col("n")))
+    last = lambda i: F.greatest(F.floor(side(i, F.count) / BLOCK), F.floor(F.coalesce(side(i, F.sum), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = sides.groupBy("a").agg(last(0).alias("last0"), last(1).alias("last1"))
+    block = F.pmod(F.xxhash64("set"), F.when(F.col("side") == 0, F.col("last0")).otherwise(F.col("last1")) + 1).cast("int")
+    dealt = sides.join(blocks, "a").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("last1")).otherwise(F.col("last0")))))
+    dealt = dealt.join(fetched(sides.select("set").distinct(), "sides_sets"), "set")
+    dealt = dealt.select("a", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")).alias("lo"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block")).alias("hi"), "side", "set", "s")
+    third = shelf.put("third", dealt.groupBy("a", "lo", "hi").applyInArrow(_joined(percent), "a long, b long"))
+    final = components(links.union(third), shelf, "final").withColumnRenamed("node", "set")
+    del dealt, sides, own, others, sized, near
+    shelf.drop("near", "sides", "sides_sets", "merged", "central", "comps")
+
+    # links inside components: two classes have one; of three and more all pairs are
+    # counted by blocks, from the classes' differences from one base, the set that most know best
     sizes = final.join(owners.filter("n > 0").groupBy("set").agg(F.first("n").alias("n")), "set").groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
     sizes = sizes.select("comp", "many", F.greatest(F.floor(F.col("many") / BLOCK), F.floor(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("last"))
-    placed = stored(final.join(sizes, "comp").select("set", "comp", "many", "last", F.pmod(F.xxhash64("set"), F.col("last") + 1).cast("int").alias("block")))
+    led_by = known.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(final, F.col("rep") == F.col("set")).groupBy("comp").agg(F.max(F.struct("c", "rep"))["rep"].alias("base"))
+    placed = final.join(sizes, "comp").join(led_by, "comp", "left").select("set", "comp", "many", "last", F.coalesce("base", "comp").alias("base"), F.pmod(F.xxhash64("set"), F.col("last") + 1).cast("int").alias("block"))
+    placed = shelf.put("placed", placed)
     open_ = placed.filter("many > 2")
-    dealt = open_.join(fetched(open_.select("set")), "set").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "s")
+    whole = fetched(open_.select("set"), "open_sets")
+    bases = open_.select("base").distinct().join(whole.select(F.col("set").alias("base"), F.col("s").alias("p")), "base")
+    lacks, adds = F.array_except("p", "s"), F.array_except("s", "p")
+    apart = open_.join(whole, "set").join(bases, "base").select("comp", "last", "block", "set", F.size("s").cast("long").alias("n"), F.size("p").cast("long").alias("base_n"), F.size(lacks).cast("long").alias("lacks"), F.concat(lacks, adds).alias("differs"))
+    dealt = shelf.put("apart", apart).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    shelf.drop("open_sets")
+    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "n", "base_n", "lacks", "differs")
     counted = dealt.groupBy("comp", "lo", "hi").applyInArrow(_degrees(percent), "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
-    degree = stored(counted.union(placed.filter("many = 2").select("set", F.lit(1).cast("long"))))
+    degree = counted.union(placed.filter("many = 2").select("set", F.lit(1).cast("long")))
     classes = owners.filter("n > 0").groupBy("set").agg(F.min("id").alias("first"))
-    named = classes.join(final, "set", "left").join(degree, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    named = shelf.put("named", classes.join(final, "set", "left").join(degree, "set", "left").withColumn("comp", F.coalesce("comp", "set")))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("set", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_class = named.join(smallest, "comp").select("set", F.col("comp").alias("group"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     whole_rows = owners.withColumn("set", F.when(F.col("n") > 0, F.col("set"))).join(by_class, "set", "left")
-    return whole_rows.select("id", F.col("n").alias("n_shingles"), "set", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = shelf.put("out", whole_rows.select("id", "mark", F.col("n").alias("n_shingles"), "set", "group", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    order.destroy()
+    del dealt, apart, whole, bases, counted, degree, named, by_class, whole_rows, survey, owners
+    shelf.clear("out")
+    return out
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,20 +108,67 @@ def test_components(spark, monkeypatch, links):
     assert sorted(map(tuple, got)) == sorted((n, label[n]) for n in linked)
 
 
-def test_lists_do_not_depend_on_batches():
+@pytest.mark.parametrize("long_", [1 << 18, 4])
+def test_lists(monkeypatch, long_):
+    """Lists do not depend on batches, and no entry is closed that has a partner."""
+    monkeypatch.setattr(jaccard, "LONG", long_)
     rng = np.random.default_rng(1)
-    rows = sorted({(int(a), -1 if a % 3 else int(b % 2), int(b)) for a, b in rng.integers(0, 9, (60, 2))})
-    rows += [rows[-1]]
-    columns = lambda part: [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64()), pa.array([10] * len(part), pa.int32()), pa.array([0] * len(part), pa.int32())]
-    batch = lambda part: pa.RecordBatch.from_arrays(columns(part), ["shingle", "part", "set", "n", "pos"])
-    once = [tuple(r.values()) for b in jaccard._lists([batch(rows)]) for r in b.to_pylist()]
-    for step in (1, 2, 3, 7):
-        parts = [tuple(r.values()) for b in jaccard._lists([batch(rows[i : i + step]) for i in range(0, len(rows), step)]) for r in b.to_pylist()]
-        assert sorted(parts) == sorted(once)
-    groups = {}
-    for a, p, s in set(rows):
-        groups.setdefault((a, p), set()).add(s)
-    assert sorted(x[:3] for x in once) == sorted((a, p, s) for (a, p), v in groups.items() for s in v if len(v) > 1 or p >= 0)
+    size = {b: int(rng.integers(8, 40)) for b in range(30)}
+    rows = sorted({(a, -1 if a % 3 else b % 2, size[b], int(p), b) for a, b, p in ((int(x), int(y), rng.integers(0, 9)) for x, y in rng.integers(0, 30, (300, 2)) // [3, 1])}, key=lambda r: r)
+    seen, unique = set(), []
+    for r in rows:  # a set is in a list once
+        if (r[0], r[4]) not in seen:
+            seen.add((r[0], r[4]))
+            unique.append(r)
+    rows = sorted([*unique, *unique[::5]])  # but copies may come from several tasks
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kinds[i]) for i in (0, 1, 4, 2, 3)], ["shingle", "part", "set", "n", "pos"])
+    for step in (1, 2, 7, len(rows)):
+        out = [tuple(r.values()) for b in jaccard._lists(80)([batch(rows[i : i + step]) for i in range(0, len(rows), step)]) for r in b.to_pylist()]
+        listed = {}
+        for a, p, n, pos, b in unique:
+            listed.setdefault((a, p), []).append((b, n, pos))
+        want = sorted((a, b, n, pos) for (a, p), v in listed.items() for b, n, pos in v if len(v) > 1 or p >= 0)
+        if long_ > len(rows):
+            assert sorted(r[:4] for r in out) == want
+        assert set(want) <= {r[:4] for r in out}
+        open_ = {r[:2] for r in out if r[4]}
+        for (a, _), v in listed.items():
+            for (x, n, i), (y, m, j) in itertools.permutations(v, 2):
+                if 100 * n >= 80 * m and 100 * m >= 80 * n and 180 * (min(n - i, m - j) + min(n, m) // jaccard.MORE) >= 80 * (n + m):
+                    assert (a, x) in open_
+        assert long_ == 4 or len(open_) < len(want)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_of_groups(spark, monkeypatch, small):
+    """Groups of near copies, close groups that are not linked, common passages and
+    chains, with the limits of the method in use and lowered so that all of it runs."""
+    if small:
+        for name, value in {"PART": 5, "LOCAL": 1, "HEAVY": 40, "MORE": 10, "BLOCK": 4, "BLOCK_SHINGLES": 400, "LONG": 6, "FEW": 3, "LINKS": 30}.items():
+            monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(45)]
+    texts = []
+    for g in range(8):
+        start = [f"g{g}_{i}" for i in range(int(rng.integers(30, 120)))]
+        if g % 2:
+            start += passage
+        for _ in range(24):
+            copy = list(start)
+            for i in rng.integers(0, len(copy), rng.integers(0, 6)):
+                copy[i] = f"n{rng.integers(60)}"
+            texts.append(" ".join(copy))
+        texts += [" ".join(start[: len(start) - c]) for c in (6, 12, 25)]
+    texts += [" ".join([f"u{i}_{j}" for j in range(12)] + passage) for i in range(60)]
+    texts += [texts[1], texts[40], None, "", "one two"]
+    rows = list(enumerate(texts))
+    each = [shingles(t) for t in texts]
+    classes = {frozenset(s) for s in each if s}
+    degree = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in classes) for a in classes}
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == components(rows)
+    assert {r["id"]: r["n_links"] for r in got} == {i: degree.get(frozenset(s), 0) for i, s in enumerate(each)}
 
 
 # -- top k ---------------------------------------------------------------------------

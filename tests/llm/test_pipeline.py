@@ -38,6 +38,22 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_edge_cases(spark):
+    """Null ids, ids that repeat with other texts, null and very long texts, columns of clashing names."""
+    text = lambda s: " ".join(f"{w}{s}" for w in EN.split() * 3)
+    rows = [(1, text("a"), "s"), (1, text("b"), "s"), (1, text("b"), "s"), (None, text("b") + " more", "s"), (None, text("c"), None), (None, text("c"), None), (None, text("d"), "s"), (2, None, "s"), (2, None, "s"), (3, "word " * 40_000 + "x@y.zz", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, 1, 2, "k") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, size long, mark string")
+    single = P.near_duplicates(spark, docs, "")
+    assert single.columns == list(P.COLUMNS)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted([(r["doc_id"], r["text"]) for r in single.collect()], key=key) == sorted([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (2, None), (2, None), (3, rows[-1][1])], key=key)
+    clean = P.personal_data(spark, docs, "").collect()
+    assert len(clean) == len(rows) and next(r for r in clean if r["doc_id"] == 3)["text"].endswith("word [EMAIL]") and sum(r["text"] is None for r in clean) == 2
+    mix = [(r["doc_id"], r["text"]) for r in P.mixed(spark, single, "").collect()]
+    assert set(mix) <= {(r["doc_id"], r["text"]) for r in single.collect()} and max(mix.count(x) for x in mix) <= 2 and (None, text("d")) in mix or (None, text("c")) in mix
+    assert P.tokens(spark, docs, "").count() == len(rows)
+
+
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
