@@ -14,7 +14,7 @@ again. All but the last return the columns of ``documents``.
 4. sources are mixed to their weights: a document stands as often as the mix
    takes it. Rows that repeat an id and a size are taken alike; rows without an id
    go by their text.
-5. SentencePiece ids.
+5. SentencePiece ids, and whether they decode to the text again.
 
 Empty tables pass through every stage; null texts are rejected by the first. Whole
 texts are used, however long. Columns of the table beyond those of ``documents`` are
@@ -67,8 +67,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = sptokens.encode(docs.select("doc_id", "lang", "source", "text"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    ids = sptokens.encode(docs.select("doc_id", "lang", "source", "text"), back="round_trip", drop=("text",))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

@@ -400,3 +400,41 @@ def test_round_trip(spark, model):
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert coded.filter("size(ids) = 0").count() == 2
     assert sptokens.encode(docs.limit(0)).count() == 0 and sptokens.decode(coded.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_without_a_trace(model, monkeypatch):
+    rng = np.random.default_rng(9)
+    made, pieces = sptokens.build(model), sptokens.Pieces(model)
+    texts = ["".join(rng.choice(["ab", " ", "  ", "\n", "x.", "▁", "ß"], 3000)) for _ in range(20)] + ["no-space" * 500, "a b" * 400]
+    monkeypatch.setattr(sptokens, "PART", 50)
+    assert any(len(pieces.cut(t, 50)) > 10 for t in texts)
+    ids, upto = sptokens._encoded(made, pieces, texts)
+    assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_decoding_is_the_library_s(model):
+    rng = np.random.default_rng(10)
+    made, pieces = sptokens.build(model), sptokens.Pieces(model)
+    lists = [rng.integers(0, len(pieces.lens), rng.integers(0, 12)).tolist() for _ in range(400)] + [rng.integers(0, 300, 9).tolist() for _ in range(400)] + [[], [0], [1, 2]]
+    upto = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    got = pieces.decode(np.concatenate([np.array(x, np.int64) for x in lists]), upto, made).to_pylist()
+    assert got == made.decode_batch(lists, skip_special_tokens=False)
+
+
+def test_parity_over_a_documents_table(spark, model):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/documents.parquet"):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert sptokens.differences(model, [r["text"] or "" for r in rows]) == []
+    got = {r["doc_id"]: r for r in sptokens.op4_sentencepiece(spark, folder).collect()}
+    assert len(got) == len(rows) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got.values())
+
+
+def test_round_trip_flag_and_columns(spark, model):
+    docs = spark.createDataFrame([(1, "a ▁ b", "x", 1), (2, None, "y", 2), (2, None, "y", 2), (3, "word " * 200_000, "z", 3)], "doc_id long, text string, back string, ids int")
+    got = sptokens.encode(docs, back="back", drop=("text",))
+    assert got.columns == ["doc_id", "ids", "back"]
+    assert sorted((r["doc_id"], r["back"], bool(r["ids"])) for r in got.collect()) == [(1, False, True), (2, True, False), (2, True, False), (3, True, True)]
