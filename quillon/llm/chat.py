@@ -1,10 +1,11 @@
 """Chat formatting with typed content parts, by DataFrame operations only.
 
-A visitor goes over a turn's content parts: text is escaped, an image, audio or
+A visitor goes over a turn's content parts: text stays, an image, audio or
 document part becomes a numbered placeholder, and each attachment is recorded
-with its reference and the tokens that it will expand to. Turns are framed by
-the template below; control strings inside texts and roles are escaped in a way
-that :func:`unescape` undoes exactly.
+with its reference and the tokens that it will expand to. A plain text is the one
+part of its turn. Turns are framed by the template below; control strings inside
+texts and roles are escaped in a way that :func:`unescape` undoes exactly. They are
+sought in a turn's joined texts, so that parts cannot make one between them.
 
     <|begin|><|turn|>ROLE\\nCONTENT<|end|>\\n ...
 
@@ -15,7 +16,9 @@ so its turns must meet; conversations themselves spread freely.
 Defined results: null text and null role are empty; a null conversation id is a
 conversation of its own; null turns come first; equal turns are ordered by role,
 then content, and repeated rows are repeated turns; an empty table gives no
-rows. Only the named columns are read, whatever others are called.
+rows; a null list of parts and a null part are empty. Texts are whole however long: a
+conversation must fit into one value of Spark's, 2 GB. Only the named columns are read,
+whatever others are called.
 """
 
 from __future__ import annotations
@@ -39,12 +42,25 @@ def _code(char: str) -> str:
     return f"%{ord(char):02X}"
 
 
+#: How a placeholder stands in a text until control strings are escaped: no text has
+#: a % that 25 does not follow by then.
+_MARK = r"%#([a-z]+:[0-9]+)#"
+
+
+def _percent(text: Column) -> Column:
+    return F.replace(text, F.lit("%"), F.lit("%25"))
+
+
+def _closed(text: Column) -> Column:
+    """Percent-encodes the first character of each control string, then puts the placeholders in."""
+    for control in CONTROL:
+        text = F.replace(text, F.lit(control), F.lit(_code(control[0]) + control[1:]))
+    return F.regexp_replace(text, _MARK, "<|$1|>")
+
+
 def escape(text: Column) -> Column:
     """Percent-encode each % and the first character of each control string."""
-    out = F.replace(text, F.lit("%"), F.lit("%25"))
-    for control in CONTROL:
-        out = F.replace(out, F.lit(control), F.lit(_code(control[0]) + control[1:]))
-    return out
+    return _closed(_percent(text))
 
 
 def unescape(text: Column) -> Column:
@@ -87,9 +103,9 @@ def _attached(part: Column) -> Column:
 
 
 def visit(parts: Column, before: Column) -> Column:
-    """Parts in order -> array<struct<text, attachment>>. ``before``: attachments
-    of the conversation ahead of this turn. An unknown type counts as text; a
-    null part is empty."""
+    """Parts in order -> array<struct<text, attachment>>; :func:`body` joins the
+    texts. ``before``: attachments of the conversation ahead of this turn. An unknown
+    type counts as text; a null part is empty."""
     numbered = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (before + F.size(F.filter(F.slice(parts, 1, i), _attached)) + 1).alias("n")))
 
     def one(x: Column) -> Column:
@@ -98,34 +114,36 @@ def visit(parts: Column, before: Column) -> Column:
         for kind, count in VISITOR.items():
             tokens = F.when(p["type"] == kind, count(p)).otherwise(tokens)
         held = F.struct(n.cast("int").alias("n"), p["type"].alias("type"), p["ref"].alias("ref"), tokens.alias("tokens"))
-        mark = F.concat(F.lit("<|"), p["type"], F.lit(":"), n.cast("string"), F.lit("|>"))
-        return F.struct(F.when(_attached(p), mark).otherwise(escape(F.coalesce(p["text"], F.lit("")))).alias("text"), F.when(_attached(p), held).alias("attachment"))
+        mark = F.concat(F.lit("%#"), p["type"], F.lit(":"), n.cast("string"), F.lit("#"))
+        return F.struct(F.when(_attached(p), mark).otherwise(_percent(F.coalesce(p["text"], F.lit("")))).alias("text"), F.when(_attached(p), held).alias("attachment"))
 
     return F.transform(numbered, one)
 
 
+def body(seen: Column) -> Column:
+    """The text of a turn whose parts have been visited."""
+    return _closed(F.array_join(F.transform(seen, lambda x: x["text"]), ""))
+
+
 def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: ``conv``, ``formatted`` (string), ``mask``
     (array<struct<turn, start, length, at>>: the spans to learn from, ``start``
     in code points of the whole, ``at`` of the turn's own text), ``attachments``
     (array<struct<n, type, ref, tokens>>) and ``attachment_tokens``. ``content``
     is a string or an array of parts (:data:`PARTS`)."""
-    typed = dict(rows.dtypes)[content] != "string"
     base = rows.select(rows[conv].alias("conv"), rows[turn].alias("turn"), rows[role].alias("role"), rows[content].alias("content"))
     order = W.partitionBy("conv").orderBy("turn", "role", "content")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    if typed:
+    if dict(rows.dtypes)[content] == "string":  # a plain text attaches nothing
+        base = base.withColumn("_seen", visit(text_part(F.col("content")), F.lit(0)))
+    else:
         parts = F.coalesce(F.col("content"), F.array().cast(PARTS))
         base = base.withColumn("_ahead", F.coalesce(F.sum(F.size(F.filter(parts, _attached))).over(earlier), F.lit(0)))
         base = base.withColumn("_seen", visit(parts, F.col("_ahead")))
-        body = F.array_join(F.transform("_seen", lambda x: x["text"]), "")
-        held = F.filter(F.transform("_seen", lambda x: x["attachment"]), lambda x: x.isNotNull())
-    else:  # one text part: the visitor's text branch, without the arrays around it
-        body = escape(F.coalesce(F.col("content"), F.lit("")))
-        held = F.array().cast("array<struct<n:int,type:string,ref:string,tokens:bigint>>")
+    held = F.filter(F.transform("_seen", lambda x: x["attachment"]), lambda x: x.isNotNull())
     framed = (
         base.withColumn("_role", _role(F.col("role")))
-        .withColumn("_body", body)
+        .withColumn("_body", body(F.col("_seen")))
         .withColumn("_held", held)
         .withColumn("_turn", F.concat(F.lit(TURN), "_role", F.lit("\n"), "_body", F.lit(END + "\n")))
         .withColumn("_start", F.coalesce(F.sum(F.length("_turn")).over(earlier), F.lit(0)) + len(BEGIN))

@@ -66,14 +66,28 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return Shelf(df.sparkSession).put("", df, *partition_by)
 
 
+#: Bits of a hash that tell its range; so many counts a class go to the driver.
+RANGES = 14
+
+
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:
     """(id, y, text) of at most ``per_class`` labelled documents a class, lowest
     hash of the id first. Null labels and null texts do not count; of repeated
-    labels the highest holds. The sample is chosen from ids alone, within tasks
-    before rows are dealt out, and only its bounded list of ids is broadcast."""
+    labels the highest holds. The sample is chosen from ids alone: counts by class and
+    range of hashes (:data:`RANGES`) tell from which range on no id is in it, the rest is
+    put into order, and only the bounded list of ids is broadcast."""
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-    rank = W.partitionBy("y").orderBy(F.xxhash64("id", F.lit(label)), "id")
-    some = marks.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_class).select("id", "y")
+    marks = marks.withColumn("h", F.xxhash64("id", F.lit(label))).withColumn("range", F.shiftright("h", 64 - RANGES))
+    last, seen = {}, {}
+    for r in sorted(marks.groupBy("y", "range").count().collect()):
+        if seen.get(r["y"], 0) < per_class:
+            last[r["y"]] = r["range"]
+        seen[r["y"]] = seen.get(r["y"], 0) + r["count"]
+    near = F.lit(False)
+    for y, end in last.items():
+        near = near | ((F.col("y") == y) & (F.col("range") <= end))
+    rank = W.partitionBy("y").orderBy("h", "id")
+    some = marks.filter(near).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_class).select("id", "y")
     return docs.select(docs[key].alias("id"), docs[text].alias("text")).filter("text IS NOT NULL").join(F.broadcast(some), "id").select("id", "y", "text")
 
 

@@ -4,7 +4,10 @@ A page becomes a tree in one scan over its tags. Each paragraph earns points for
 its length and its commas and passes them to its ancestors, less with distance;
 an element's points are discounted by its link density. The element with most
 points is the container of the article: it and those of its siblings that also
-carry text are kept, less what is no text of the article by its tag or name.
+carry text are kept, less what is no text of the article by its tag or name. A name is a
+whole class, id or role that has only words of :data:`NOTES` and :data:`JOINTS`; other
+attributes and parts of other names say nothing. Lists of links go only where the page
+names no article or main element.
 Where the page names no article or main element, siblings are judged by their own
 text blocks too, and headings stay with the kept text that follows them.
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import lean, table
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>=`]+)))?")
 #: Elements whose content is no markup.
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"])
@@ -42,6 +45,12 @@ NOTES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert comment comments commentlist reply replies respond discussion disqus sidebar "
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe subscription signup login search popup modal overlay widget widgets tags tools skip".split()
 )
+#: What such a word is joined with: a name of which another word is left, share-prices
+#: or related-work, is no such name.
+JOINTS = frozenset(
+    "area bar bars block body bottom box btn button buttons card cards center col column container content count cta dialog fixed form global group icon icons inner item items js left line link links list lists main message "
+    "mobile module native outer page panel post posts primary right row rows secondary section site slot sticky stories tab text title top unit units view wrap wrapper zone article articles story entry feed media label prompt policy rail strip side us up this follow thread".split()
+)
 #: Roles and names of a page's header, which inside an article is its own.
 HEADERS = frozenset(["header", "banner"])
 HOMES = frozenset(["article", "main"])
@@ -70,19 +79,22 @@ def _named(tag: str, attributes: str, home: bool) -> tuple[bool, bool, bool]:
     main = weighed = False
     small = tag in TITLES or tag in INLINE or tag == "p"
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
+        name, raw = name.lower(), next((v for v in values if v), "")
+        value = raw.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, False, False
         if name == "itemprop" and value == "articlebody" or name == "role" and value in HOMES:
             main = True
         elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not (small and (name == "id" or home and tag != "p")):
-            for word in value.split():
-                pieces = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word)) if x]
+            for word in raw.split():
+                pieces = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if x]
                 if not pieces or pieces[0] in ("has", "with", "no", "without", "is"):
                     continue
-                ends = {pieces[0], pieces[-1]}
-                if ends & NOTES - HEADERS or ends & HEADERS and not home:
-                    if not home or ends & CERTAIN:
+                known = {x for x in pieces if x in NOTES or x in HEADERS}
+                if not known or any(x not in known and x not in JOINTS and not x.isdigit() for x in pieces):
+                    continue
+                if known - HEADERS or not home:
+                    if not home or known & CERTAIN:
                         return True, False, False
                     weighed = True
     return False, main, weighed
@@ -237,7 +249,7 @@ def main_text(page: str | None) -> str:
     inside: dict[Node, bool] = {}
     for node in nodes:  # parents come first
         inside[node] = node in kept or node.under is not None and inside[node.under]
-        crowd = node.tag in ("ul", "ol", "dl", "table") and node.size and node.links > 0.5 * node.size
+        crowd = not home.main and node.tag in ("ul", "ol", "dl", "table") and node.size and node.links > 0.5 * node.size
         # a name of the page's furniture holds unless most of the element is running text
         if (crowd or node.named and 2 * node.prose < node.size) and node not in kept:
             inside[node] = False

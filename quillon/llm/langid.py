@@ -4,11 +4,13 @@ Each language is a raw-content dictionary for zstandard, filled with text of
 that language. A text is encoded with every dictionary, and the one that makes
 it smallest names its language; a narrow margin over the second best rejects it.
 
-The dictionaries are filled from a bounded sample of labelled rows: at most
-:data:`PER_LANG` documents a language, lowest hash of the id first, up to
-:data:`DICT_BYTES` in all. Everything else covers whole texts: they are encoded
-in pieces of :data:`PIECE` bytes, so that the dictionary matters to the end of a
-long text and memory does not grow with it. One pass, no shuffle of texts.
+The dictionaries are filled from a bounded sample of labelled rows: whole texts in the
+order of the hash of the id, at most :data:`PER_LANG` documents a language, until
+:data:`DICT_BYTES` bytes are full; the text that fills them up is cut. Documents of more
+than :data:`LARGE` bytes come after all others, so that one long text is no dictionary.
+Everything else covers whole texts: they are encoded in pieces of :data:`PIECE` bytes, so
+that the dictionary matters to the end of a long text and memory does not grow with it.
+One pass, no shuffle of texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and is rejected; ties go to the language with most labelled rows, then by name; with one
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import lean, table
 
-PER_LANG, DICT_BYTES, TRAIN_CHARS = 240, 110_000, 2_000
+PER_LANG, DICT_BYTES, LARGE = 240, 110_000, 8_192
 PIECE, LEVEL = 8192, 5
-#: zstandard stores a tiny text as it is; this many zero bytes after a piece of
-#: less than SHORT bytes make every text worth encoding. All dictionaries pay alike.
-SHORT, FILL = 512, bytes(256)
+#: zstandard stores a tiny text as it is; these zero bytes after every piece make
+#: every text worth encoding. All dictionaries and all pieces pay alike.
+FILL = bytes(256)
 #: Share of the second best size that separates it from the best, below which a
 #: text is rejected.
 NARROW = 0.004
@@ -51,16 +53,22 @@ def plain(text: str) -> bytes:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> dict[str, bytes]:
     """language -> dictionary, most frequent language first. The sample is chosen from ids and labels alone;
     the limit by language is applied within tasks before rows are dealt out."""
-    rank = W.partitionBy("lang").orderBy("h", "id")
+    rank = W.partitionBy("lang").orderBy("large", "h", "id", "bytes")
     rows = docs.select(docs[key].alias("id"), docs[lang].alias("lang"), docs[text].alias("text")).filter("lang IS NOT NULL AND id IS NOT NULL")
-    ids = rows.select("id", "lang", F.xxhash64("id", F.lit("langid")).alias("h")).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang)
-    chosen = {r["id"]: r["r"] for r in ids.select("id", "r").collect()}
+    size = F.octet_length("text")
+    ids = rows.filter(size > 0).select("id", "lang", size.alias("bytes"), (size > LARGE).alias("large"), F.xxhash64("id", F.lit("langid")).alias("h"))
+    ids = ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang)
+    chosen, room = {}, {}
+    for r in sorted(ids.select("lang", "r", "id", "bytes").collect()):
+        if room.setdefault(r["lang"], 2 * DICT_BYTES) > 0:  # what is no letter goes, so up to twice the bytes are read
+            room[r["lang"]] -= r["bytes"]
+            chosen.setdefault(r["id"], r["r"])
     out: dict[str, list] = {}
-    for r in rows.filter(F.col("id").isin(list(chosen))).select("id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect() if chosen else []:
+    for r in rows.filter(F.col("id").isin(list(chosen))).select("id", "lang", F.left("text", F.lit(2 * DICT_BYTES)).alias("text")).collect() if chosen else []:
         if r["text"] and _LETTER.search(r["text"]):
             out.setdefault(r["lang"], []).append((chosen[r["id"]], r["id"], plain(r["text"])))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()} if out else {}
-    return {k: b" ".join(x[2] for x in sorted(v))[-DICT_BYTES:] for k, v in sorted(out.items(), key=lambda x: (-counts[x[0]], x[0]))}
+    return {k: b" ".join(x[2] for x in sorted(v))[:DICT_BYTES] for k, v in sorted(out.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 class Compressors:
@@ -75,8 +83,7 @@ class Compressors:
     def sizes(self, text: str) -> np.ndarray:
         data = plain(text)
         pieces = [data[i : i + PIECE] for i in range(0, max(len(data), 1), PIECE)]
-        pieces = [p + FILL if len(p) < SHORT else p for p in pieces]
-        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.each])
+        return np.array([sum(len(c.compress(p + FILL)) for p in pieces) for c in self.each])
 
     def guess(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
         """language, score, accepted. The score is one half at the narrow margin."""

@@ -3,18 +3,24 @@
 Fixed patterns give the base spans, which always stay. High-recall generators
 propose further, overlapping candidates: written-out addresses, numbers without
 a plus, other separators, and what looked like a base form but failed its check.
-Boosted trees score each candidate on its format and its context, and a
-threshold calibrated on held-out candidates decides which are added.
+Which candidates a text proposes depends on no other part of it: a generator's gate
+accepts whatever its pattern does. Boosted trees score each candidate on its format and
+its context, and a threshold calibrated on held-out candidates decides which are added.
+Of added spans that overlap, the one with the better score stays, then the earlier, the
+longer, and the kind that is listed first; none overlaps a base span.
 
 Everything runs in the row that holds the text: no shuffle, no join, no Python.
-The trees are fitted once per session on a bounded table of made-up candidates
-(:data:`TRAIN_ROWS` rows, a parameter), whose features the same expressions
-compute; the corpus is never sampled.
+The trees are fitted once per session on a bounded table of made-up texts
+(:data:`TRAIN_ROWS` rows, a parameter), whose features the same expressions compute; the
+corpus is never sampled. A made-up candidate is true only if it has the span and the kind
+of what was planted. A third of the texts, in words and contexts that the trees have not
+seen, calibrates the thresholds.
 
 Offsets are code points, ends exclusive. Defined results: null or empty text has
 no spans; repeated rows are treated alike; an empty table gives an empty table.
-Texts are scanned whole, by patterns without nested backtracking, so that very
-long texts and very long runs of digits or letters stay linear.
+Texts are scanned whole, by patterns without nested backtracking, so that very long runs
+of digits or letters stay linear; comparing the candidates of one text with each other
+takes time with the square of their number.
 """
 
 from __future__ import annotations
@@ -41,11 +47,11 @@ BASE = {
 GATE = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: What an address has from its at on, in all forms. The loose pattern ends in it, so as a gate it loses none.
 _HOST = r"(?:[(\[{]at[)\]}]|\x20at\x20|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++)"
-#: Further generators: (kind, gate, pattern).
+#: Further generators: (kind, gate, pattern). A gate is a part that every match of its pattern has.
 LOOSE = (
     ("email", rf"(?i){_HOST}", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?{_HOST}{{1,4}}"),
-    ("ip", r"[0-9][(\[]\.[)\]]", r"(?<![0-9.])[0-9]{1,3}(?:[(\[]?\.[)\]]?[0-9]{1,3}){3}(?![0-9.])"),
-    ("card", r"[0-9]{4}[./_][0-9]{4}", r"(?<![0-9])[0-9]{4}(?:[\x20./_-][0-9]{4}){2}[\x20./_-][0-9]{1,7}(?![0-9])"),
+    ("ip", r"[0-9][(\[]?\.[)\]]?[0-9]", r"(?<![0-9.])[0-9]{1,3}(?:[(\[]?\.[)\]]?[0-9]{1,3}){3}(?![0-9.])"),
+    ("card", r"[0-9]{4}[\x20./_-][0-9]{4}", r"(?<![0-9])[0-9]{4}(?:[\x20./_-][0-9]{4}){2}[\x20./_-][0-9]{1,7}(?![0-9])"),
     ("phone", r"[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}", r"(?<![0-9+.])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.])"),
 )
 CUES = {
@@ -123,8 +129,10 @@ def features(kind: Column, m: Column, b: Column, a: Column) -> dict[str, Column]
 
 def proposals(text: Column) -> Column:
     """All further candidates: array<struct<kind, start, end, m, b, a>>."""
-    sources = [(k, GATE[k], BASE[k], (lambda m, k=k: (F.length(_digits(m)) >= 7) & ~valid(k, m)) if k != "ip" else (lambda m: ~valid("ip", m))) for k in ("ip", "card", "phone")]
-    sources += [(k, g, p, lambda m: F.lit(True)) for k, g, p in LOOSE]
+    failed = lambda k, least: lambda m: (F.length(_digits(m)) >= least) & ~valid(k, m)
+    sources = [(k, GATE[k], BASE[k], failed(k, least)) for k, least in (("card", 13), ("phone", 7))]
+    octets = lambda m: valid("ip", F.regexp_replace(m, r"[^0-9.]", ""))
+    sources += [(k, g, p, octets if k == "ip" else lambda m: F.lit(True)) for k, g, p in LOOSE]
 
     def named(k: str):  # transform() counts a lambda's parameters, so k is bound here
         return lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), s["b"].alias("b"), s["a"].alias("a"))
@@ -133,13 +141,16 @@ def proposals(text: Column) -> Column:
 
 
 def _made_up(spark: SparkSession, rows: int) -> DataFrame:
-    """(text, label): personal data in unusual forms and look-alikes, in contexts."""
+    """(id, held, text, kind, start, end): personal data in unusual forms and
+    look-alikes, in contexts; kind is null without personal data, else it has the span."""
     pick = lambda salt, *options: F.get(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))).cast("int"))
     number = lambda salt, low, high: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low)) + low).cast("string")
     join = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
-    name = pick("n", "anna", "j.doe", "max_m", "info", "r2d2", "sales")
-    host = pick("h", "mail", "example", "post-box", "acme")
-    end = pick("e", "com", "org", "net", "de")
+    held = F.col("id") % 3 == 0
+    either = lambda salt, seen, unseen: F.when(held, pick(salt, *unseen)).otherwise(pick(salt, *seen))
+    name = either("n", ("anna", "j.doe", "max_m", "info", "r2d2", "sales"), ("petra.k", "office", "li-wei", "b12"))
+    host = either("h", ("mail", "example", "post-box", "acme"), ("web9", "firma", "uni-x"))
+    end = either("e", ("com", "org", "net", "de"), ("fr", "io", "co"))
     q = lambda i: number(f"q{i}", 1000, 9999)
     body = F.concat(F.lit("4"), number("c1", 10**6, 10**7 - 1), number("c2", 10**6, 10**7 - 1))
     card = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda c: F.call_function("luhn_check", c)), 0)
@@ -148,30 +159,43 @@ def _made_up(spark: SparkSession, rows: int) -> DataFrame:
     a3, b3, d4 = number("a3", 200, 999), number("b3", 200, 999), number("d4", 1000, 9999)
     good = pick("good", join(name, " (at) ", host, " (dot) ", end), join(name, "[at]", host, "[dot]", end), join(name, " at ", host, " dot ", end), join(name, " (at) ", host, ".", end), join(o(1), "[.]", o(2), "[.]", o(3), "[.]", o(4)), join(o(1), "(.)", o(2), "(.)", o(3), "(.)", o(4)), cut("."), cut("/"), cut("_"), join("(", a3, ") ", b3, "-", d4), join(a3, "-", b3, "-", d4), join(name, " at ", host, ".", end), join(name, " @ ", host, ".", end), join(name, "@", host, " dot ", end), join(name, " at ", host, " (dot) ", end), join(name, "@", host, "(dot)", end))
     bad = pick("bad", join(number("x", 300, 999), ".", o(2), ".", o(3), ".", o(4)), join("1.2.", number("x", 256, 4000), ".7"), join(q(1), q(2), q(3), q(4)), join(q(1), " ", q(2), " ", q(3), " ", q(4)), join(q(1), "/", q(2), "/", q(3), "/", q(4)), join(q(1), ".", q(2), ".", q(3), ".", q(4)), join("look at ", host, " dot"), join("met at ", host, ". Then"), join("stay at ", host, ".It was"), join("two @ ", host, ". They"), join(a3, " ", b3, " ", d4), join(a3, ".", b3, ".", d4), join(a3, "-", b3, "-", d4), join("+1 ", number("s", 100, 999), " 22"), join(q(1), number("y", 10**9, 10**10 - 1)), join("0000 0000 0000 0000"))
-    near = pick("near", "Please call ", "phone: ", "contact ", "mail ", "card ", "host ", "", "and then the ", "of ", "server ")
-    far = pick("far", "order ", "version ", "ISBN ", "the ", "no ", "part ", "", "total of ", "ref ", "code x")
+    kinds = F.array(*[F.lit(k) for k in ["email"] * 4 + ["ip"] * 2 + ["card"] * 3 + ["phone"] * 2 + ["email"] * 5])  # of the forms in good
+    near = either("near", ("Please call ", "phone: ", "contact ", "mail ", "card ", "host ", "", "and then the ", "of ", "server "), ("write to ", "dial ", "my card is ", "login from ", "so ", "you reach "))
+    far = either("far", ("order ", "version ", "ISBN ", "the ", "no ", "part ", "", "total of ", "ref ", "code x"), ("invoice ", "build ", "lot ", "page ", "and ", "sum of "))
     positive = F.pmod(F.xxhash64("id", F.lit("label")), F.lit(2)) == 1
+    form = F.pmod(F.xxhash64("id", F.lit("good")), F.lit(16)).cast("int")
     # a ten-digit number without a plus or brackets is a telephone number only after a word that says so
-    shaped = F.pmod(F.xxhash64("id", F.lit("good")), F.lit(16)) == 10
-    lead = F.when(positive & shaped, pick("said", "phone: ", "Please call ", "tel ", "mobile ")).when(positive, near).otherwise(far)
-    return spark.range(rows).select("id", F.concat(F.lit("Then "), lead, F.when(positive, good).otherwise(bad), pick("tail", " and more.", ".", " for them", ", so")).alias("text"), positive.cast("double").alias("label"))
+    said = either("said", ("phone: ", "Please call ", "tel ", "mobile "), ("dial ", "my cell is ", "fax "))
+    lead = F.concat(F.lit("Then "), F.when(positive & (form == 10), said).when(positive, near).otherwise(far))
+    made = spark.range(rows).withColumn("_lead", lead).withColumn("_good", good).withColumn("_bad", bad)
+    text = F.concat("_lead", F.when(positive, F.col("_good")).otherwise(F.col("_bad")), either("tail", (" and more.", ".", " for them", ", so"), (" today", "; then", " (thanks)")))
+    return made.select("id", held.alias("held"), text.alias("text"), F.when(positive, F.get(kinds, form)).alias("kind"), F.length("_lead").alias("start"), (F.length("_lead") + F.length("_good")).alias("end"))
 
 
 @functools.lru_cache(maxsize=8)
 def _fitted(spark: SparkSession, rows: int, precision: float) -> tuple[Boosted, dict[str, float]]:
-    made = _made_up(spark, rows).select("id", "label", F.explode(proposals(F.col("text"))).alias("c"))
+    made = _made_up(spark, rows).withColumn("c", F.explode(proposals(F.col("text"))))
     cols = features(F.col("c.kind"), F.col("c.m"), F.col("c.b"), F.col("c.a"))
-    got = made.select("id", "label", F.col("c.kind").alias("k"), *[c.alias(n) for n, c in cols.items()]).orderBy("id", *cols).collect()
-    x = np.array([[r[n] for n in cols] for r in got], float)
-    y, held, kind = np.array([r["label"] for r in got]), np.array([r["id"] % 3 == 0 for r in got]), np.array([r["k"] for r in got])
+    true = F.coalesce((F.col("c.kind") == F.col("kind")) & (F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end")), F.lit(False))
+    got = made.select("id", "held", true.cast("double").alias("label"), F.col("c.kind").alias("k"), *[c.alias(f"f_{n}") for n, c in cols.items()]).orderBy("id", "k", *[f"f_{n}" for n in cols]).collect()
+    # a made-up number that passes the check by chance is no look-alike
+    got = [r for r in got if r["label"] or r["k"] != "card" or not r["f_luhn"] or r["f_repeat"]]
+    x = np.array([[r[f"f_{n}"] for n in cols] for r in got], float)
+    y, held, kind = np.array([r["label"] for r in got]), np.array([r["held"] for r in got]), np.array([r["k"] for r in got])
     model = fit(x[~held], y[~held], list(cols))
-    p, limits = 1 / (1 + np.exp(-model.margin(x))), {}
-    for k in KINDS:  # the lowest threshold that keeps the precision on held-out candidates
+    margin, limits = model.margin(x), {}
+    for k in KINDS:  # the lowest threshold that keeps the precision on held-out candidates, midway to the next of them
         rows_k = held & (kind == k)
-        order = np.argsort(-p[rows_k])
+        score = -np.sort(-margin[rows_k])
+        order = np.argsort(-margin[rows_k], kind="stable")
+        last = np.append(score[1:] < score[:-1], True)  # equal scores are on one side
         hits = np.cumsum(y[rows_k][order]) / np.arange(1, rows_k.sum() + 1)
-        good = np.flatnonzero(hits >= precision)
-        limits[k] = max(0.6, float(p[rows_k][order][good[-1]])) if len(good) else 1.1
+        good = np.flatnonzero((hits >= precision) & last)
+        if len(good):
+            low = score[good[-1] + 1] if good[-1] + 1 < len(score) else 0.0
+            limits[k] = max(0.5, float(1 / (1 + np.exp(-(score[good[-1]] + min(low, score[good[-1]])) / 2))))
+        else:
+            limits[k] = 1.1
     return model, limits
 
 
@@ -194,10 +218,14 @@ def detect(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, pr
     limit = lambda k: functools.reduce(lambda rest, n: F.when(k == n, F.lit(limits[n])).otherwise(rest), KINDS, F.lit(1.1))
     number = lambda k: functools.reduce(lambda rest, i: F.when(k == KINDS[i], F.lit(i)).otherwise(rest), range(len(KINDS)), F.lit(-1))
     free = F.filter("__proposed", lambda c: ~F.exists("base_spans", lambda s: meets(c, s)))
-    chosen = F.filter(free, lambda c: model.column(features(c["kind"], c["m"], c["b"], c["a"])) >= limit(c["kind"]))
-    added = F.transform(chosen, lambda c: F.struct(number(c["kind"]).alias("k"), c["start"].alias("start"), c["end"].alias("end")))
+    weighed = F.transform(free, lambda c: F.struct(c["kind"].alias("of"), number(c["kind"]).alias("k"), c["start"].alias("start"), c["end"].alias("end"), *[v.alias(f"f_{n}") for n, v in features(c["kind"], c["m"], c["b"], c["a"]).items()]))
+    seen = seen.withColumn("__weighed", weighed)  # a candidate's features are made once, then all trees read them
+    scored = F.transform("__weighed", lambda c: F.struct((-model.column({n: c[f"f_{n}"] for n in model.names})).alias("p"), c["start"].alias("start"), (-c["end"]).alias("past"), c["k"].alias("k"), c["end"].alias("end"), limit(c["of"]).alias("least")))
+    seen = seen.withColumn("__scored", F.filter(scored, lambda c: -c["p"] >= c["least"]))
+    best = F.filter("__scored", lambda c: ~F.exists("__scored", lambda d: meets(c, d) & (F.struct(d["p"], d["start"], d["past"], d["k"]) < F.struct(c["p"], c["start"], c["past"], c["k"]))))
+    added = F.transform(best, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end")))
     every = F.when(F.size("__proposed") == 0, F.col("base_spans")).otherwise(F.sort_array(F.array_distinct(F.concat("base_spans", added))))
-    return seen.withColumn("spans", every.cast(SPAN)).drop("__proposed")
+    return seen.withColumn("spans", every.cast(SPAN)).drop("__proposed", "__weighed", "__scored")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,9 +6,10 @@ if enough of its characters are in content lines. A few counts over the text
 give a base rule that rejects on its own.
 
 The field has two labels and some features a line (:data:`FEATURES`). It is
-fitted on a bounded sample of labelled documents (:data:`PER_CLASS` a class),
-whose lines take the document's label; for fitting alone, a sampled text counts
-with its first :data:`FIT_LINES` lines. Decoding covers whole texts. Counts are
+fitted on a bounded sample of labelled documents (:data:`PER_CLASS` a class) of at most
+:data:`MOST_LINES` lines, whose lines take the document's label: line labels are not in
+the tables, so what is learned of moves between labels is that they are rare. For fitting
+alone, a text's lines are taken in runs of :data:`FIT_LINES`. Decoding covers whole texts. Counts are
 made over the bytes of a batch, rows are never shuffled, and memory is a few
 megabytes of text at a time, or one longer text.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import PLAIN, bytes_of, labelled, lean, parts, table, windows, word_hashes, word_spans
 
-PER_CLASS, FIT_LINES = 1500, 48
+PER_CLASS, FIT_LINES, MOST_LINES = 1500, 48, 1_000
 FEATURES = ("one", "words", "symbols", "capitals", "bangs", "bars", "digits", "repeats", "again", "open", "short")
 MIN_WORDS, MAX_REPEATED, MIN_CONTENT = 50, 0.5, 0.5
 
@@ -203,18 +204,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             for first, n in parts(batch.column(2)):
                 got = count(batch.column(2).slice(first, n))
-                each = [got.x[a : min(b, a + FIT_LINES)].astype(np.float32).tobytes() for a, b in zip(got.line_upto[:-1], got.line_upto[1:], strict=True)]
+                each = [got.x[a : b if b - a <= MOST_LINES else a].astype(np.float32).tobytes() for a, b in zip(got.line_upto[:-1], got.line_upto[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(each, pa.binary())], ["id", "y", "x"])
 
     rows = [r for r in sorted(labelled(docs, labels, key, text, label, per_class).mapInArrow(lean(lines), "id long, y int, x binary").collect()) if r["x"]]
     if len({r["y"] for r in rows}) < 2:
         return Field(np.zeros(len(FEATURES)), np.zeros((2, 2)))
-    x = np.zeros((len(rows), FIT_LINES, len(FEATURES)))
-    mask = np.zeros(x.shape[:2], bool)
-    for i, r in enumerate(rows):
+    runs = []
+    for r in rows:
         own = np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES))
+        runs += [(r["y"], own[i : i + FIT_LINES]) for i in range(0, len(own), FIT_LINES)]
+    x = np.zeros((len(runs), FIT_LINES, len(FEATURES)))
+    mask = np.zeros(x.shape[:2], bool)
+    for i, (_, own) in enumerate(runs):
         x[i, : len(own)], mask[i, : len(own)] = own, True
-    y = np.repeat(np.array([r["y"] for r in rows])[:, None], FIT_LINES, 1)
+    y = np.repeat(np.array([y for y, _ in runs])[:, None], FIT_LINES, 1)
     return fit(x, y, mask)
 
 

@@ -438,3 +438,36 @@ def test_round_trip_flag_and_columns(spark, model):
     got = sptokens.encode(docs, back="back", drop=("text",))
     assert got.columns == ["doc_id", "ids", "back"]
     assert sorted((r["doc_id"], r["back"], bool(r["ids"])) for r in got.collect()) == [(1, False, True), (2, True, False), (2, True, False), (3, True, True)]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<p title="hidden costs of oil">KEEP one, and two.</p>',
+        '<p>See <a href="/p?id=tags">KEEP</a> here, as one says.</p>',
+        '<p data-id="login">KEEP in, one needs a name.</p>',
+        '<section class="share-prices"><p>KEEP fell.</p></section>',
+        '<h2 id="related">KEEP</h2>',
+        '<h2 id="comments-and-tools">KEEP</h2>',
+        "<ul><li><a href=x>KEEP</a></li></ul>",
+        "<div class='related-work'><p>KEEP</p></div>",
+        "<p onclick='hidden' alt=\"class='ad'\">KEEP</p>",
+    ],
+)
+def test_look_alike_attributes_lose_no_text(part):
+    page = "<html><body><nav><a href=q>Home</a></nav><article><p>First, a long enough paragraph of the article, with commas, and more.</p>" + part + "</article><div class='cookie-notice'>DROP</div><div hidden>DROP</div><div class=shareButtons>DROP</div><footer>DROP</footer></body></html>"
+    got = extract.main_text(page)
+    assert "KEEP" in got and "DROP" not in got and "Home" not in got
+
+
+def test_extraction_against_plain_pages():
+    """Generated pages: blocks of an article between furniture come out as they went in."""
+    rng = np.random.default_rng(31)
+    words = "oil costs, say some, rise and fall. hidden login tags share".split()
+    for _ in range(150):
+        blocks = [" ".join(rng.choice(words, rng.integers(12, 60))) + "." for _ in range(rng.integers(2, 9))]
+        tags = [str(rng.choice(["p", "p", "p", "h2", "blockquote", "pre"])) for _ in blocks]
+        body = "".join(f"<{t} id='{rng.choice(words).strip('.,')}'>{b}</{t}>" for t, b in zip(tags, blocks))
+        page = f"<html><head><title>x</title><script>var a='<p>no</p>';</script></head><body><header>Top</header><nav><ul><li><a href=a>Menu</a></li></ul></nav><main><article>{body}</article></main><aside>Side</aside><div class='comments'><p>Reader says, well, a lot of things, really.</p></div><footer>Foot</footer></body></html>"
+        assert extract.main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
+
