@@ -86,8 +86,12 @@ def volume_key(volume: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(volume, F.lit("")), r"(?U)\s+", ""))
 
 
+# The entities of XML.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+
+
 def unescape(text: Column) -> Column:
     """The five XML entities, one after the other."""
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text

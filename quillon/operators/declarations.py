@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .policy import BYLINE, FACILITY, STATEMENTS, Byline, Statement, required
+from .policy import BYLINE, FACILITY, STATEMENTS, Byline, Journal, Statement, required
 
 GAP = r"(?U)\n\s*\n"
 
@@ -48,9 +48,10 @@ def _judge(rule: Statement, held: Column) -> Column:
     return F.struct(F.lit(rule.key).alias("key"), F.lit(rule.label).alias("label"), at.isNotNull().alias("present"), F.coalesce(own["line"], F.lit(0)).alias("line"), issues.alias("issues"))
 
 
-def check_statements(df: DataFrame, text: str = "text", journal: str | None = None, rules: dict[str, Statement] | None = None) -> DataFrame:
-    """Adds statements (array of findings), extra_issues and status."""
-    known = rules or STATEMENTS
+def check_statements(df: DataFrame, text: str = "text", journal: Journal | None = None, rules: dict[str, Statement] | None = None) -> DataFrame:
+    """Adds statements (array of findings), extra_issues and status. ``rules`` adds to
+    the statements that are known, or replaces some."""
+    known = {**STATEMENTS, **(rules or {})}
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_blocks", blocks(t)).withColumn("statements", F.array(*[_judge(known[k], F.col("_blocks")) for k in required(journal)])).drop("_blocks")
     cues, doi = FACILITY

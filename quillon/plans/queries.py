@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scan import join_ints, spans
-from ..operators import declarations, layout, manifest, numbering, records, segments, wording
+from ..operators import declarations, layout, manifest, numbering, policy, records, segments, wording
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,9 +292,7 @@ def entry_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _issues(spark: SparkSession, sf_dir: str, check: Callable[[DataFrame], DataFrame], *kinds: str) -> DataFrame:
-    rows = check(ms(spark, sf_dir))
-    if kinds:
-        rows = rows.filter(F.col("kind").isin(*kinds))
+    rows = check(ms(spark, sf_dir), kinds=kinds or None)
     return rows.select("doc_id", "kind", "token", "suggestion", "severity")
 
 
@@ -351,7 +349,7 @@ def editorial_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("editorial_status", "SELECT doc_id, CASE WHEN doc_id % 5 = 2 OR doc_id % 7 = 3 THEN 'suspect' ELSE 'ok' END AS status FROM documents")
 def editorial_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ms(spark, sf_dir)
-    return wording.status(wording.check_editorial(rows), rows)
+    return wording.status(wording.check_editorial(rows, severity="error"), rows)
 
 
 @query("sentence_initial", f"""WITH {PARTS}, l AS (SELECT doc_id, unnest(string_split(prose, chr(10))) AS line FROM parts),
@@ -388,7 +386,7 @@ def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unit_findings", """SELECT doc_id, CASE WHEN doc_id % 8 = 1 THEN 'error, warning, warning' ELSE 'error' END AS severities, 'suspect' AS status FROM documents""")
 def unit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wording.check_units(ms(spark, sf_dir), journal="celsius")
+    rows = wording.check_units(ms(spark, sf_dir), journal=policy.Journal("celsius", (), "degC"))
     return rows.select("doc_id", F.array_join(F.transform("findings", lambda f: f["severity"]), ", ").alias("severities"), "status")
 
 
