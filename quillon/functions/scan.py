@@ -70,18 +70,6 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
-def starts_of(rows: Column, keep: Callable[[Column], Column]) -> Column:
-    """Of pieces and matches in turn, the matches that ``keep`` accepts, with their
-    positions: for few of many, whose places are summed one by one."""
-    wanted = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("i"), x["m"].alias("m"), F.length(x["g"]).alias("g"))), lambda x: x["m"].isNotNull() & keep(x["m"]))
-
-    def placed(x: Column) -> Column:
-        start = F.aggregate(F.slice(rows, F.lit(1), x["i"]), x["g"], lambda acc, y: acc + _length(y))
-        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"))
-
-    return F.transform(wanted, placed)
-
-
 def blanked(text: Column, pattern: str) -> Column:
     """The text with every match replaced by as many spaces."""
     rows = cut(text, pattern)

@@ -87,3 +87,34 @@ def test_blank_runs_stay_linear(one):
     began = time.time()
     assert one((" " * 4400 + "\n") * 3 + "x", S.reference_list) is not None
     assert time.time() - began < 20
+
+
+def test_floats_equal_the_plain_patterns(spark):
+    """One search for both kinds finds what a search each for captions and mentions does."""
+    import random
+    import re
+
+    words = ["Figure 1", "Fig. 2", "figs 3-5", "Table 2", "tab. 4", "TABLES 1 to 3", "their ", "Lee's ", ". ", ": ", "\n", "\n**", " _", " ", "and 7", "prefigure 2", "Figure\n9:", "Figures 1 and 2."]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(0, 25))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string")
+    got = {(r["doc_id"], r["kind"]): (r["captions"], r["referenced"]) for r in N.check_floats(rows).collect()}
+    names = {"figure": r"(?:Figures?|Figs?\.?)", "table": r"(?:Tables?|Tabs?\.?)"}
+    want = {}
+    for i, t in enumerate(texts):
+        for kind, name in names.items():
+            heads = list(re.finditer(rf"(?m)^[ \t]*[*_]{{0,2}}[ \t]*\b({name}\s*(\d{{1,3}})\s*[.:])", t))
+            found = re.finditer(rf"(?i)(?<!their )(?<!'s )\b{name}\s*\d{{1,3}}(?:\s*(?:and|to|[-–—,&])\s*\d{{1,3}})*", t)
+            numbers = []
+            for m in found:
+                if m.start() in {h.start(1) for h in heads}:
+                    continue
+                last = None
+                for n in re.finditer(r"\d{1,3}", m[0]):
+                    gap, k = m[0][(last or n).end() if last else 0 : n.start()], int(n[0])
+                    low = int(last[0]) if last else None
+                    numbers += range(low + 1, k + 1) if last and re.search(r"(?i)[-–—]|\bto\b", gap) and low < k else [k]
+                    last = n
+            if heads or numbers:
+                want[i, kind] = ([int(h[2]) for h in heads], list(dict.fromkeys(numbers)))
+    assert got == want
