@@ -49,10 +49,11 @@ def fetched(refs: DataFrame, fetch: Callable[[str], dict | None], source: str, p
                     got = None
                 if got:
                     rows.append({"source": source, "priority": priority, "doi": doi, **{n: got.get(n) for n in names}})
-            out = pd.DataFrame(rows, columns=["source", "priority", "doi", *names])
-            out["year"] = out["year"].astype("Int32")
-            out["priority"] = out["priority"].astype("int32")
-            yield out
+            if rows:
+                out = pd.DataFrame(rows, columns=["source", "priority", "doi", *names])
+                out["year"] = out["year"].astype("Int32")
+                out["priority"] = out["priority"].astype("int32")
+                yield out
 
     return refs.select(doi_key(F.col("doi")).alias("doi")).filter("doi IS NOT NULL").distinct().mapInPandas(run, RECORD)
 

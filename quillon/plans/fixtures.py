@@ -82,9 +82,44 @@ SELECT p_size AS repo_id, p_partkey AS ord, '`' || CASE WHEN p_partkey % 3 = 0 T
 FROM part WHERE p_partkey % 2 = 0"""
 
 
+_K, _YEAR = _s("o_orderkey"), _s("CAST(extract(year FROM o_orderdate) AS INT)")
+_FAMILY = "'K' || substr('abcdefghij', CAST(o_orderkey % 10 AS INT) + 1, 1) || 'son'"
+_OTHERS = """CASE WHEN o_orderkey % 5 = 0 THEN ', {"literal": "et al."}' WHEN o_orderkey % 5 = 1 THEN ', {"literal": "The Group"}' WHEN o_orderkey % 5 = 2 THEN ', "odd"' ELSE ', {"given": "Bo", "family": "Berg"}' END"""
+CSL = f"""
+SELECT 'o' || {_K} || '.json' AS path,
+       {_if("o_orderkey % 3 = 0", '[null, "x", ')} || '{{"id": "r' || {_K} || '", "title": "On the ' || {_K} || ' orders", "author": [{{"given": "Ana", "family": "' || {_FAMILY} || '"}}' || {_OTHERS} || '], "issued": '
+       || CASE WHEN o_orderkey % 7 = 0 THEN '{{}}' WHEN o_orderkey % 7 = 1 THEN '{{"date-parts": [["' || {_YEAR} || '", 3]]}}' WHEN o_orderkey % 7 = 2 THEN '{{"date-parts": [["n.d."]]}}' ELSE '{{"date-parts": [[' || {_YEAR} || ']]}}' END
+       || ', "volume": ' || CASE WHEN o_orderkey % 4 = 0 THEN {_s("o_orderkey % 10")} ELSE '"' || {_s("o_orderkey % 10")} || '"' END || ', "page": "' || {_s("o_orderkey % 900")} || '-9"'
+       || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ', "DOI": "10.1000/O' || {_K} || '"' END || '}}' || {_if("o_orderkey % 3 = 0", "]")} AS text
+FROM orders"""
+BIBTEX = f"""
+SELECT 'o' || {_K} || '.bib' AS path,
+       {_if("o_orderkey % 9 = 0", "@comment{x, title = {none}}")} || '@article{{b' || {_K} || ', Title = {{On {{Li}} and  M' || chr(92) || '"uller ' || {_K} || '}}, author = {{'
+       || {_FAMILY} || ', Ana and ' || CASE WHEN o_orderkey % 5 = 0 THEN 'others' WHEN o_orderkey % 5 = 1 THEN 'Bo Berg' ELSE 'Berg, Bo' END || '}}, year = '
+       || CASE WHEN o_orderkey % 7 = 0 THEN '{{in press}}' WHEN o_orderkey % 7 = 1 THEN '"' || {_YEAR} || '"' ELSE {_YEAR} END || ', volume = ' || {_s("o_orderkey % 10")} || ', pages = {{' || {_s("o_orderkey % 900")} || '--9}}'
+       || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ', doi = "10.1000/O' || {_K} || '"' END || '}}' || {_if("o_orderkey % 13 = 0", "@book{open, title = {never")} AS text
+FROM orders"""
+ANSWERS = f"""
+SELECT '10.1000/o' || {_K} AS doi,
+       '{{"message": {{"title": [' || {_if("o_orderkey % 6 <> 0", '"A title"')} || '], "issued": ' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '{{"date-parts": [[' || {_YEAR} || ', 2]]}}' END
+       || CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE ', "author": [{{"given": "Ana", "family": "' || {_FAMILY} || '"}}, {{"literal": "The Group"}}, {{"family": "Berg"}}, {{}}]' END
+       || ', "volume": "' || {_s("o_orderkey % 10")} || '"' || CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE ', "page": "e' || {_s("o_orderkey % 900")} || '-9"' END || '}}}}' AS first,
+       CASE WHEN o_orderkey % 12 = 0 THEN '<html>' ELSE '{{"id": ' || CASE WHEN o_orderkey % 10 = 0 THEN 'null' ELSE '"W1"' END || ', "display_name": "A title", "publication_year": ' || {_YEAR}
+       || ', "authorships": [{{"author": {{"display_name": "Ana ' || {_FAMILY} || '"}}}}, {{"author": {{}}}}], "biblio": {{"volume": ' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE '"7"' END || ', "first_page": "' || {_s("o_orderkey % 900")} || '"}}}}' END AS second
+FROM orders"""
+_RAISED = '<w:rPr><w:vertAlign w:val="superscript"/></w:rPr>'
+_FIELD = """'<w:r><w:instrText xml:space="preserve"> ADDIN ZOTERO_ITEM CSL_CITATION {{"citationItems": [{{"uris": ["http://z/items/{0}"], "itemData": {{"title": "T"{1}}}}}], "properties": {{"formattedCitation": "[' || {2} || ']"}}}} </w:instrText></w:r>'"""
+WORD = f"""
+SELECT {_K} AS doc_id, '<w:body><w:p><w:r><w:t>Salt &amp; ice</w:t></w:r><w:r>{_RAISED}<w:t>' || {_s("o_orderkey % 9 + 1")} || '</w:t></w:r><w:r><w:t> at 10</w:t></w:r><w:r>{_RAISED}<w:t>2</w:t></w:r></w:p><w:p><w:r><w:t>Flows¹² of x</w:t></w:r>'
+       || {_FIELD.format("AAA1", ', "DOI": "10.1000/O' + "' || " + _K + " || '" + '"', "'1'")} || {_FIELD.format("BBB2", "", _s("CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END"))} || {_FIELD.format("AAA1", "", _s("CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END"))}
+       || '</w:p></w:body>' AS xml
+FROM orders"""
+
+
 def sql(spark: SparkSession, sf_dir: str, query: str, *tables: str) -> DataFrame:
     """A view over tables of a folder, without leaving names in the session."""
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    query = query.replace("{", "{{").replace("}", "}}")  # braces of the texts; names of tables are put in braces
     for t in tables:
         query = query.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(query, **named)

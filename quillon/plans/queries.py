@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scan import join_ints, spans
-from ..operators import declarations, layout, manifest, numbering, policy, records, segments, wording
+from ..operators import declarations, fields, layout, manifest, numbering, policy, records, segments, wording
+from ..sources import bibliography, registries, word
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,3 +444,62 @@ SELECT repo_id, rel_path FROM f WHERE (rel_path LIKE '%.py' OR rel_path LIKE '%.
 AND NOT EXISTS (SELECT 1 FROM t WHERE t.repo_id = f.repo_id AND contains(t.token, split_part(f.rel_path, '/', -1)))""")
 def repro_uncatalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.uncatalogued(*repo(spark, sf_dir))
+
+
+# -- files -------------------------------------------------------------------------
+
+_K, _KSON = "CAST(o_orderkey AS STRING)", "'Ana K' || substr('abcdefghij', CAST(o_orderkey % 10 AS INT) + 1, 1) || 'son'"
+_YEAR = "CAST(extract(year FROM o_orderdate) AS INT)"
+_DOI = f"CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE '10.1000/O' || {_K} END AS doi"
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("authors", F.array_join("authors", "; "))
+
+
+@query("csl_references", f"""SELECT 'r' || {_K} AS key, 'On the ' || {_K} || ' orders' AS title,
+       {_KSON} || CASE WHEN o_orderkey % 5 = 1 THEN '; The Group' WHEN o_orderkey % 5 > 2 THEN '; Bo Berg' ELSE '' END AS authors,
+       CASE WHEN o_orderkey % 7 IN (0, 2) THEN NULL ELSE {_YEAR} END AS year, {_DOI},
+       CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS STRING) END AS volume, CAST(o_orderkey % 900 AS STRING) AS first_page, o_orderkey % 5 = 0 AS truncated FROM orders""")
+def csl_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(bibliography.parse(fx.sql(spark, sf_dir, fx.CSL, "orders"))).drop("path", "ref_ord")
+
+
+@query("bibtex_references", f"""SELECT 'o' || {_K} || '.bib' AS path, 0 AS ref_ord, 'b' || {_K} AS key, 'On Li and Muller ' || {_K} AS title,
+       {_KSON} || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '; Bo Berg' END AS authors, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE {_YEAR} END AS year, {_DOI},
+       CAST(o_orderkey % 10 AS STRING) AS volume, CAST(o_orderkey % 900 AS STRING) AS first_page, o_orderkey % 5 = 0 AS truncated FROM orders""")
+def bibtex_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(bibliography.parse(fx.sql(spark, sf_dir, fx.BIBTEX, "orders")))
+
+
+@query("registry_records", f"""SELECT 'crossref' AS source, 0 AS priority, '10.1000/o' || {_K} AS doi, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'A title' END AS title,
+       CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE {_KSON} || '; The Group; Berg' END AS authors, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE {_YEAR} END AS year,
+       CAST(o_orderkey % 10 AS STRING) AS volume, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'e' || CAST(o_orderkey % 900 AS STRING) END AS first_page FROM orders
+UNION ALL SELECT 'openalex', 1, '10.1000/o' || {_K}, 'A title', {_KSON}, {_YEAR}, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '7' END, CAST(o_orderkey % 900 AS STRING)
+FROM orders WHERE o_orderkey % 12 <> 0 AND o_orderkey % 10 <> 0""")
+def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.sql(spark, sf_dir, fx.ANSWERS, "orders")
+    each = registries.crossref(rows.select("doi", F.col("first").alias("body"))).unionByName(registries.openalex(rows.select("doi", F.col("second").alias("body"))))
+    return _listed(each)
+
+
+@query("word_text", f"""SELECT {_K} AS doc_id, 'Salt & ice' || CAST(o_orderkey % 9 + 1 AS STRING) || ' at 102' || chr(10) || 'Flows¹² of x' || chr(10) AS shown,
+       'Salt & ice[' || CAST(o_orderkey % 9 + 1 AS STRING) || '] at 102' || chr(10) || 'Flows[12] of x' || chr(10) AS ordering, 3 AS managed FROM orders""")
+def word_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("xml")
+    return fx.sql(spark, sf_dir, fx.WORD, "orders").select("doc_id", word.visible_text(x).alias("shown"), word.ordering_text(x).alias("ordering"), word.field_count(x).alias("managed"))
+
+
+def _managed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fields.audit(word.citations(fx.sql(spark, sf_dir, fx.WORD, "orders")), registry(spark, sf_dir), bibliography.references)
+
+
+@query("managed_references", f"""SELECT {_K} AS doc_id, 1 AS canonical_number, 'AAA1' AS item_key, CASE WHEN o_orderkey % 7 = 0 THEN 'broken' ELSE 'suspect' END AS metadata_status, CASE WHEN o_orderkey % 4 = 0 THEN '1, 2' ELSE '1' END AS printed, o_orderkey % 4 <> 0 AS number_ok FROM orders
+UNION ALL SELECT {_K}, 2, 'BBB2', 'no-doi', CASE WHEN o_orderkey % 3 = 0 THEN '3' ELSE '2' END, o_orderkey % 3 <> 0 FROM orders""")
+def managed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _managed(spark, sf_dir)[0].select("doc_id", "canonical_number", "item_key", "metadata_status", join_ints(F.col("printed_numbers")).alias("printed"), "number_ok")
+
+
+@query("managed_numbering", f"SELECT {_K} AS doc_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN '2' ELSE '' END AS missing, CASE WHEN o_orderkey % 3 = 0 THEN '3' ELSE '' END AS extra, 'suspect' AS status FROM orders")
+def managed_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _managed(spark, sf_dir)[1].select("doc_id", join_ints(F.col("missing")).alias("missing"), join_ints(F.col("extra")).alias("extra"), "status")

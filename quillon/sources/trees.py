@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that are never looked into.
@@ -11,18 +13,27 @@ PRUNED = (".git", "node_modules", "__pycache__", ".venv", "venv", "artifacts")
 READMES = ("README.md", "README.rst", "README.txt", "README")
 
 
-def relative(path: Column, root: str) -> Column:
-    name = F.regexp_replace(path, r"^[a-z0-9+.-]+:/*", "/")
-    plain = root.split(":", 1)[-1] if "://" in root else root
-    return F.substring(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit(len("/" + plain.strip("/")) + 2), F.lit(2**31 - 1))
-
-
 def files(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
-    """repo_id, rel_path of a folder's files; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    rel = relative(F.col("path"), root)
-    parts = F.split(rel, "/")
-    return rows.select(F.lit(repo_id).alias("repo_id"), rel.alias("rel_path")).filter(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(p) for p in PRUNED])))
+    """repo_id, rel_path of a folder's files, hidden and empty ones too; links are not
+    followed, nor are they files. Names only are listed, by the driver, folder by folder,
+    on any file system that Hadoop knows: Spark's own file index hides names that begin
+    with a dot or an underscore. A folder that is not there raises."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    local = fs.getUri().getScheme() == "file"
+    fs = fs.getRawFileSystem() if local else fs  # the other one hides checksum files
+    found, left = [], [(top, "")]
+    while left:
+        folder, lead = left.pop()
+        for entry in fs.listStatus(folder):
+            path, name = entry.getPath(), entry.getPath().getName()
+            if os.path.islink(path.toUri().getPath()) if local else entry.isSymlink():
+                continue
+            if not entry.isDirectory():
+                found.append((repo_id, lead + name))
+            elif name not in PRUNED:
+                left.append((path, f"{lead}{name}/"))
+    return spark.createDataFrame(sorted(found), "repo_id string, rel_path string")
 
 
 def readme(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
