@@ -8,6 +8,7 @@ decide are compared in Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -63,7 +64,10 @@ def resolve(refs: DataFrame, registry: DataFrame) -> DataFrame:
     record of a DOI is a minimum, made before the join and without a sort."""
     fields = ("source", "title", "authors", "year", "volume", "first_page")
     best = registry.withColumn("_k", doi_key(F.col("doi"))).filter("_k IS NOT NULL").groupBy("_k").agg(F.min_by(F.struct(*fields), F.struct("priority", "source", "title")).alias("record"))
-    rows = refs.withColumn("_k", doi_key(F.col("doi"))).join(best, "_k", "left").drop("_k")
+    # no DOI begins with a blank: rows without one are spread by their content, and meet nothing
+    whole = [f.name for f in refs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]  # types without a hash
+    spread = F.concat(F.lit(" "), F.xxhash64(*[F.col(f"`{c}`") for c in whole]).cast("string"))
+    rows = refs.withColumn("_k", F.coalesce(doi_key(F.col("doi")), spread)).join(best, "_k", "left").drop("_k")
     return rows.withColumn("source", F.coalesce("record.source", F.lit("")))
 
 

@@ -142,7 +142,21 @@ def author_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.filter(records.T.surname(F.col("c")) == records.T.surname(F.col("r"))).select("key", (records.T.initial(F.col("c")) != records.T.initial(F.col("r"))).alias("differs"))
 
 
-@query("reference_check")
+_LAST = "lower(split_part({0}, ' ', 2))"
+
+
+@query("reference_check", f"""WITH {REF_SQL}
+SELECT key, coalesce(source, '') AS source,
+       CASE WHEN doi IS NULL THEN 'no-doi' WHEN source IS NULL THEN 'broken'
+            WHEN title <> b_title OR abs(year - b_year) > 1 OR volume <> b_volume OR split_part(first_page, '-', 1) <> b_page OR author1 <> b1 OR author2 <> b2 THEN 'suspect' ELSE 'ok' END AS status,
+       CASE WHEN doi IS NULL THEN '' WHEN source IS NULL THEN 'no registry knows ' || doi ELSE concat_ws('; ',
+            CASE WHEN title <> b_title THEN 'title of the record: "' || b_title || '"' END,
+            CASE WHEN abs(year - b_year) > 1 THEN 'year ' || year || ', record ' || b_year END,
+            CASE WHEN volume <> b_volume THEN 'volume ' || volume || ', record ' || b_volume END,
+            CASE WHEN split_part(first_page, '-', 1) <> b_page THEN 'first page ' || first_page || ', record ' || b_page END,
+            CASE WHEN author2 <> b2 THEN 'not among the record''s authors: ' || {_LAST.format("author2")} || '; authors of the record left out: ' || {_LAST.format("b2")} END,
+            CASE WHEN author1 <> b1 THEN 'initial of ' || {_LAST.format("author1")} || ' differs: ' || substr(author1, 1, 1) || ', record ' || substr(b1, 1, 1) END) END AS issues
+FROM j""")
 def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole check with similarity of titles and names."""
     return records.check(refs(spark, sf_dir), registry(spark, sf_dir)).select("key", "source", "status", F.array_join("issues", "; ").alias("issues"))
@@ -226,7 +240,30 @@ def renumber_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order
 
 
-@query("renumber_text")
+_SPLIT = r"string_split_regex(prose, '\[[0-9]{1,3}(?:\s*[,-]\s*[0-9]{1,3})*\]')"
+_ENTRY = r"'^(\s*)\[([0-9]{1,3})\]\s+(.*\S)\s*$'"
+_NEW = "CASE WHEN list_contains(cited, {0}) THEN list_position(cited, {0}) ELSE {0} END"
+RENUMBERED = f"""{NUMBERED},
+p AS (SELECT doc_id, text, prose, section, cited, ff, {_SPLIT} AS pieces, {_RUNS.format("prose")} AS runs FROM parts JOIN num USING (doc_id)),
+c AS (SELECT doc_id, i, pieces[i] AS piece, runs[i] AS run, cited FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM p)),
+n AS (SELECT doc_id, i, piece, run, list_sort(list_distinct(list_transform({_flat("[run]")}, lambda x: {_NEW.format("x")}))) AS new FROM c),
+f AS (SELECT doc_id, i, piece, run, unnest(list_filter(new, lambda x: NOT list_contains(new, x - 1))) AS lo, new FROM n WHERE run IS NOT NULL),
+g AS (SELECT doc_id, i, lo, list_min(list_filter(new, lambda y: y >= lo AND NOT list_contains(new, y + 1))) AS hi FROM f),
+o AS (SELECT doc_id, i, string_agg(CASE WHEN hi - lo >= 2 THEN lo || '-' || hi WHEN hi > lo THEN lo || ',' || hi ELSE lo::VARCHAR END, ',' ORDER BY lo) AS shown FROM g GROUP BY ALL),
+head AS (SELECT doc_id, string_agg(piece || coalesce('[' || shown || ']', ''), '' ORDER BY i) AS head FROM c LEFT JOIN o USING (doc_id, i) GROUP BY doc_id),
+l AS (SELECT doc_id, i, lines[i] AS line, cited, regexp_matches(lines[i], {_ENTRY}) AS entry FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, cited, string_split(section, chr(10)) AS lines FROM p))),
+e AS (SELECT *, regexp_extract(line, {_ENTRY}, 2)::BIGINT AS old FROM l WHERE entry),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, row_number() OVER (PARTITION BY doc_id ORDER BY {_NEW.format("old")}, i) AS goes,
+             regexp_extract(line, {_ENTRY}, 1) || '[' || {_NEW.format("old")} || '] ' || regexp_extract(line, {_ENTRY}, 3) AS written FROM e),
+m AS (SELECT a.doc_id, a.i, b.written FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.place = b.goes),
+tail AS (SELECT doc_id, string_agg(coalesce(written, line), chr(10) ORDER BY i) AS tail FROM l LEFT JOIN m USING (doc_id, i) GROUP BY doc_id),
+w AS (SELECT doc_id, string_agg(old::VARCHAR, ', ' ORDER BY i) AS unused FROM e WHERE NOT list_contains(cited, old) GROUP BY doc_id),
+v AS (SELECT *, list_transform(list_sort(list_filter(list_distinct(ff), lambda x: NOT list_contains(cited, x))), lambda x: '[' || x || '] appears only in the front matter and gets no number') AS early FROM p)
+SELECT doc_id, head || tail AS renumbered, array_to_string(list_concat(early, CASE WHEN unused IS NULL THEN [] ELSE ['listed without a citation in the main text: ' || unused] END), '; ') AS warnings, head || tail <> text AS changed
+FROM v JOIN head USING (doc_id) JOIN tail USING (doc_id) LEFT JOIN w USING (doc_id)"""
+
+
+@query("renumber_text", f"WITH {RENUMBERED}")
 def renumber_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.renumber(ms(spark, sf_dir)).select("doc_id", "renumbered", F.array_join("warnings", "; ").alias("warnings"), "changed")
 

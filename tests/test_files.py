@@ -60,3 +60,11 @@ def test_files_that_hold_nothing(spark):
     assert bibliography.parse(many).groupBy("title").agg(F.countDistinct("path"), F.min("ref_ord"), F.max("ref_ord")).orderBy("title").collect() == [("x", 12_000, 0, 0), ("y", 12_000, 1, 1)]
     assert word.citations(spark.createDataFrame([("a", None), ("b", "<w:p/>")], "doc_id string, xml string")).count() == 0
     assert records.fetched(spark.createDataFrame([("10.1/a",)], "doi string"), lambda doi: None, "s", 0).count() == 0
+
+
+def test_references_without_doi_are_spread(spark):
+    """They meet no record, whatever other columns they have; none is lost, repeated ones stay."""
+    rows = spark.range(40).selectExpr("CASE WHEN id % 4 = 0 THEN ' 10.1/A' WHEN id % 4 = 1 THEN '' END AS doi", "map('a', id) AS `odd name`", "id % 3 AS source_id").withColumn("n", F.struct(F.create_map(F.lit("a"), F.lit(1)).alias("m")))
+    known = spark.createDataFrame([("s", 0, d, "t", ["x"], 1, "v", "p") for d in ("10.1/a", None, "")], records.RECORD)
+    got = records.resolve(rows, known).groupBy("source").count().collect()
+    assert sorted(tuple(r) for r in got) == [("", 30), ("s", 10)]
