@@ -70,13 +70,13 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 RANGES = 14
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, highest: int = 1) -> DataFrame:
     """(id, y, text) of at most ``per_class`` labelled documents a class, lowest
-    hash of the id first. Null labels and null texts do not count; of repeated
+    hash of the id first; classes are 0 to ``highest``, labels beyond count as the nearest. Null labels and null texts do not count; of repeated
     labels the highest holds. The sample is chosen from ids alone: counts by class and
     range of hashes (:data:`RANGES`) tell from which range on no id is in it, the rest is
     put into order, and only the bounded list of ids is broadcast."""
-    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.least(F.greatest(F.ceil(label), F.lit(0)), F.lit(highest)).cast("int")).alias("y"))
     marks = marks.withColumn("h", F.xxhash64("id", F.lit(label))).withColumn("range", F.shiftright("h", 64 - RANGES))
     last, seen = {}, {}
     for r in sorted(marks.groupBy("y", "range").count().collect()):

@@ -164,35 +164,40 @@ class Field:
         return np.array(out[::-1], bool)
 
 
-def fit(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 250, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """x: texts by lines by features, y: texts by lines, mask: lines there are.
-    Adam on the penalised likelihood; expectations by forward and backward sums."""
+def slopes(theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """x: texts by lines by features, y: texts by lines, mask: lines there are. The
+    penalised loss a line and its gradient; expectations by forward and backward sums."""
     texts, length, width = x.shape
+    lines, pair = mask.sum(), mask[:, 1:] & mask[:, :-1]
+    seen = np.concatenate([(x * (y * mask)[:, :, None]).sum((0, 1)), [((y[:, :-1] == i) & (y[:, 1:] == j) & pair).sum() for i in (0, 1) for j in (0, 1)]])
+    gain, moves = x @ theta[:width], theta[width:].reshape(2, 2)
+    alpha, beta = np.zeros((length, texts, 2)), np.zeros((length, texts, 2))
+    emit = np.stack([np.zeros_like(gain), gain], 2).transpose(1, 0, 2) * mask.T[:, :, None]
+    alpha[0] = emit[0]
+    for t in range(1, length):
+        new = np.logaddexp(alpha[t - 1][:, :1] + moves[0], alpha[t - 1][:, 1:] + moves[1]) + emit[t]
+        alpha[t] = np.where(mask[:, t, None], new, alpha[t - 1])
+    for t in range(length - 2, -1, -1):
+        ahead = emit[t + 1] + beta[t + 1]
+        new = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
+        beta[t] = np.where(mask[:, t + 1, None], new, 0.0)
+    z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
+    high = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z) * mask.T
+    expected = [np.einsum("tn,ntf->f", high, x)]
+    for i in (0, 1):
+        for j in (0, 1):
+            p = np.exp(alpha[:-1, :, i] + moves[i, j] + emit[1:, :, j] + beta[1:, :, j] - z) * pair.T
+            expected.append([p.sum()])
+    return (z.sum() - seen @ theta) / lines + ridge / 2 * (theta @ theta), (np.concatenate(expected) - seen) / lines + ridge * theta
+
+
+def fit(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 250, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+    """Adam on the penalised likelihood."""
+    width = x.shape[2]
     theta = np.zeros(width + 4)
     state = np.zeros((2, width + 4))
-    lines = mask.sum()
-    pair = mask[:, 1:] & mask[:, :-1]
-    seen = np.concatenate([(x * (y * mask)[:, :, None]).sum((0, 1)), [((y[:, :-1] == i) & (y[:, 1:] == j) & pair).sum() for i in (0, 1) for j in (0, 1)]])
     for step in range(1, steps + 1):
-        gain, moves = x @ theta[:width], theta[width:].reshape(2, 2)
-        alpha, beta = np.zeros((length, texts, 2)), np.zeros((length, texts, 2))
-        emit = np.stack([np.zeros_like(gain), gain], 2).transpose(1, 0, 2) * mask.T[:, :, None]
-        alpha[0] = emit[0]
-        for t in range(1, length):
-            new = np.logaddexp(alpha[t - 1][:, :1] + moves[0], alpha[t - 1][:, 1:] + moves[1]) + emit[t]
-            alpha[t] = np.where(mask[:, t, None], new, alpha[t - 1])
-        for t in range(length - 2, -1, -1):
-            ahead = emit[t + 1] + beta[t + 1]
-            new = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-            beta[t] = np.where(mask[:, t + 1, None], new, 0.0)
-        z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        high = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z) * mask.T
-        expected = [np.einsum("tn,ntf->f", high, x)]
-        for i in (0, 1):
-            for j in (0, 1):
-                p = np.exp(alpha[:-1, :, i] + moves[i, j] + emit[1:, :, j] + beta[1:, :, j] - z) * pair.T
-                expected.append([p.sum()])
-        grad = (np.concatenate(expected) - seen) / lines + ridge * theta
+        grad = slopes(theta, x, y, mask, ridge)[1]
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         theta = theta - rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)

@@ -251,6 +251,38 @@ def test_viterbi_against_all_labellings():
         assert field.content(x).astype(int).tolist() == list(best)
 
 
+def by_differences(loss, at, step=1e-6):
+    return [(loss(at + step * e) - loss(at - step * e)) / (2 * step) for e in np.eye(len(at))]
+
+
+def test_field_likelihood_against_all_labellings():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(4, 5, 3)), rng.integers(0, 2, (4, 5))
+    mask = np.arange(5)[None, :] < np.array([5, 3, 1, 4])[:, None]
+    theta, ridge = rng.normal(size=7), 0.1
+    moves = theta[3:].reshape(2, 2)
+    value = lambda n, own: sum((x[n, t] @ theta[:3]) * own[t] for t in range(len(own))) + sum(moves[a, b] for a, b in itertools.pairwise(own))
+    loss = 0.0
+    for n in range(4):
+        k = mask[n].sum()
+        loss += np.log(sum(np.exp(value(n, own)) for own in itertools.product((0, 1), repeat=k))) - value(n, y[n, :k])
+    got, grad = quality.slopes(theta, x, y, mask, ridge)
+    assert got == pytest.approx(loss / mask.sum() + ridge / 2 * theta @ theta)
+    assert grad == pytest.approx(by_differences(lambda at: quality.slopes(at, x, y, mask, ridge)[0], theta), abs=1e-6)
+
+
+def test_very_long_and_repeated_texts_are_labelled_whole(spark):
+    field = quality.Field(np.eye(len(quality.FEATURES))[5] * -9 + np.eye(len(quality.FEATURES))[0], np.eye(2))
+    text = "\n".join([*[f"Line {i} of the text, and a few more words, all told." for i in range(20000)], *["a | b | c | d"] * 30000])
+    rows = spark.createDataFrame([(1, text, 7), (2, None, 7), (1, text, 7), (3, "", 7)], "doc_id long, text string, kept int")
+    got = quality.judge(rows, field)
+    assert got.columns == ["doc_id", "text", *quality.NEW]
+    by_id = {r["doc_id"]: r for r in got.collect()}
+    content = sum(len(w) for i in range(20000) for w in f"Line {i} of the text, and a few more words, all told.".split())
+    assert got.count() == 4 and by_id[1]["content_share"] == pytest.approx(content / (content + 7 * 30000))
+    assert by_id[2]["base_failed"] and by_id[3]["base_failed"]
+
+
 def test_quality_learns_junk_lines(spark):
     rng = np.random.default_rng(0)
     good = ["\n".join(" ".join(f"word{n}" for n in rng.integers(0, 500, 9)) + "." for _ in range(20)) for _ in range(40)]
@@ -283,6 +315,66 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_ordinal_likelihood_and_gradient():
+    rng = np.random.default_rng(4)
+    rows, columns = np.repeat(np.arange(12), 3), rng.integers(0, 4, 36)
+    grades = np.r_[0, 1, 2, 3, rng.integers(0, 4, 8)]
+    w, t, ridge = rng.normal(size=4), np.array([0.3, -0.5, 0.2]), 0.05
+    theta = np.array([0.3, 0.3 + np.exp(-0.5), 0.3 + np.exp(-0.5) + np.exp(0.2)])
+    loss = 0.0
+    for n in range(12):
+        z = sum(w[c] for r, c in zip(rows, columns, strict=True) if r == n)
+        upto = [0.0, *(1 / (1 + np.exp(z - theta))), 1.0]
+        loss -= np.log(upto[grades[n] + 1] - upto[grades[n]]) / 12
+    got, grad = toxicity.slopes(w, t, rows, columns, grades, ridge)
+    assert got == pytest.approx(loss + ridge / 2 * w @ w)
+    assert grad == pytest.approx(by_differences(lambda at: toxicity.slopes(at[:4], at[4:], rows, columns, grades, ridge)[0], np.r_[w, t]), abs=1e-6)
+
+
+def heads_and_words(text):
+    """Each word and each head of a longer word, with the number of words that have it."""
+    words = {re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[A-Za-z\u0080-\U0010ffff]+", text or "")}
+    heads = [(w[:k], k) for w in words for k in toxicity.HEADS if len(w) > k]
+    return {(w, 0): 1 for w in words} | {h: min(heads.count(h), toxicity.TIMES) for h in heads}
+
+
+def test_severity_against_plain_words():
+    texts = [*ODD, "Achlichung achlichte, ACHLICHTE achlichen achlichst!", "\u00e9t\u00e9s-\u00e9t\u00e9s \u00e9t\u00e9sien", "idiots" * 3, "abc\u00df " * 4000, "abcd abcde"]
+    key = lambda h: int(common.mix(common.word_hashes(*spans(h[0])) + np.uint64(h[1]))[0]) if h[1] else int(common.word_hashes(*spans(h[0]))[0])
+    spans = lambda w: (np.frombuffer(w.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(w.encode())]))
+    known = {key(h): h for text in texts for h in heads_and_words(text)}
+    words = np.array(sorted(known)[::2], np.uint64)
+    model = toxicity.Ordinal(words, np.random.default_rng(5).normal(size=len(words)), np.array([0.1, 0.9, 1.5]))
+    weight = {known[int(h)]: w for h, w in zip(words, model.weights, strict=True)}
+    with np.errstate(over="ignore"):
+        got = model.score(pa.array(texts))
+    for text, s in zip(texts, got, strict=True):
+        z = sum(weight.get(h, 0.0) * n for h, n in heads_and_words(text).items())
+        assert s == pytest.approx(sum(1 / (1 + np.exp(t - z)) for t in model.thresholds)), text
+
+
+def test_grades_that_labels_have_are_learned(spark):
+    rng = np.random.default_rng(6)
+    words = ["calmly", "rudeness", "nastiest", "vilest"]
+    rows = [(i, " ".join([*(f"word{n}" for n in rng.integers(0, 60, 30)), words[i % 4]]), "x") for i in range(400)]
+    docs = spark.createDataFrame([*rows, *rows[:8]], "doc_id long, text string, grade string")
+    labels = spark.createDataFrame([(i, i % 4 if i % 8 != 7 else 9) for i in range(400) if i % 5] + [(1, -3), (2, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels))
+    assert got.columns == ["doc_id", "text", "severity", "grade", "toxic"] and got.count() == 408
+    assert all(r["grade"] == r["doc_id"] % 4 for r in got.collect())
+
+
+def test_graded_by_the_other_half():
+    """A word that one document alone has lifts no grade; thirds are by log odds."""
+    bad = np.arange(600) < 120
+    own = [[*range(i % 3 + 1), 10 + i] for i in range(120)] + [[5]] * 480
+    row = np.repeat(np.arange(600), [len(x) for x in own])
+    grades = toxicity.graded(row, np.concatenate(own), bad, 200)
+    assert (grades[~bad] == 0).all() and set(grades[bad]) <= {1, 2, 3}
+    by_words = [grades[:120][np.arange(120) % 3 == k] for k in range(3)]
+    assert all(len(set(g)) == 1 for g in by_words) and [g[0] for g in by_words] == sorted(g[0] for g in by_words)
+
+
 # -- pages ---------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a < b) { document.write("<p>no</p>") }</script></head>
