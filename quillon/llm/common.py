@@ -34,6 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, whatever store the path is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """What nobody deleted before, also after an error, goes when the driver ends."""
+    files, place = hadoop_path(spark, path)
+    files.deleteOnExit(place)
+
+
 class Shelf:
     """Tables between the steps of one operator, in the shared folder. Each ends
     the lineage: a lost executor costs a reread and not a recomputation. A table
@@ -44,25 +56,27 @@ class Shelf:
 
     def put(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         path = shared_dir(self.spark)
-        df.write.parquet(path, partitionBy=list(partition_by))
+        try:
+            df.write.parquet(path, partitionBy=list(partition_by))
+        finally:
+            delete_at_exit(self.spark, path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Deletes tables, and lets Spark see that the shuffles behind them are of no more use."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(conf).delete(path, True)
+            files, place = hadoop_path(self.spark, self.paths.pop(name))
+            files.delete(place, True)
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
     def clear(self, *but: str) -> None:
         self.drop(*[n for n in self.paths if n not in but])
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """One table of its own, which stays."""
+    """One table of its own, which stays until the driver ends."""
     return Shelf(df.sparkSession).put("", df, *partition_by)
 
 
