@@ -133,7 +133,7 @@ class Archive:
 
     def _start(self) -> None:
         files, path = located(self.file)
-        self.out = files.open_output_stream(path)
+        self.out = files.open_output_stream(path, compression=None)
         made = dictionary(self.held)
         if made is not None:
             content = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
@@ -227,7 +227,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 def records(file: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of every record of an archive, one in memory at a time."""
     files, path = located(file)
-    with files.open_input_stream(path) as source:
+    with files.open_input_stream(path, compression=None) as source:
         head = source.read(8)
         made = None
         if len(head) == 8 and struct.unpack("<II", head)[0] == DICTIONARY_FRAME:
