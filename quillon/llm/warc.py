@@ -19,7 +19,7 @@ it; they have its HTTP head, which says the payload's length, and no payload.
    manifest for each, which Spark commits. Only named archives count: what a lost or
    repeated task left behind is in no manifest. Memory is the sample and one record.
 4. The archives of a manifest are read back in tasks, record by record, and
-   every payload is held against its digest.
+   every payload is held against its digest, their number against the manifest.
 
 Defined results: a null payload is empty; a null key comes last and is read back as null;
 of repeated smallest keys the one with the smallest address is the response (null last),
@@ -283,19 +283,22 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.column(0).to_pylist():
-                rows, held = [], 0
+            for file, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, held, n = [], 0, 0
                 for fields, block in records(file):
                     if fields["warc-type"] in ("response", "revisit"):
                         rows.append(_page(file, fields, block, payloads))
                         held += len(block) if payloads else 100
+                        n += 1
                     if held >= 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                         rows, held = [], 0
+                if n != said:
+                    raise ValueError(f"{file}: {n} records of {said}")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(lean(run), RECORDS)
+    return manifest.select("file", "records").repartition(max(1, manifest.count())).mapInArrow(lean(run), RECORDS)
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
