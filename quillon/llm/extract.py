@@ -7,7 +7,10 @@ points is the container of the article: it and those of its siblings that also
 carry text are kept, less what is no text of the article by its tag or name. A name is a
 whole class, id or role that has only words of :data:`NOTES` and :data:`JOINTS`; other
 attributes and parts of other names say nothing. Lists of links go only where the page
-names no article or main element.
+names no article or main element, and only where no text of their container leads to them.
+Inside an article the whole names of reader comments, side bars, notices, adverts, sign-ups
+(:data:`CERTAIN`, :data:`FURNITURE`) drop a container whatever it holds; the
+others are weighed against its text. Of elements with equal points the first counts.
 Where the page names no article or main element, siblings are judged by their own
 text blocks too, and headings stay with the kept text that follows them.
 
@@ -17,7 +20,8 @@ searches for a partner that is not there.
 
 Defined results: null, empty and text-free pages give an empty text; broken
 markup is closed where a browser would close it; a truncated tag or comment at
-the end is dropped; repeated rows are treated alike; extra columns are kept.
+the end is dropped; very long pages are read whole, in time and memory proportional to
+their length; repeated rows are treated alike; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -54,8 +58,13 @@ JOINTS = frozenset(
 #: Roles and names of a page's header, which inside an article is its own.
 HEADERS = frozenset(["header", "banner"])
 HOMES = frozenset(["article", "main"])
-#: Names that no part of an article has: they drop a container also inside one.
-CERTAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promotions cookie cookies gdpr disqus commentlist".split())
+#: Names that no part of an article has: as a class, role or id they drop a container also inside one.
+CERTAIN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promotions cookie cookies gdpr disqus commentlist "
+    "comment comments reply replies respond sidebar notice notices newsletter subscribe subscription signup".split()
+)
+#: Names that do so as a class or role; as an id they may be a section's own subject.
+FURNITURE = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations widget widgets popup modal overlay login toolbar footer masthead alert banner".split())
 NEAR = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset(".!?:…。！？")
 TITLES = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -63,12 +72,12 @@ LEVELS = 6
 
 
 class Node:
-    __slots__ = ("dropped", "home", "inline", "link", "links", "main", "named", "parent", "points", "prose", "size", "tag", "under")
+    __slots__ = ("begin", "dropped", "home", "inline", "link", "links", "main", "named", "parent", "points", "prose", "size", "tag", "under")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, inline: bool, home: bool, link: bool):
         self.tag, self.parent, self.dropped, self.inline, self.home, self.link = tag, parent, dropped, inline, home, link
         self.points, self.size, self.links, self.prose, self.main = 0.0, 0, 0, 0, False
-        self.named = False
+        self.named, self.begin = False, 0
         self.under = parent if parent is None or not parent.inline else parent.under
 
 
@@ -94,7 +103,7 @@ def _named(tag: str, attributes: str, home: bool) -> tuple[bool, bool, bool]:
                 if not known or any(x not in known and x not in JOINTS and not x.isdigit() for x in pieces):
                     continue
                 if known - HEADERS or not home:
-                    if not home or known & CERTAIN:
+                    if not home or known & CERTAIN or name != "id" and known & FURNITURE:
                         return True, False, False
                     weighed = True
     return False, main, weighed
@@ -189,7 +198,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
             at = close.end() if close else end
             continue
         node = Node(name, parent, dropped, inline, home or main, parent.link or name == "a")
-        node.main, node.named = main or name in HOMES, weighed
+        node.main, node.named, node.begin = main or name in HOMES, weighed, len(found)
         stack.append(node)
         count[name] = count.get(name, 0) + 1
         if not inline:
@@ -198,6 +207,15 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     return found, nodes
 
 
+def _led_to(node: Node, found: list[tuple[Node, str, int]], inside: dict[Node, bool]) -> bool:
+    """Whether a kept text block of the same parent stands right before a list, as
+    before the sources of an article, and that parent holds running text."""
+    if not node.begin or node.under is None or not node.under.prose:
+        return False
+    owner, text, linked = found[node.begin - 1]
+    return owner.under is node.under and inside.get(owner, False) and linked <= 0.25 * len(text)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -249,7 +267,7 @@ def main_text(page: str | None) -> str:
     inside: dict[Node, bool] = {}
     for node in nodes:  # parents come first
         inside[node] = node in kept or node.under is not None and inside[node.under]
-        crowd = not home.main and node.tag in ("ul", "ol", "dl", "table") and node.size and node.links > 0.5 * node.size
+        crowd = not home.main and node.tag in ("ul", "ol", "dl", "table") and node.size and node.links > 0.5 * node.size and not _led_to(node, found, inside)
         # a name of the page's furniture holds unless most of the element is running text
         if (crowd or node.named and 2 * node.prose < node.size) and node not in kept:
             inside[node] = False

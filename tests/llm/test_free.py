@@ -552,14 +552,47 @@ def test_look_alike_attributes_lose_no_text(part):
     assert "KEEP" in got and "DROP" not in got and "Home" not in got
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="comments"><div class="comment"><p>DROP, says a reader, and goes on, at length, about it.</p></div></section>',
+        '<div id="comments"><p>DROP, says a reader, and goes on, at length, about all of it.</p></div>',
+        '<div class="sidebar"><p>DROP beside it, a long note, that is no part, of the text, at all.</p></div>',
+        '<div class="newsletter"><p>DROP: sign up now, for news, each week, by mail, and for free.</p></div>',
+        '<div class="notice"><p>DROP, this page, it says, will move, to another place, soon.</p></div>',
+        '<div class="site-notice"><p>DROP, this page, it says, will move.</p></div>',
+        '<aside><p>DROP it, all of it, here.</p></aside><ul class="share"><li>DROP on x.</li></ul>',
+        '<form><p>DROP your name, and more.</p></form><ol class="commentlist"><li>DROP, says one.</li></ol>',
+        '<div class="related-articles"><p>DROP: another text, about oil, and its price, is here.</p></div>',
+    ],
+)
+@pytest.mark.parametrize("home", ["<main>{0}</main>", "<article>{0}</article>", "<main><article>{1}</article>{2}</main>", '<div itemprop="articleBody">{0}</div>'])
+def test_furniture_inside_the_article_goes(part, home):
+    text = "<p>First, a long enough paragraph of the article, with commas, and more.</p><p>KEEP the second, please, as well.</p>"
+    page = "<html><body><nav><a href=q>Home</a></nav>" + home.format(text + part, text, part) + "<footer>DROP</footer></body></html>"
+    assert extract.main_text(page) == "First, a long enough paragraph of the article, with commas, and more.\n\nKEEP the second, please, as well."
+
+
+def test_sources_of_an_article_without_its_element_stay():
+    page = "<html><body><ul><li><a href=a>Menu one</a></li><li><a href=b>Menu two</a></li></ul><div><p>First, a long enough paragraph of the article, with commas, and more, and a full stop.</p><h2>Sources</h2><ul><li><a href=x>KEEP one</a></li><li><a href=y>KEEP two</a></li></ul></div></body></html>"
+    got = extract.main_text(page)
+    assert got.endswith("Sources\n\nKEEP one\n\nKEEP two") and "Menu" not in got
+
+
 def test_extraction_against_plain_pages():
-    """Generated pages: blocks of an article between furniture come out as they went in."""
+    """Generated pages: blocks of an article between furniture, outside and inside of it,
+    come out as they went in."""
     rng = np.random.default_rng(31)
     words = "oil costs, say some, rise and fall. hidden login tags share".split()
-    for _ in range(150):
+    names = ["comments", "sidebar", "notice", "newsletter", "ad", "cookie-notice", "sponsored"]
+    for _ in range(200):
         blocks = [" ".join(rng.choice(words, rng.integers(12, 60))) + "." for _ in range(rng.integers(2, 9))]
         tags = [str(rng.choice(["p", "p", "p", "h2", "blockquote", "pre"])) for _ in blocks]
-        body = "".join(f"<{t} id='{rng.choice(words).strip('.,')}'>{b}</{t}>" for t, b in zip(tags, blocks))
-        page = f"<html><head><title>x</title><script>var a='<p>no</p>';</script></head><body><header>Top</header><nav><ul><li><a href=a>Menu</a></li></ul></nav><main><article>{body}</article></main><aside>Side</aside><div class='comments'><p>Reader says, well, a lot of things, really.</p></div><footer>Foot</footer></body></html>"
+        body = ""
+        for t, b in zip(tags, blocks):
+            body += f"<{t} id='{rng.choice(words).strip('.,')}'>{b}</{t}>"
+            if rng.random() < 0.4:
+                body += f"<{(box := str(rng.choice(['div', 'section', 'ul'])))} class='{rng.choice(names)}'>" + "".join(f"<p>{' '.join(rng.choice(words, rng.integers(3, 80)))}.</p>" for _ in range(rng.integers(1, 5))) + f"</{box}>"
+        side = "<div class='notice'><p>A notice, in main, of some length, and with commas, too.</p></div>" if rng.random() < 0.5 else ""
+        page = f"<html><head><title>x</title><script>var a='<p>no</p>';</script></head><body><header>Top</header><nav><ul><li><a href=a>Menu</a></li></ul></nav><main><article>{body}</article>{side}</main><aside>Side</aside><div class='comments'><p>Reader says, well, a lot of things, really.</p></div><footer>Foot</footer></body></html>"
         assert extract.main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
-
