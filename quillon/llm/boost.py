@@ -3,11 +3,10 @@ candidate features, scored as a Catalyst expression."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass
@@ -28,19 +27,17 @@ class Boosted:
 
         return self.base + sum((walk(t, x) for t in self.trees), np.zeros(len(x)))
 
-    def column(self, features: dict[str, Column]) -> Column:
-        """The probability, inside whole-stage code."""
+    def sql(self, field: Callable[[str], str] = lambda name: name) -> str:
+        """The probability, inside whole-stage code. One expression text, as hundreds
+        of nodes take seconds to make one by one; ``field`` says where a feature stands."""
 
-        def walk(tree) -> Column:
+        def walk(tree) -> str:
             if isinstance(tree, float):
-                return F.lit(tree)
+                return f"{tree!r}D"
             feature, threshold, left, right = tree
-            return F.when(features[self.names[feature]] <= threshold, walk(left)).otherwise(walk(right))
+            return f"CASE WHEN {field(self.names[feature])} <= {threshold!r}D THEN {walk(left)} ELSE {walk(right)} END"
 
-        total = F.lit(self.base)
-        for tree in self.trees:
-            total = total + walk(tree)
-        return 1 / (1 + F.exp(-total))
+        return f"1D / (1D + exp(-({' + '.join([f'{self.base!r}D', *map(walk, self.trees)])})))"
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 24, depth: int = 3, rate: float = 0.3, least: float = 4.0) -> Boosted:

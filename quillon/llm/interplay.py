@@ -33,6 +33,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, table
@@ -67,8 +68,7 @@ def cells(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sums = [F.sum(F.when(F.col("id").isNull(), F.col(c)).otherwise(0)).alias(f"no_{c}") for c in counts] + [F.sum(F.when(F.col("id").isNotNull(), F.col(c)).otherwise(0)).alias(c) for c in counts]
     lowest = [F.min_by(c, "id").alias(f"first_{c}") for c in counts]  # one row, as digest, part and id are a key
     groups = each.groupBy("digest", "low", "part").agg(F.min("id").alias("first"), *lowest, *sums)
-    least = groups.groupBy("digest").agg(F.min("first").alias("least")).withColumnRenamed("digest", "_d")
-    groups = groups.join(least, F.col("digest") == F.col("_d"))
+    groups = groups.withColumn("least", F.min("first").over(W.partitionBy("digest")))  # a row for each part that has the text
     passing = [F.col(f"no_{c}") + F.when(F.col("first") == F.col("least"), F.col(f"first_{c}")).otherwise(0) for c in counts]
     failing = [F.col(c) - F.when(F.col("first") == F.col("least"), F.col(f"first_{c}")).otherwise(0) for c in counts]
     row = lambda mask, values: F.struct(mask.alias("mask"), *[v.cast("long").alias(c) for v, c in zip(values, counts, strict=True)])

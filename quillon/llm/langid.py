@@ -5,9 +5,8 @@ that language. A text is encoded with every dictionary, and the one that makes
 it smallest names its language; a narrow margin over the second best rejects it.
 
 The dictionaries are filled from a bounded sample of labelled rows: whole texts in the
-order of the hash of the id, at most :data:`PER_LANG` documents a language, until
-:data:`DICT_BYTES` bytes are full; the text that fills them up is cut. Documents of more
-than :data:`LARGE` bytes come after all others, so that one long text is no dictionary.
+order of the hash of the id, whatever their length, at most :data:`PER_LANG` documents a
+language, until :data:`DICT_BYTES` bytes are full; what goes beyond them is cut off.
 Everything else covers whole texts: they are encoded in pieces of :data:`PIECE` bytes, so
 that the dictionary matters to the end of a long text and memory does not grow with it.
 One pass, no shuffle of texts.
@@ -20,7 +19,6 @@ known language every other text is of it, with score 1; with none all are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, table
 
-PER_LANG, DICT_BYTES, LARGE = 240, 110_000, 8_192
+PER_LANG, DICT_BYTES = 240, 110_000
 PIECE, LEVEL = 8192, 5
 #: zstandard stores a tiny text as it is; these zero bytes after every piece make
 #: every text worth encoding. All dictionaries and all pieces pay alike.
@@ -41,7 +39,12 @@ FILL = bytes(256)
 #: text is rejected.
 NARROW = 0.004
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by its category: digits, fractions and powers are none."""
+    return any(map(str.isalpha, text))
+
+
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -51,22 +54,32 @@ def plain(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> dict[str, bytes]:
-    """language -> dictionary, most frequent language first. The sample is chosen from ids and labels alone;
-    the limit by language is applied within tasks before rows are dealt out."""
-    rank = W.partitionBy("lang").orderBy("large", "h", "id", "bytes")
+    """language -> dictionary, most frequent language first. Labelled rows are taken in order of a hash of
+    their ids, whole texts, until they fill a dictionary, at most ``per_lang`` a language; the
+    limit is applied within tasks before rows are dealt out. Texts are read and reduced to letters in
+    tasks; of each, what a dictionary can hold goes to the driver."""
+    rank = W.partitionBy("lang").orderBy("h", "id", "bytes")
     rows = docs.select(docs[key].alias("id"), docs[lang].alias("lang"), docs[text].alias("text")).filter("lang IS NOT NULL AND id IS NOT NULL")
     size = F.octet_length("text")
-    ids = rows.filter(size > 0).select("id", "lang", size.alias("bytes"), (size > LARGE).alias("large"), F.xxhash64("id", F.lit("langid")).alias("h"))
+    ids = rows.filter(size > 0).select("id", "lang", size.alias("bytes"), F.xxhash64("id", F.lit("langid")).alias("h"))
     ids = ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang)
     chosen, room = {}, {}
     for r in sorted(ids.select("lang", "r", "id", "bytes").collect()):
         if room.setdefault(r["lang"], 2 * DICT_BYTES) > 0:  # what is no letter goes, so up to twice the bytes are read
             room[r["lang"]] -= r["bytes"]
             chosen.setdefault(r["id"], r["r"])
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(2)]
+            each = [plain(t)[:DICT_BYTES] if t and has_letter(t) else None for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(each, pa.binary())], ["id", "lang", "plain"])
+
     out: dict[str, list] = {}
-    for r in rows.filter(F.col("id").isin(list(chosen))).select("id", "lang", F.left("text", F.lit(2 * DICT_BYTES)).alias("text")).collect() if chosen else []:
-        if r["text"] and _LETTER.search(r["text"]):
-            out.setdefault(r["lang"], []).append((chosen[r["id"]], r["id"], plain(r["text"])))
+    some = rows.filter(F.col("id").isin(list(chosen))).mapInArrow(lean(letters), rows.select("id", "lang").schema.add("plain", "binary")) if chosen else None
+    for r in some.collect() if some else []:
+        if r["plain"] is not None:
+            out.setdefault(r["lang"], []).append((chosen[r["id"]], r["id"], bytes(r["plain"])))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()} if out else {}
     return {k: b" ".join(x[2] for x in sorted(v))[:DICT_BYTES] for k, v in sorted(out.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
@@ -87,7 +100,7 @@ class Compressors:
 
     def guess(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
         """language, score, accepted. The score is one half at the narrow margin."""
-        if not self.each or not text or not _LETTER.search(text):
+        if not self.each or not text or not has_letter(text):
             return "und", 0.0, False
         sizes = self.sizes(text)
         best = int(sizes.argmin())

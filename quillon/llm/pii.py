@@ -19,8 +19,10 @@ seen, calibrates the thresholds.
 Offsets are code points, ends exclusive. Defined results: null or empty text has
 no spans; repeated rows are treated alike; an empty table gives an empty table.
 Texts are scanned whole, by patterns without nested backtracking, so that very long runs
-of digits or letters stay linear; comparing the candidates of one text with each other
-takes time with the square of their number.
+of digits or letters stay linear; positions and overlaps are running folds in blocks (module
+``arrays``), so that time grows little more than in proportion to the matches of one
+text. Only accepted candidates that overlap each other in one unbroken run are compared in
+pairs. Columns of the table named ``base_spans`` or ``spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import blocks, highest, let, sums
 from .boost import Boosted, fit
 from .common import table
 
@@ -61,7 +64,10 @@ CUES = {
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|contact|dial)\b",
 }
 DECOY = r"(?i)\b(?:version|order|invoice|isbn|serial|part|item|ticket|build|no|ref|sku|code|lot|page|table)\b"
+#: Frequent ends of host names.
+ENDS = r"(?i)[\x20.)\]}](?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|de|fr|es|it|nl|be|ch|at|dk|se|no|fi|pl|cz|pt|ie|us|ca|mx|br|ar|au|nz|jp|cn|in|kr|ru|tr|za)$"
 BEFORE, AFTER = 24, 12
+BIG = 2**31 - 1  # beyond all positions
 TRAIN_ROWS, TRAIN_PRECISION = 4096, 0.995
 
 
@@ -83,20 +89,60 @@ def valid(kind: str, m: Column) -> Column:
 
 def scan(text: Column, pattern: str, gate: str, keep) -> Column:
     """All matches that ``keep`` accepts, as array<struct<start, end, m, b, a>>
-    with some context before and after. Positions are sums of the lengths of the
-    pieces between matches, so the text is cut once."""
-    gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(gaps, 2, F.lit(2**30)).alias("z"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string,b:string,a:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        found = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(BEFORE)).alias("b"), F.left(x["z"], F.lit(AFTER)).alias("a"))
-        return F.struct((start + F.length(x["m"])).alias("at"), F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(rows, first, step, lambda acc: acc["out"])
+    with some context before and after. The text is cut at the matches once; positions are
+    running sums of the lengths of pieces and matches."""
+    zipped = lambda gaps: F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(gaps, 2, F.lit(2**30)).alias("z"))
+    rows = let(F.split(text, pattern, -1), zipped)
+
+    def row(x: Column, at: Column) -> Column:
+        start = at + F.length(x["g"])
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(BEFORE)).alias("b"), F.left(x["z"], F.lit(AFTER)).alias("a"))
+
+    def placed(rows: Column) -> Column:
+        starts = sums(F.transform(rows, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+        return F.filter(F.zip_with(rows, starts, row), lambda s: F.when(s["m"].isNotNull(), keep(s["m"])).otherwise(False))
+
     none = F.array().cast("array<struct<start:int,end:int,m:string,b:string,a:string>>")
-    return F.when(F.contains(text, F.lit(gate)) if gate == "@" else text.rlike(gate), found).otherwise(none)
+    return F.when(F.contains(text, F.lit(gate)) if gate == "@" else text.rlike(gate), let(rows, placed)).otherwise(none)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``; both have start and end. Both are swept
+    in order of their starts: the furthest end of the others before a span, and the
+    nearest start of those behind it, tell whether it meets one."""
+    shape = lambda own: lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), i.alias("i"))
+    every = F.sort_array(F.concat(F.transform(spans, shape(1)), F.transform(others, shape(0))))
+
+    def swept(rows: Column) -> Column:
+        reach = highest(F.transform(rows, lambda r: F.when(r["own"] == 0, r["end"]).otherwise(0)))
+        ahead = F.reverse(highest(F.reverse(F.transform(rows, lambda r: F.when(r["own"] == 0, BIG - r["start"]).otherwise(0)))))
+        seen = F.zip_with(F.zip_with(rows, reach, lambda r, x: F.struct(r.alias("r"), x.alias("reach"))), ahead, lambda p, y: F.struct(p["r"].alias("r"), p["reach"].alias("reach"), y.alias("ahead")))
+        free = F.filter(seen, lambda p: (p["r"]["own"] == 1) & (p["reach"] <= p["r"]["start"]) & (BIG - p["ahead"] >= p["r"]["end"]))
+        return let(F.array_sort(F.transform(free, lambda p: p["r"]["i"])), lambda at: F.transform(at, lambda i: F.get(spans, i)))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(every, swept))
+
+
+def best_apart(rows: Column) -> Column:
+    """Of rows (p, start, past, k, end) those that overlap none that comes before
+    them in this order. Rows are compared only within runs of overlapping ones, which a sweep
+    in order of their starts tells apart."""
+    order = lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["p"].alias("p"), r["past"].alias("past"), r["k"].alias("k"))
+    meets = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
+    first = lambda d, c: F.struct(d["p"], d["start"], d["past"], d["k"]) < F.struct(c["p"], c["start"], c["past"], c["k"])
+
+    def cut(every: Column) -> Column:
+        reach = highest(F.transform(every, lambda r: r["end"]))
+        begins = F.filter(F.zip_with(F.transform(every, lambda r, i: F.struct(r["start"].alias("start"), i.alias("i"))), reach, lambda r, x: F.when(r["start"] >= x, r["i"])), lambda i: i.isNotNull())
+
+        def runs(at: Column) -> Column:
+            each = F.transform(at, lambda i, j: F.slice(every, i + 1, F.coalesce(F.get(at, j + 1), F.size(every)) - i))
+            return F.flatten(F.transform(each, lambda run: F.when(F.size(run) == 1, run).otherwise(F.filter(run, lambda c: ~F.exists(run, lambda d: meets(c, d) & first(d, c))))))
+
+        return let(begins, runs)
+
+    once = lambda every: F.filter(every, lambda r, i: (i == 0) | (r != F.get(every, i - 1)))
+    return F.when(F.size(rows) <= 1, F.transform(rows, order)).otherwise(let(let(F.sort_array(F.transform(rows, order)), once), cut))
 
 
 def features(kind: Column, m: Column, b: Column, a: Column) -> dict[str, Column]:
@@ -116,6 +162,8 @@ def features(kind: Column, m: Column, b: Column, a: Column) -> dict[str, Column]
         "octets": flag(m.rlike(r"^[^A-Za-z]*$") & F.forall(F.filter(F.split(m, r"[^0-9]+"), lambda x: x != ""), lambda x: (F.length(x) <= 3) & (F.lpad(x, 3, "0") <= "255"))),
         "spelt": flag(m.rlike(r"(?i)[(\[{\x20](?:at|dot)[)\]}\x20]")),
         "both": flag(m.rlike(r"(?i)[(\[{\x20]at[)\]}\x20].*(?:[(\[{\x20]dot[)\]}\x20]|[a-z0-9]\.[a-z]{2,})")),
+        "end": flag(m.rlike(ENDS)),
+        "sign": flag(F.contains(m, F.lit("@"))),
         "broken": flag(m.rlike(r"\.\x20|\x20\.|[.@]$")),  # a full stop between words
         "bracket": flag(m.rlike(r"[(\[{]")),
         "dots": F.length(F.regexp_replace(m, r"[^.]", "")).cast("double"),
@@ -158,7 +206,7 @@ def _made_up(spark: SparkSession, rows: int) -> DataFrame:
     o = lambda i: number(f"o{i}", 1, 255)
     a3, b3, d4 = number("a3", 200, 999), number("b3", 200, 999), number("d4", 1000, 9999)
     good = pick("good", join(name, " (at) ", host, " (dot) ", end), join(name, "[at]", host, "[dot]", end), join(name, " at ", host, " dot ", end), join(name, " (at) ", host, ".", end), join(o(1), "[.]", o(2), "[.]", o(3), "[.]", o(4)), join(o(1), "(.)", o(2), "(.)", o(3), "(.)", o(4)), cut("."), cut("/"), cut("_"), join("(", a3, ") ", b3, "-", d4), join(a3, "-", b3, "-", d4), join(name, " at ", host, ".", end), join(name, " @ ", host, ".", end), join(name, "@", host, " dot ", end), join(name, " at ", host, " (dot) ", end), join(name, "@", host, "(dot)", end))
-    bad = pick("bad", join(number("x", 300, 999), ".", o(2), ".", o(3), ".", o(4)), join("1.2.", number("x", 256, 4000), ".7"), join(q(1), q(2), q(3), q(4)), join(q(1), " ", q(2), " ", q(3), " ", q(4)), join(q(1), "/", q(2), "/", q(3), "/", q(4)), join(q(1), ".", q(2), ".", q(3), ".", q(4)), join("look at ", host, " dot"), join("met at ", host, ". Then"), join("stay at ", host, ".It was"), join("two @ ", host, ". They"), join(a3, " ", b3, " ", d4), join(a3, ".", b3, ".", d4), join(a3, "-", b3, "-", d4), join("+1 ", number("s", 100, 999), " 22"), join(q(1), number("y", 10**9, 10**10 - 1)), join("0000 0000 0000 0000"))
+    bad = pick("bad", join(number("x", 300, 999), ".", o(2), ".", o(3), ".", o(4)), join("1.2.", number("x", 256, 4000), ".7"), join(q(1), q(2), q(3), q(4)), join(q(1), " ", q(2), " ", q(3), " ", q(4)), join(q(1), "/", q(2), "/", q(3), "/", q(4)), join(q(1), ".", q(2), ".", q(3), ".", q(4)), join("look at ", host, " dot"), join("met at ", host, ". Then"), join("stay at ", host, ".It was"), join("two @ ", host, ". They"), join("met at ", host, ". ", pick("word", "It", "In", "At", "No", "So", "Is", "Be", "Us")), join("by at ", pick("word2", "and", "the", "home", "work"), ". ", pick("word", "It", "In", "At", "No")), join("us at ", host, ".com"), join(a3, " ", b3, " ", d4), join(a3, ".", b3, ".", d4), join(a3, "-", b3, "-", d4), join("+1 ", number("s", 100, 999), " 22"), join(q(1), number("y", 10**9, 10**10 - 1)), join("0000 0000 0000 0000"))
     kinds = F.array(*[F.lit(k) for k in ["email"] * 4 + ["ip"] * 2 + ["card"] * 3 + ["phone"] * 2 + ["email"] * 5])  # of the forms in good
     near = either("near", ("Please call ", "phone: ", "contact ", "mail ", "card ", "host ", "", "and then the ", "of ", "server "), ("write to ", "dial ", "my card is ", "login from ", "so ", "you reach "))
     far = either("far", ("order ", "version ", "ISBN ", "the ", "no ", "part ", "", "total of ", "ref ", "code x"), ("invoice ", "build ", "lot ", "page ", "and ", "sum of "))
@@ -214,33 +262,40 @@ def detect(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, pr
 
     base = F.concat(*[F.transform(scan(body, BASE[k], GATE[k], functools.partial(valid, k)), numbered(i)) for i, k in enumerate(KINDS)])
     seen = docs.withColumn("base_spans", base).withColumn("__proposed", proposals(body))
-    meets = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
-    limit = lambda k: functools.reduce(lambda rest, n: F.when(k == n, F.lit(limits[n])).otherwise(rest), KINDS, F.lit(1.1))
     number = lambda k: functools.reduce(lambda rest, i: F.when(k == KINDS[i], F.lit(i)).otherwise(rest), range(len(KINDS)), F.lit(-1))
-    free = F.filter("__proposed", lambda c: ~F.exists("base_spans", lambda s: meets(c, s)))
-    weighed = F.transform(free, lambda c: F.struct(c["kind"].alias("of"), number(c["kind"]).alias("k"), c["start"].alias("start"), c["end"].alias("end"), *[v.alias(f"f_{n}") for n, v in features(c["kind"], c["m"], c["b"], c["a"]).items()]))
+    seen = seen.withColumn("__proposed", apart(F.col("__proposed"), F.col("base_spans")))
+    weighed = F.transform("__proposed", lambda c: F.struct(c["kind"].alias("of"), number(c["kind"]).alias("k"), c["start"].alias("start"), c["end"].alias("end"), *[v.alias(f"f_{n}") for n, v in features(c["kind"], c["m"], c["b"], c["a"]).items()]))
     seen = seen.withColumn("__weighed", weighed)  # a candidate's features are made once, then all trees read them
-    scored = F.transform("__weighed", lambda c: F.struct((-model.column({n: c[f"f_{n}"] for n in model.names})).alias("p"), c["start"].alias("start"), (-c["end"]).alias("past"), c["k"].alias("k"), c["end"].alias("end"), limit(c["of"]).alias("least")))
+    least = " ".join(f"WHEN c.of = '{k}' THEN {limits[k]!r}D" for k in KINDS)
+    probability = model.sql(lambda name: f"c.f_{name}")
+    scored = F.expr(f"transform(__weighed, c -> named_struct('p', -({probability}), 'start', c.start, 'past', -c.end, 'k', c.k, 'end', c.end, 'least', CASE {least} ELSE 1.1D END))")
     seen = seen.withColumn("__scored", F.filter(scored, lambda c: -c["p"] >= c["least"]))
-    best = F.filter("__scored", lambda c: ~F.exists("__scored", lambda d: meets(c, d) & (F.struct(d["p"], d["start"], d["past"], d["k"]) < F.struct(c["p"], c["start"], c["past"], c["k"]))))
-    added = F.transform(best, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end")))
-    every = F.when(F.size("__proposed") == 0, F.col("base_spans")).otherwise(F.sort_array(F.array_distinct(F.concat("base_spans", added))))
+    added = F.transform(best_apart(F.col("__scored")), lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end")))
+    every = F.when(F.size("__proposed") == 0, F.col("base_spans")).otherwise(F.sort_array(F.concat("base_spans", added)))
     return seen.withColumn("spans", every.cast(SPAN)).drop("__proposed", "__weighed", "__scored")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces what ``spans`` holds by [EMAIL], [IP], [CARD] and [PHONE]; of
-    overlapping spans the first in the text names the gap. Null stays null."""
+    overlapping spans the first in the text names the gap. Null stays null. The text is
+    cut into one part for each block of spans, so that no position is counted from its beginning."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    body = F.col(text)
+
+    def fresh(rows: Column) -> Column:
+        reach = highest(F.transform(rows, lambda s: s["end"]))
+        return F.filter(F.zip_with(rows, reach, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["k"].alias("k"))), lambda s: s["start"] >= s["at"])
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["k"])))).otherwise(acc["out"]).alias("out"))
+    def block(low: Column, rows: Column, names: Column) -> Column:
+        part = F.substring(body, low + 1, F.element_at(rows, -1)["start"] - low)
+        piece = lambda part: lambda s: F.concat(F.substring(part, s["at"] - low + 1, s["start"] - s["at"]), F.get(names, s["k"]))
+        return let(part, lambda part: F.array_join(F.transform(rows, piece(part)), ""))
 
-    clean = F.aggregate(by_start, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.lit(2**31 - 1))))
-    return docs.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
+    pieces = let(names, lambda n: let(let(by_start, fresh), lambda rows: F.array_join(F.transform(blocks(rows), lambda r: block(F.get(r, 0)["at"], r, n)), "")))
+    end = F.aggregate("spans", F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
+    clean = F.concat(pieces, F.substring(body, end + 1, F.lit(2**31 - 1)))
+    return docs.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(body))
 
 
 def digest(spans: Column) -> Column:

@@ -217,6 +217,46 @@ def test_language(spark):
     assert langid.learn(docs.limit(0)) == {} and langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_against_plain_compression(spark):
+    """Every guess is that of one compressor a language over the whole text in pieces."""
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    words = {"en": "the of and to in that was his with as".split(), "de": "der die und zu den das nicht von sie ist".split(), "fr": "le de et la les des en un du dans".split()}
+    rows = [(i, " ".join(rng.choice(words[x], rng.integers(1, 60))), x) for i, x in enumerate(str(rng.choice(list(words))) for _ in range(300))]
+    rows += [(400, "the der " * 9000, "en"), (401, "½", "de"), (402, "² ³ 12", None), (403, "É", None), (404, rows[0][1], None), (405, rows[0][1], "en"), (406, None, "en"), (None, "le de et", "fr")]
+    docs = spark.createDataFrame([(*r, "s", 1.0) for r in rows], "doc_id long, text string, lang string, source string, score double")
+    learnt = langid.learn(docs.filter(langid.remainder(F.col("doc_id")) != 1))
+    got = [r.asDict() for r in langid.identify(docs, learnt).collect()]
+
+    def size(data, name):
+        made = zstandard.ZstdCompressionDict(learnt[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        press = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(press.compress(data[i : i + langid.PIECE] + langid.FILL)) for i in range(0, len(data), langid.PIECE))
+
+    for r in got:
+        if r["doc_id"] in (401, 402, 406):
+            assert (r["lang_pred"], r["score"], r["lang_ok"]) == ("und", 0.0, False)
+            continue
+        sizes = [size(langid.plain(r["text"]), name) for name in learnt]
+        assert r["lang_pred"] == list(learnt)[sizes.index(min(sizes))]  # of equal sizes the more frequent language
+        assert r["lang_ok"] == ((sorted(sizes)[1] - min(sizes)) / sorted(sizes)[1] >= langid.NARROW)
+    of = {r["doc_id"]: (r["lang_pred"], r["score"], r["lang_ok"]) for r in got}
+    assert of[0] == of[404] == of[405]
+    # a prediction depends on the text alone
+    other = docs.select("doc_id", "text", F.lit("zz").alias("lang"), F.lit(None).cast("string").alias("source"))
+    assert {r["doc_id"]: (r["lang_pred"], r["score"], r["lang_ok"]) for r in langid.identify(other, learnt).collect()} == of
+
+
+def test_held_out_rows_teach_nothing(spark, tmp_path):
+    import zlib
+
+    rows = [(i, "wort zahl haus" if zlib.crc32(str(i).encode()) % 3 == 1 else "word number house", "de" if zlib.crc32(str(i).encode()) % 3 == 1 else "en") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.op9_langid(spark, str(tmp_path)).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["lang_pred"] == "en" for r in got) and len(got) == 60
+
+
 # -- quality -------------------------------------------------------------------------
 
 
