@@ -70,6 +70,27 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
+def sums(values: Column) -> Column:
+    """For each whole number of an array the sum of those before it, in blocks of about the
+    root of its length, so that no array grows by more than that."""
+    first = lambda start: F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def folded(part: Column, start: Column) -> Column:
+        return F.aggregate(part, first(start), step, lambda acc: acc["out"])
+
+    def cut(bound: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(bound))), F.lit(1)).cast("int")
+        last = F.greatest(F.floor((F.size(bound) - 1) / F.greatest(F.ceil(F.sqrt(F.size(bound))), F.lit(1))), F.lit(0)).cast("int")
+        return let(F.struct(width.alias("w"), last.alias("n")), lambda s: F.transform(F.sequence(F.lit(0), s["n"]), lambda i: F.slice(bound, i * s["w"] + 1, s["w"])))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, n: acc + n))
+        return F.flatten(F.zip_with(parts, folded(totals, F.lit(0)), folded))
+
+    return let(values, lambda bound: let(cut(bound), joined))
+
+
 def blanked(text: Column, pattern: str) -> Column:
     """The text with every match replaced by as many spaces."""
     rows = cut(text, pattern)

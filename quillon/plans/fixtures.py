@@ -50,6 +50,21 @@ MANUSCRIPT = " || ".join(
 )
 MS = f"SELECT doc_id, {MANUSCRIPT} AS text FROM documents"
 
+# House terms out of the parts' names, and manuscripts that hold one, or nearly.
+HOUSE_RULES = """
+SELECT min(p_partkey) AS rule, p_name AS term, CASE WHEN min(p_partkey) % 3 = 0 THEN 'word' WHEN min(p_partkey) % 3 = 1 THEN 'stem' ELSE 'within' END AS mode,
+       'house-term' AS kind, CASE WHEN min(p_partkey) % 4 = 0 THEN 'error' ELSE 'warning' END AS severity, 'the ' || p_name AS suggestion
+FROM part GROUP BY p_name"""
+_TERM = """CASE doc_id % 6 WHEN 0 THEN 'A ' || p_name || ', and ' || upper(p_name) || '.' WHEN 1 THEN 'Of ' || p_name || 's and x' || p_name || '.' WHEN 2 THEN replace(p_name, ' ', '  ') || ' or ' || replace(p_name, ' ', '-') || '.'
+ WHEN 3 THEN p_name || '_b, ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '!' WHEN 4 THEN replace(p_name, ' ', chr(10)) || ' (' || p_name || ')' ELSE substr(p_name, 1, length(p_name) - 1) || ' it.' END"""
+HOUSE_MS = f"SELECT doc_id, 'Head' || chr(10) || {_TERM} || chr(10) || text AS text FROM (SELECT doc_id, p_name, {MANUSCRIPT} AS text FROM documents JOIN part AS q ON p_partkey = doc_id % 190) AS m"
+#: Who supports a study: a statement a nation, asked for by the journals of its region.
+SUPPORT = "SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region AS r ON n_regionkey = r_regionkey"
+_GIVEN = """CASE doc_id % 4 WHEN 0 THEN 'Thanks for support from ' || n_name || ', by award 7 of its office.' WHEN 1 THEN n_name || ' grant' || chr(10) || ' ' || chr(10) || 'An unpaid contract.'
+ WHEN 2 THEN 'The ' || n_name || ' Grants office gave an award, and it says so here, at some length, for all.' ELSE 'Support  from ' || n_name || ' by award of the office' END"""
+SUPPORTED = f"""SELECT doc_id, CASE WHEN doc_id % 7 < 5 THEN r_name WHEN doc_id % 7 = 5 THEN 'Elsewhere' ELSE NULL END AS journal, 'Head' || chr(10) || chr(10) || chr(10) || {_GIVEN} || chr(10) || chr(10) || text AS text
+FROM (SELECT doc_id, n_name, {MANUSCRIPT} AS text FROM documents JOIN nation AS n ON n_nationkey = (doc_id % 7 + 5 * (doc_id % 5)) % 25) AS m LEFT JOIN region AS r ON r_regionkey = doc_id % 7"""
+
 _NAME = "'Ana K' || substr('abcdefghij', CAST({0} % 10 AS INT) + 1, 1) || substr('lmnopqrst', CAST({0} % 9 AS INT) + 1, 1) || 'son'"
 _SECOND = "'Bo T' || substr('aeiou', CAST({0} % 5 AS INT) + 1, 1) || substr('klmnrst', CAST({0} % 7 AS INT) + 1, 1) || 'berg'"
 REFS = f"""
@@ -121,5 +136,5 @@ def sql(spark: SparkSession, sf_dir: str, query: str, *tables: str) -> DataFrame
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     query = query.replace("{", "{{").replace("}", "}}")  # braces of the texts; names of tables are put in braces
     for t in tables:
-        query = query.replace(f"FROM {t}", f"FROM {{{t}}}")
+        query = query.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(query, **named)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scan import join_ints, spans
-from ..operators import declarations, fields, layout, manifest, numbering, policy, records, segments, wording
+from ..operators import declarations, fields, layout, manifest, numbering, policy, records, rules, segments, wording
 from ..sources import bibliography, registries, word
 from . import fixtures as fx
 
@@ -446,6 +446,65 @@ def statement_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declarations.check_statements(ms(spark, sf_dir)).select("doc_id", "status")
 
 
+# -- rules from tables ---------------------------------------------------------------
+
+# The places of a term: a lower-case text cut at it, with what stands before and behind.
+HOUSE = f"""ms AS ({fx.HOUSE_MS}), rules AS ({fx.HOUSE_RULES}),
+prose AS (SELECT doc_id, substr(text, 1, strpos(text, chr(10) || 'References' || chr(10)) + 10) AS prose FROM ms),
+x AS (SELECT doc_id, prose, r.*, string_split(lower(prose), term) AS p FROM prose, rules r WHERE contains(lower(prose), term)),
+u AS (SELECT * EXCLUDE (p), substr(prose, 1, CAST(list_sum(list_transform(p[1:i], lambda z: length(z))) + (i - 1) * length(term) AS BIGINT)) AS lead, p[i] AS before, p[i + 1] AS behind FROM (SELECT *, unnest(range(1, len(p))) AS i FROM x)),
+hit AS (SELECT doc_id, rule, term, mode, severity, suggestion, prose, lead, CASE WHEN mode = 'stem' THEN regexp_extract(behind, '^[\\pL\\pM\\pN_]*') ELSE '' END AS more FROM u
+  WHERE mode = 'within' OR NOT regexp_matches(before, '[\\pL\\pM\\pN_]$') AND (mode = 'stem' OR NOT regexp_matches(behind, '^[\\pL\\pM\\pN_]')))"""
+
+
+def _house(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fx.sql(spark, sf_dir, fx.HOUSE_MS, "documents", "part"), fx.sql(spark, sf_dir, fx.HOUSE_RULES, "part")
+
+
+@query("rule_findings", f"""WITH {HOUSE}
+SELECT doc_id, CAST(len(string_split(lead, chr(10))) AS INTEGER) AS line, CAST(length(string_split(lead, chr(10))[-1]) AS INTEGER) AS pos, rule,
+       substr(prose, length(lead) + 1, length(term) + length(more)) AS token, suggestion || more AS suggestion, severity FROM hit""")
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table of house terms finds in the manuscripts, and where."""
+    return rules.check_rules(*_house(spark, sf_dir)).select("doc_id", "line", "pos", "rule", "token", "suggestion", "severity")
+
+
+@query("rule_totals", f"""WITH {HOUSE}
+SELECT rule, mode, count(DISTINCT doc_id) AS documents, count(doc_id) AS n FROM rules LEFT JOIN (SELECT rule, doc_id FROM hit) AS h USING (rule) GROUP BY ALL""")
+def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each rule of the table finds something, those included that never do."""
+    texts, table = _house(spark, sf_dir)
+    found = rules.check_rules(texts, table).groupBy("rule").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("n"))
+    return table.select("rule", "mode").join(found, "rule", "left").fillna(0, ["documents", "n"])
+
+
+def _feeds(x: str) -> str:
+    return f"len({x}) - len(replace({x}, chr(10), ''))"
+
+
+@query("rule_statements", f"""WITH ms AS ({fx.SUPPORTED}), s AS ({fx.SUPPORT}),
+p AS (SELECT doc_id, coalesce(journal, '') AS journal, string_split_regex(text, '\\n\\s*\\n') AS p, regexp_extract_all(text, '\\n\\s*\\n') AS g FROM ms),
+b AS (SELECT doc_id, i, p[i] AS t, {_feeds("array_to_string(p[1:i - 1], '')")} + {_feeds("array_to_string(g[1:i - 1], '')")} + 1 AS line FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM p)),
+k AS (SELECT doc_id, t, line, row_number() OVER w AS b, lead(t) OVER w AS next FROM b WHERE regexp_matches(t, '\\S') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+asked AS (SELECT r_name AS journal, n_nationkey AS ord, n_name FROM s UNION ALL SELECT '', n_nationkey, n_name FROM s WHERE n_nationkey < 2),
+d AS (SELECT doc_id, CASE WHEN journal IN (SELECT journal FROM asked) THEN journal ELSE '' END AS journal FROM p),
+f AS (SELECT d.doc_id, d.journal, ord, n_name, min(b) AS b FROM d JOIN asked USING (journal) LEFT JOIN k ON k.doc_id = d.doc_id AND (contains(lower(t), lower(n_name || ' grant')) OR contains(lower(t), lower('support from ' || n_name))) GROUP BY ALL),
+w AS (SELECT f.*, line, lower(CASE WHEN length(trim(t)) < 60 AND next IS NOT NULL THEN t || chr(10) || next ELSE t END) AS t, CASE WHEN ord % 2 = 0 THEN ' (say which)' ELSE '' END AS hint FROM f LEFT JOIN k USING (doc_id, b))
+SELECT doc_id, journal, CAST(ord AS INTEGER) AS ord, n_name AS key, b IS NOT NULL AS present, CAST(coalesce(line, 0) AS INTEGER) AS line,
+       CASE WHEN b IS NULL THEN 'missing' || hint ELSE concat_ws('; ', CASE WHEN NOT contains(t, 'award') AND NOT contains(t, 'contract') THEN 'does not mention award / contract' || hint END,
+            CASE WHEN NOT contains(t, 'office') THEN 'does not mention office' || hint END, CASE WHEN contains(t, 'unpaid') THEN 'must not say unpaid' || hint END) END AS issues FROM w""")
+def rule_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that each journal asks for, by a table of rules and one of journals."""
+    s = fx.sql(spark, sf_dir, fx.SUPPORT, "nation", "region")
+    texts = lambda *each: F.array(*[F.lit(x) if isinstance(x, str) else x for x in each])
+    hint = F.when(F.col("n_nationkey") % 2 == 0, "say which").otherwise("")
+    made = s.select(F.col("n_name").alias("key"), F.col("n_name").alias("label"), texts(F.concat("n_name", F.lit(" grant")), F.concat(F.lit("support from "), "n_name")).alias("cues"), F.array(texts("award", "contract"), texts("office")).alias("needs"), texts("unpaid").alias("forbids"), hint.alias("hint"))
+    asked = s.select(F.col("r_name").alias("journal"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("key"))
+    asked = asked.unionByName(s.filter("n_nationkey < 2").select(F.lit("").alias("journal"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("key")))
+    rows = declarations.check_statement_rules(fx.sql(spark, sf_dir, fx.SUPPORTED, "documents", "nation", "region"), made, asked)
+    return rows.select("doc_id", "journal", "ord", "key", "present", "line", F.array_join("issues", "; ").alias("issues"))
+
+
 # -- layout and manifests ----------------------------------------------------------
 
 LAYOUT = f"""p AS ({fx.PARAS}), g AS (SELECT doc_id, size, after, line, align, count(*) AS n, min(para_ord) AS first FROM p WHERE length(text) >= 180 GROUP BY ALL),
