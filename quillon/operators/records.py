@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
+from ..functions.storage import hadoop_path, shared_folder
 
 RECORD = "source string, priority int, doi string, title string, authors array<string>, year int, volume string, first_page string"
 SURNAME, TITLE = 0.85, 0.9
@@ -184,24 +185,24 @@ def verdict(entry: Column, title: Column, first_author: Column) -> Column:
     return F.when(overlap(entry, title) < 0.6, "no-match").when(~F.array_contains(F.split(entry, " "), name), "check").otherwise("match")
 
 
-def audit_entries(entries: DataFrame, registry: DataFrame, most: int | None = 200) -> DataFrame:
-    """entries: doc_id, ord, entry. The first ``most`` entries of a document, all of
-    them if it is None, get doc_id, ord, doi, record title and verdict: by their DOI, else by the record
-    that shares most telling words with them. The search meets records on their
-    words, rarest first, and never pairs entries with all records."""
+def audit_entries(entries: DataFrame, registry: DataFrame, most: int | None = None, index=None) -> DataFrame:
+    """entries: doc_id, ord, entry. All entries of a document, or its first ``most``, get doc_id,
+    ord, doi, title of a record and verdict: by their DOI, else by the record that
+    ``search`` finds, in an ``index`` that was built before or in one of the registry."""
+    from . import search  # reads this module
+
+    spark = entries.sparkSession
     rows = (entries if most is None else entries.filter(F.col("ord") < most)).withColumn("doi", doi_key(entry_doi(F.col("entry")))).withColumn("folded", T.norm(F.col("entry")))
     known = registry.select(doi_key(F.col("doi")).alias("doi"), F.col("title").alias("r_title"), T.norm(F.col("title")).alias("r_folded"), T.norm(F.coalesce(F.get("authors", 0), F.lit(""))).alias("r_first"))
-    best = known.groupBy("doi").agg(F.min(F.struct("r_title", "r_folded", "r_first")).alias("r"))
+    best = known.filter("doi IS NOT NULL").groupBy("doi").agg(F.min(F.struct("r_title", "r_folded", "r_first")).alias("r"))
     direct = rows.filter("doi IS NOT NULL").join(best, "doi", "left")
     bare = F.length(F.trim(F.regexp_replace("entry", DOI, ""))) < 15
-    direct = direct.withColumn("verdict", F.when(F.col("r").isNull(), "no-match").when(bare, "match").otherwise(verdict(F.col("folded"), F.col("r.r_folded"), F.col("r.r_first"))))
-    # a record needs 60 per cent of its words in the entry, so one of its rarest 40 per cent and one more
-    words = known.filter(F.size(title_words(F.col("r_folded"))) > 0).select("doi", "r_title", "r_folded", "r_first", F.explode(title_words(F.col("r_folded"))).alias("w"), F.size(title_words(F.col("r_folded"))).alias("n"))
-    rare = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    ranked = words.join(rare, "w").groupBy("doi", "r_title", "r_folded", "r_first", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
-    index = ranked.select("doi", "r_title", "r_folded", "r_first", F.explode(F.slice("ws", F.lit(1), F.floor(F.col("n") * 0.4).cast("int") + 1)).alias("x")).select(F.col("doi").alias("r_doi"), "r_title", "r_folded", "r_first", F.col("x.w").alias("w"))
-    asked = rows.filter("doi IS NULL").withColumn("w", F.explode(title_words(F.col("folded"))))
-    met = asked.join(index, "w").withColumn("share", overlap(F.col("folded"), F.col("r_folded"))).filter("share >= 0.6")
-    top = met.groupBy("doc_id", "ord").agg(F.max_by(F.struct("r_title", "r_folded", "r_first"), F.struct(F.col("share"), F.length("r_folded"), F.col("r_doi"))).alias("r"))
-    sought = rows.filter("doi IS NULL").join(top, ["doc_id", "ord"], "left").withColumn("verdict", F.when(F.col("r").isNull(), "no-match").otherwise(verdict(F.col("folded"), F.col("r.r_folded"), F.col("r.r_first"))))
-    return direct.unionByName(sought).select("doc_id", "ord", "doi", F.col("r.r_title").alias("title"), "verdict")
+    direct = direct.select("doc_id", "ord", "doi", F.col("r.r_title").alias("title"), F.when(F.col("r").isNull(), "no-match").when(bare, "match").otherwise(verdict(F.col("folded"), F.col("r.r_folded"), F.col("r.r_first"))).alias("verdict"))
+    if index is None:
+        folder = shared_folder(spark)
+        index = search.build(registry, folder)
+        files, place = hadoop_path(spark, folder)
+        files.deleteOnExit(place)
+    sought = search.search(rows.filter("doi IS NULL").withColumn("_words", F.col("folded")), index, ("doc_id", "ord", "_words"))
+    judged = F.when(F.col("title").isNull(), "no-match").otherwise(verdict(F.col("_words"), F.col("folded"), F.col("first")))
+    return direct.unionByName(sought.select("doc_id", "ord", F.lit(None).cast("string").alias("doi"), "title", judged.alias("verdict")))

@@ -65,6 +65,13 @@ _GIVEN = """CASE doc_id % 4 WHEN 0 THEN 'Thanks for support from ' || n_name ||
 SUPPORTED = f"""SELECT doc_id, CASE WHEN doc_id % 7 < 5 THEN r_name WHEN doc_id % 7 = 5 THEN 'Elsewhere' ELSE NULL END AS journal, 'Head' || chr(10) || chr(10) || chr(10) || {_GIVEN} || chr(10) || chr(10) || text AS text
 FROM (SELECT doc_id, n_name, {MANUSCRIPT} AS text FROM documents JOIN nation AS n ON n_nationkey = (doc_id % 7 + 5 * (doc_id % 5)) % 25) AS m LEFT JOIN region AS r ON r_regionkey = doc_id % 7"""
 
+# A library out of the parts, and entries that name its works well, badly or not at all.
+_P = "CAST(p_partkey AS STRING)"
+LIBRARY = f"""SELECT '10.1000/p' || {_P} AS doi, 'Study of the ' || p_name || ' under ' || lower(p_type) || ' loads' || CASE WHEN p_partkey % 3 = 0 THEN ', part ' || {_P} ELSE '' END AS title,
+ CASE WHEN p_partkey % 4 = 0 THEN 'Ana Kole' ELSE 'Bo Berg' END AS author FROM part"""
+ENTRIES = f"""SELECT p_partkey AS doc_id, 0 AS ord, 'Berg B. ' || CASE p_partkey % 6 WHEN 0 THEN 'Study of the ' || p_name || ' under ' || lower(p_type) || ' loads, part ' || {_P} WHEN 1 THEN 'On ' || p_name || ' and ' || lower(p_type) || ' loads'
+ WHEN 2 THEN 'The study of loads' WHEN 3 THEN 'Some ' || p_name || ' of 19' || {_P} WHEN 4 THEN 'Quite another thing' ELSE 'Studies: ' || upper(p_name) || ' - under loads' END || ', 2001.' AS entry FROM part"""
+
 _NAME = "'Ana K' || substr('abcdefghij', CAST({0} % 10 AS INT) + 1, 1) || substr('lmnopqrst', CAST({0} % 9 AS INT) + 1, 1) || 'son'"
 _SECOND = "'Bo T' || substr('aeiou', CAST({0} % 5 AS INT) + 1, 1) || substr('klmnrst', CAST({0} % 7 AS INT) + 1, 1) || 'berg'"
 REFS = f"""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..functions.scan import join_ints, spans
-from ..operators import declarations, fields, layout, manifest, numbering, policy, records, rules, segments, wording
+from ..operators import declarations, fields, layout, manifest, numbering, policy, records, rules, search, segments, wording
 from ..sources import bibliography, registries, word
 from . import fixtures as fx
 
@@ -323,7 +324,30 @@ LIBRARY = "SELECT 'First long title about lattices of salts' AS title, 'Bo Adams
 SELECT doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN entry LIKE '%First long title%' THEN 'match' WHEN entry LIKE '%Second long title%' THEN 'check' ELSE 'no-match' END AS verdict FROM u""")
 def entry_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.sql(LIBRARY).withColumn("authors", F.array("author"))
-    return records.audit_entries(ref_entries(spark, sf_dir), known, most=None).select("doc_id", "ord", "verdict")
+    return records.audit_entries(ref_entries(spark, sf_dir), known).select("doc_id", "ord", "verdict")
+
+
+_FOLD = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_STOP = ", ".join(f"'{w}'" for w in records.STOPWORDS)
+
+
+@query("entry_search", f"""WITH lib AS ({fx.LIBRARY}), ent AS ({fx.ENTRIES}),
+t AS (SELECT *, len(ws) AS n FROM (SELECT doi, title, author, {_FOLD.format('title')} AS folded, list_distinct(list_filter(string_split({_FOLD.format('title')}, ' '), lambda w: length(w) > 3 AND w NOT IN ({_STOP}))) AS ws FROM lib)),
+w AS (SELECT doi, unnest(ws) AS w FROM t),
+e AS (SELECT doc_id, ord, list_distinct(string_split({_FOLD.format('entry')}, ' ')) AS es FROM ent),
+hits AS (SELECT doc_id, doi, count(*) AS k FROM (SELECT doc_id, unnest(es) AS w FROM e) JOIN w USING (w) GROUP BY ALL),
+best AS (SELECT doc_id, doi, k / n AS share, title, author, row_number() OVER (PARTITION BY doc_id ORDER BY k / n DESC, length(folded) DESC, doi) AS r FROM hits JOIN t USING (doi))
+SELECT e.doc_id, coalesce(share, 0) AS share, doi, title, CASE WHEN coalesce(share, 0) < 0.6 THEN 'no-match' WHEN NOT list_contains(es, lower(split_part(author, ' ', 2))) THEN 'check' ELSE 'match' END AS verdict
+FROM e LEFT JOIN (SELECT * FROM best WHERE r = 1) AS b USING (doc_id)""")
+def entry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best record of a library for every free-text entry, by the stored index."""
+    folder = storage.shared_folder(spark)
+    index = search.build(fx.sql(spark, sf_dir, fx.LIBRARY, "part").withColumn("authors", F.array("author")), folder)
+    files, place = storage.hadoop_path(spark, folder)
+    files.deleteOnExit(place)
+    rows = search.search(fx.sql(spark, sf_dir, fx.ENTRIES, "part"), index, ("doc_id", "ord", "entry"))
+    judged = F.when(F.col("title").isNull(), "no-match").otherwise(records.verdict(records.T.norm(F.col("entry")), F.col("folded"), F.col("first")))
+    return rows.select("doc_id", "share", "doi", "title", judged.alias("verdict"))
 
 
 # -- wording -------------------------------------------------------------------
