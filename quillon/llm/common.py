@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import gc
 import os
 import re
 import tempfile
@@ -46,6 +46,18 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(place)
 
 
+@contextlib.contextmanager
+def shuffles_cleared(spark: SparkSession):
+    """Shuffle files of what runs here go at its end: a written table is read, not made again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Shelf:
     """Tables between the steps of one operator, in the shared folder. Each ends
     the lineage: a lost executor costs a reread and not a recomputation. A table
@@ -57,19 +69,17 @@ class Shelf:
     def put(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         path = shared_dir(self.spark)
         try:
-            df.write.parquet(path, partitionBy=list(partition_by))
+            with shuffles_cleared(self.spark):
+                df.write.parquet(path, partitionBy=list(partition_by))
         finally:
             delete_at_exit(self.spark, path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables, and lets Spark see that the shuffles behind them are of no more use."""
         for name in names:
             files, place = hadoop_path(self.spark, self.paths.pop(name))
             files.delete(place, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
 
     def clear(self, *but: str) -> None:
         self.drop(*[n for n in self.paths if n not in but])

@@ -2,7 +2,7 @@
 
 Documents become sets of hashed word shingles; two sets are linked when their
 Jaccard similarity is at least :data:`PERCENT` per cent. The result is one row
-per document with its component and the number of its links, never a list of
+per document with its class, its component and the number of its links, never a list of
 all pairs.
 
 * Equal sets are one class, named by a hash of the set; only classes are joined.
@@ -52,7 +52,8 @@ probability below n^2 / 2^65.
 Defined results: null, empty and word-free texts have no shingles, are linked
 with nothing and are their own component; a null id is the smallest id of its
 class only if all are null; repeated rows are copies; an empty table gives an
-empty table.
+empty table. Very long texts are cut into shingles whole, one text at a time. Only the
+columns of id and text are read, whatever others there are and however they are named.
 """
 
 from __future__ import annotations
@@ -463,10 +464,31 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, mark (xxhash64 of the text), n_shingles, set (the class), group (a number of
-    the component, null without words), component_id, n_links for every row of the table;
-    n_links counts all other classes that the row's class is linked with."""
+def _degree(final: DataFrame, owners: DataFrame, known: DataFrame, fetched, shelf: Shelf, percent: int) -> DataFrame:
+    """set, n_links: links inside components. Two classes have one; of three and more all pairs are
+    counted by blocks, from the classes' differences from one base, the set that most know best."""
+    sizes = final.join(owners.filter("n > 0").groupBy("set").agg(F.first("n").alias("n")), "set").groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
+    sizes = sizes.select("comp", "many", F.greatest(F.floor(F.col("many") / BLOCK), F.floor(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("last"))
+    led_by = known.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(final, F.col("rep") == F.col("set")).groupBy("comp").agg(F.max(F.struct("c", "rep"))["rep"].alias("base"))
+    placed = final.join(sizes, "comp").join(led_by, "comp", "left").select("set", "comp", "many", "last", F.coalesce("base", "comp").alias("base"), F.pmod(F.xxhash64("set"), F.col("last") + 1).cast("int").alias("block"))
+    placed = shelf.put("placed", placed)
+    open_ = placed.filter("many > 2")
+    whole = fetched(open_.select("set"), "open_sets")
+    bases = open_.select("base").distinct().join(whole.select(F.col("set").alias("base"), F.col("s").alias("p")), "base")
+    lacks, adds = F.array_except("p", "s"), F.array_except("s", "p")
+    apart = open_.join(whole, "set").join(bases, "base").select("comp", "last", "block", "set", F.size("s").cast("long").alias("n"), F.size("p").cast("long").alias("base_n"), F.size(lacks).cast("long").alias("lacks"), F.concat(lacks, adds).alias("differs"))
+    dealt = shelf.put("apart", apart).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    shelf.drop("open_sets")
+    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "n", "base_n", "lacks", "differs")
+    counted = dealt.groupBy("comp", "lo", "hi").applyInArrow(_degrees(percent), "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
+    return counted.union(placed.filter("many = 2").select("set", F.lit(1).cast("long")))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """id, mark (xxhash64 of the text), n_shingles, set (the class), class_id (its smallest id),
+    group (a number of the component, null without words), component_id and n_links for every
+    row of the table; n_links counts all other classes that the row's class is linked with.
+    Who needs the components alone leaves the ``links`` uncounted: n_links is null then."""
     spark = docs.sparkSession
     shelf = Shelf(spark)
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
@@ -479,8 +501,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     entries = rows.select("text").mapInArrow(lean(_index(k, percent, order, 0)), "shingle long, part int, set long, n int, pos int")
     dealt = entries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shingle", "part").sortWithinPartitions("shingle", "part", "n", "pos", "set")
     lists = shelf.put("lists", dealt.mapInArrow(lean(_lists(percent)), "shingle long, set long, n int, pos int, open boolean"))
-    del entries, dealt
-    shelf.drop()  # the shuffle of all entries
 
     enough = lambda o, n, m: (100 + percent) * o >= percent * (n + m)
     fits = lambda n, m: (100 * n >= percent * m) & (100 * m >= percent * n)
@@ -522,7 +542,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     led = led.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     led = led.filter(2 * F.col("c") >= needed(F.col("n"), F.col("pn"))).groupBy("a").agg(F.max(F.struct("c", "b")).alias("most")).select("a", F.col("most.b").alias("b"))
     first = verified(shelf.put("led", led), "first").filter(enough(F.col("o"), F.col("na"), F.col("nb")))
-    del shared, heads, led
     comps = components(first, shelf, "comps")
 
     # each class of a component with the pivot that knows it best
@@ -551,11 +570,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
         .select("a", "b", "fa", "fb")
     )
     second = verified(shelf.put("asked", met), "second")
-    del members, asked, x, y, met
     shelf.drop("lists", "led", "asked")
     linked = enough(F.col("o"), F.col("na"), F.col("nb"))
-    links = first.select("a", "b").union(second.filter(linked).select("a", "b"))
-    merged = components(links, shelf, "merged")
+    edges = first.select("a", "b").union(second.filter(linked).select("a", "b"))
+    merged = components(edges, shelf, "merged")
 
     # step three: stars still apart whose pivots leave open whether some members are
     # linked. A member takes part if it is far enough from its own pivot to reach the
@@ -584,41 +602,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     dealt = dealt.join(fetched(sides.select("set").distinct(), "sides_sets"), "set")
     dealt = dealt.select("a", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")).alias("lo"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block")).alias("hi"), "side", "set", "s")
     third = shelf.put("third", dealt.groupBy("a", "lo", "hi").applyInArrow(_joined(percent), "a long, b long"))
-    final = components(links.union(third), shelf, "final").withColumnRenamed("node", "set")
-    del dealt, sides, own, others, sized, near
+    final = components(edges.union(third), shelf, "final").withColumnRenamed("node", "set")
     shelf.drop("near", "sides", "sides_sets", "merged", "central", "comps")
 
-    # links inside components: two classes have one; of three and more all pairs are
-    # counted by blocks, from the classes' differences from one base, the set that most know best
-    sizes = final.join(owners.filter("n > 0").groupBy("set").agg(F.first("n").alias("n")), "set").groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
-    sizes = sizes.select("comp", "many", F.greatest(F.floor(F.col("many") / BLOCK), F.floor(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("last"))
-    led_by = known.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(final, F.col("rep") == F.col("set")).groupBy("comp").agg(F.max(F.struct("c", "rep"))["rep"].alias("base"))
-    placed = final.join(sizes, "comp").join(led_by, "comp", "left").select("set", "comp", "many", "last", F.coalesce("base", "comp").alias("base"), F.pmod(F.xxhash64("set"), F.col("last") + 1).cast("int").alias("block"))
-    placed = shelf.put("placed", placed)
-    open_ = placed.filter("many > 2")
-    whole = fetched(open_.select("set"), "open_sets")
-    bases = open_.select("base").distinct().join(whole.select(F.col("set").alias("base"), F.col("s").alias("p")), "base")
-    lacks, adds = F.array_except("p", "s"), F.array_except("s", "p")
-    apart = open_.join(whole, "set").join(bases, "base").select("comp", "last", "block", "set", F.size("s").cast("long").alias("n"), F.size("p").cast("long").alias("base_n"), F.size(lacks).cast("long").alias("lacks"), F.concat(lacks, adds).alias("differs"))
-    dealt = shelf.put("apart", apart).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    shelf.drop("open_sets")
-    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "n", "base_n", "lacks", "differs")
-    counted = dealt.groupBy("comp", "lo", "hi").applyInArrow(_degrees(percent), "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
-    degree = counted.union(placed.filter("many = 2").select("set", F.lit(1).cast("long")))
+    degree = _degree(final, owners, known, fetched, shelf, percent) if links else None
     classes = owners.filter("n > 0").groupBy("set").agg(F.min("id").alias("first"))
-    named = shelf.put("named", classes.join(final, "set", "left").join(degree, "set", "left").withColumn("comp", F.coalesce("comp", "set")))
+    classes = classes.join(final, "set", "left")
+    classes = classes.join(degree, "set", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))) if links else classes.withColumn("n_links", F.lit(None).cast("long"))
+    named = shelf.put("named", classes.withColumn("comp", F.coalesce("comp", "set")))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("set", F.col("comp").alias("group"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_class = named.join(smallest, "comp").select("set", F.col("first").alias("class_id"), F.col("comp").alias("group"), "component_id", "n_links")
     whole_rows = owners.withColumn("set", F.when(F.col("n") > 0, F.col("set"))).join(by_class, "set", "left")
-    out = shelf.put("out", whole_rows.select("id", "mark", F.col("n").alias("n_shingles"), "set", "group", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    out = shelf.put("out", whole_rows.select("id", "mark", F.col("n").alias("n_shingles"), "set", F.coalesce("class_id", "id").alias("class_id"), "group", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links") if links else "n_links"))
     order.destroy()
-    del dealt, apart, whole, bases, counted, degree, named, by_class, whole_rows, survey, owners
     shelf.clear("out")
     return out
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links")
 
 
 ORACLE = r"""
@@ -632,7 +634,8 @@ p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.h = b.h AND a.id < b.id
       GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT id AS node, id AS lab FROM c UNION SELECT e.b, r.lab FROM r JOIN e ON e.a = r.node WHERE r.lab < e.b),
-m AS (SELECT node, min(lab) AS comp FROM r GROUP BY node)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id
-FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.node = c.id
+m AS (SELECT node, min(lab) AS comp FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id, coalesce(c.id, s.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.node = c.id LEFT JOIN l ON l.a = c.id
 """

@@ -68,6 +68,8 @@ def test_join_against_brute_force(spark):
     got = sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs.repartition(5)).collect())
     assert got == components(rows)
     assert jaccard.join(docs.limit(0)).count() == 0
+    bare = jaccard.join(docs, links=False)
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in bare.collect()) == got and bare.filter("n_links IS NOT NULL").count() == 0
 
 
 @pytest.mark.parametrize("block", [512, 3])
