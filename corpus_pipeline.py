@@ -40,9 +40,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    rows = jaccard.join(docs).filter("n_shingles > 0")
+    rows = jaccard.join(docs, links=False).filter("n_shingles > 0")
     order = F.struct(F.col("id").isNull(), "id", "mark")
-    first = rows.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), "rows")
+    first = rows.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
     stays = stored(first)
     marked = docs.withColumn("_mark", F.xxhash64("text"))
     kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["id"]) & (marked["_mark"] == stays["mark"]), "left")
