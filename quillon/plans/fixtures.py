@@ -129,6 +129,7 @@ SELECT '10.1000/o' || {_K} AS doi,
        CASE WHEN o_orderkey % 12 = 0 THEN '<html>' ELSE '{{"id": ' || CASE WHEN o_orderkey % 10 = 0 THEN 'null' ELSE '"W1"' END || ', "display_name": "A title", "publication_year": ' || {_YEAR}
        || ', "authorships": [{{"author": {{"display_name": "Ana ' || {_FAMILY} || '"}}}}, {{"author": {{}}}}], "biblio": {{"volume": ' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE '"7"' END || ', "first_page": "' || {_s("o_orderkey % 900")} || '"}}}}' END AS second
 FROM orders"""
+LATE = f"""SELECT '10.1000/O' || {_K} AS doi, '{{"message": {{"title": ["Late ' || {_K} || '"]}}}}' AS body FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 11 <> 0"""
 _RAISED = '<w:rPr><w:vertAlign w:val="superscript"/></w:rPr>'
 _FIELD = """'<w:r><w:instrText xml:space="preserve"> ADDIN ZOTERO_ITEM CSL_CITATION {{"citationItems": [{{"uris": ["http://z/items/{0}"], "itemData": {{"title": "T"{1}}}}}], "properties": {{"formattedCitation": "[' || {2} || ']"}}}} </w:instrText></w:r>'"""
 WORD = f"""
