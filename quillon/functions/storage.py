@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +49,10 @@ class Scratch:
         for name in names:
             files, place = hadoop_path(self.spark, self.paths.pop(name))
             files.delete(place, True)
+
+
+def located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """For tasks, which have no JVM: the file system of an address, and the path in it."""
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri.removeprefix("file:")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import storage
 from ..functions.scan import join_ints, spans
-from ..operators import declarations, fields, layout, manifest, numbering, policy, records, rules, search, segments, wording
+from ..operators import declarations, fields, layout, manifest, numbering, policy, records, report, rules, search, segments, wording
 from ..sources import bibliography, registries, store, word
 from . import fixtures as fx
 
@@ -530,6 +530,53 @@ def rule_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "journal", "ord", "key", "present", "line", F.array_join("issues", "; ").alias("issues"))
 
 
+# -- the report ----------------------------------------------------------------------
+
+
+def _listed_in(name: str, column: str, check: str, kind: str, severity: str = "error") -> str:
+    """Findings out of the SQL of a query that lists them in a string."""
+    return f"SELECT doc_id, '{check}' AS \"check\", {kind} AS kind, '{severity}' AS severity FROM (SELECT *, unnest(string_split({column}, ', ')) AS x FROM ({ORACLES[name]}) AS q WHERE {column} <> '') AS u"
+
+
+def _said_in(name: str, check: str, where: str = "true", kind: str = "kind", severity: str = "severity") -> str:
+    return f"SELECT doc_id, '{check}' AS \"check\", {kind} AS kind, {severity} AS severity FROM ({ORACLES[name]}) AS q WHERE {where}"
+
+
+REPORT = " UNION ALL ".join(
+    [
+        *[_listed_in(f"citation_{c}", c, "citations", f"'{kind}'") for c, kind in (("missing", "missing-entry"), ("orphans", "uncited-entry"), ("gaps", "gap"), ("duplicates", "duplicate"))],
+        _said_in("citation_order_flag", "citations", "out_of_order", "'order'", "'error'"),
+        _listed_in("float_dangling", "dangling", "floats", "kind || '-without-caption'"),
+        _listed_in("float_status", "uncited", "floats", "kind || '-not-mentioned'", "warning"),
+        _listed_in("float_duplicates", "gaps", "floats", "kind || '-gap'"),
+        _listed_in("float_duplicates", "duplicates", "floats", "kind || '-twice'"),
+        _said_in("float_status", "floats", "out_of_order", "kind || '-order'", "'error'"),
+        _listed_in("section_dangling", "dangling", "sections", "'no-heading'"),
+        _listed_in("si_inventory", "si", "sections", "'supplement'", "note"),
+        *[_said_in(f"typo_{k}", "typography") for k in ("unclosed", "subscript", "charge", "formula", "degree")],
+        *[_said_in(f"editorial_{k}", "editorial") for k in ("phrases", "spelling", "rules")],
+        *[f"SELECT doc_id, 'editorial', '{kind}', 'warning' FROM (SELECT doc_id, unnest(range(n)) FROM ({ORACLES[name]}) AS q) AS u" for name, kind in (("sentence_initial", "sentence-initial"), ("long_sentences", "long-sentence"))],
+        _said_in("unit_counts", "units", "degc > 0 AND kelvin > 0", "'temperature'", "'warning'"),
+        _said_in("unit_counts", "units", "contains(composition, 'at%') AND contains(composition, 'mol%')", "'composition'", "'warning'"),
+        _said_in("unit_counts", "units", "contains(composition, 'wt%') AND (contains(composition, 'at%') OR contains(composition, 'mol%'))", "'composition'", "'warning'"),
+        f"SELECT doc_id, 'consistency', 'no-such-value', 'error' FROM (SELECT doc_id, unnest(range(n_mismatches)) FROM ({ORACLES['abstract_mismatch']}) AS q) AS u",
+        _said_in("statement_presence", "statements", "NOT present", "'missing'", "'error'"),
+    ]
+)
+
+
+@query("report_counts", f"SELECT doc_id, \"check\", kind, severity, count(*) AS n FROM ({REPORT}) AS r GROUP BY ALL")
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all checks find in each manuscript, by one read of them."""
+    return report.findings(ms(spark, sf_dir)).groupBy("doc_id", "check", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_status", f"""SELECT d.doc_id, c.\"check\", CASE WHEN count(r.kind) > 0 THEN 'suspect' ELSE 'ok' END AS status
+FROM documents d CROSS JOIN (SELECT unnest(['{"', '".join(report.CHECKS)}']) AS \"check\") AS c LEFT JOIN (SELECT * FROM ({REPORT}) AS x WHERE severity = 'error') AS r ON r.doc_id = d.doc_id AND r.\"check\" = c.\"check\" GROUP BY ALL""")
+def report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.status(report.findings(ms(spark, sf_dir)), ms(spark, sf_dir))
+
+
 # -- layout and manifests ----------------------------------------------------------
 
 LAYOUT = f"""p AS ({fx.PARAS}), g AS (SELECT doc_id, size, after, line, align, count(*) AS n, min(para_ord) AS first FROM p WHERE length(text) >= 180 GROUP BY ALL),
