@@ -55,13 +55,17 @@ def integers(vectors: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a . b' in whole numbers: in doubles while they are exact, else in longs."""
+    """a . b' in whole numbers: in doubles while they are exact, else in longs, else in
+    Python's numbers; only a score that does not fit itself raises."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2.0**53:
         return a @ b.T
     if most < 2.0**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    raise OverflowError("a score does not fit into 64 bits")
+    exact = np.array([[int(x) for x in r] for r in a], object).reshape(a.shape) @ np.array([[int(x) for x in r] for r in b], object).reshape(b.shape).T
+    if any(abs(x) >= 2**62 for x in exact.flat):  # leaves room for the sum of the slices
+        raise OverflowError("a score does not fit into 64 bits")
+    return exact.astype(np.int64)
 
 
 class Scores:

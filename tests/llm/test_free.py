@@ -198,6 +198,8 @@ def test_top_k_against_brute_force(spark, wave):
 def test_scores_beyond_doubles_are_exact():
     a = np.array([[2.0**40, 3.0]])
     assert topk.products(a, np.array([[2.0**20, 1.0]])).tolist() == [[2**60 + 3]]
+    # the bound on a large component does not decide, the score does
+    assert topk.products(np.array([[2.0**50, 1.0, 0.0]]), np.array([[0.0, 5.0, 2.0**50], [8.0, 1.0, 0.0]])).tolist() == [[5, 2**53 + 1]]
     with pytest.raises(OverflowError):
         topk.products(a, np.array([[2.0**40, 1.0]]))
 
