@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import storage
 from ..functions.scan import join_ints, spans
 from ..operators import declarations, fields, layout, manifest, numbering, policy, records, report, rules, search, segments, wording
-from ..sources import bibliography, registries, store, word
+from ..sources import bibliography, registries, store, word, writers
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,6 +270,19 @@ def renumber_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.renumber(ms(spark, sf_dir)).select("doc_id", "renumbered", F.array_join("warnings", "; ").alias("warnings"), "changed")
 
 
+@query("renumber_apply", f"WITH {RENUMBERED.replace('SELECT doc_id, head || tail AS renumbered', 'SELECT doc_id, head || tail AS text', 1)}".replace(RENUMBERED[RENUMBERED.index(", array_to_string(list_concat(early"):RENUMBERED.index("FROM v JOIN head")], " "))
+def renumber_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manuscripts as files, renumbered in place, and read again."""
+    folder = storage.shared_folder(spark)
+    path = F.concat(F.lit(f"{folder}/m"), F.col("doc_id").cast("string"), F.lit(".md"))
+    writers.replace_texts(ms(spark, sf_dir).withColumn("path", path), folder)
+    files, place = storage.hadoop_path(spark, folder)
+    files.deleteOnExit(place)
+    texts = lambda: spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    writers.renumber_files(texts(), folder)
+    return texts().select(F.regexp_extract("path", r"/m(\d+)\.md$", 1).cast("long").alias("doc_id"), "text")
+
+
 def _floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.check_floats(segments.split_manuscript(ms(spark, sf_dir)))
 
