@@ -68,3 +68,31 @@ def test_references_without_doi_are_spread(spark):
     known = spark.createDataFrame([("s", 0, d, "t", ["x"], 1, "v", "p") for d in ("10.1/a", None, "")], records.RECORD)
     got = records.resolve(rows, known).groupBy("source").count().collect()
     assert sorted(tuple(r) for r in got) == [("", 30), ("s", 10)]
+
+
+def test_broken_files_are_rows_and_no_failed_job(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "good.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>Salt</w:t></w:p>")
+    with zipfile.ZipFile(tmp_path / "other.docx", "w") as z:
+        z.writestr("mimetype", "x")
+    (tmp_path / "cut.docx").write_bytes((tmp_path / "good.docx").read_bytes()[:40])
+    got = {r["doc_id"].rpartition("/")[2]: (r["xml"], r["error"]) for r in word.load(spark, f"{tmp_path}/*.docx").collect()}
+    assert got.pop("good.docx") == ("<w:p><w:t>Salt</w:t></w:p>", None)
+    assert set(got) == {"other.docx", "cut.docx"} and all(x is None and e for x, e in got.values())
+    rows = spark.createDataFrame([("a.json", '[{"id": "x", "title": "T"}]'), ("b.json", '[{"id"'), ("c.bib", "@article{k, title = {A}"), ("d.json", "3")], "path string, text string")
+    found = {(r["path"], r["key"], r["error"] is None) for r in bibliography.parse(rows, errors=True).collect()}
+    assert found == {("a.json", "x", True), ("b.json", None, False), ("d.json", None, False)}
+
+
+def test_bibtex_values(spark):
+    text = """@string{j = {Journal}} stray } brace
+@Article{k1, Title = "The " # {{LiF} salt} # " melt", author={Berg, Ana and Bo Kole and others}, year = 2001 , pages="3--9", title2 = x}
+@comment{ @book{in, title = {Inside}} }
+@book{k2}
+@misc(k3, title={no})
+@article{open, title = {never closed
+@article{k4, title = {Last}, title = {Wins}, , doi = {10.1000/X}, 7 = broken, volume = {9}}"""
+    got = {r["key"]: (r["title"], r["authors"], r["year"], r["doi"], r["volume"], r["first_page"], r["truncated"]) for r in bibliography.parse(spark.createDataFrame([("a.bib", text)], "path string, text string")).collect()}
+    assert got == {"k1": ("The LiF salt melt", ["Ana Berg", "Bo Kole"], 2001, None, None, "3", True), "in": ("Inside", [], None, None, None, None, False), "k2": ("", [], None, None, None, None, False), "k4": ("Wins", [], None, "10.1000/X", None, None, False)}
