@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +50,38 @@ def missing(readmes: DataFrame, files: DataFrame) -> DataFrame:
     return by_path.unionByName(by_name).select("repo_id", "token", "ord", F.when(F.col("strong"), "dangling").otherwise("mentioned").alias("kind"))
 
 
+#: Files of a project that one automaton looks for.
+NAMES = 10_000
+
+
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """repo_id and paths of the files of which a README holds neither path nor name: one pass over
+    its text for all names of a block."""
+    import ahocorasick
+
+    for batch in batches:
+        at, paths = [], []
+        for i, (files, text) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            names = files.as_py()
+            made = ahocorasick.Automaton()
+            for f in names:
+                made.add_word(f["path"], f["path"])
+                made.add_word(f["name"], f["name"])
+            made.make_automaton()
+            seen = {word for _, word in made.iter(text.as_py() or "")}
+            left = [f["path"] for f in names if f["path"] not in seen and f["name"] not in seen]
+            at += [i] * len(left)
+            paths += left
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string())], ["repo_id", "rel_path"])
+
+
 def uncatalogued(readmes: DataFrame, files: DataFrame) -> DataFrame:
-    """repo_id, rel_path: artifacts that the README, if there is one, does not hold."""
-    rows = files.filter(is_artifact(F.col("rel_path"))).join(readmes.select("repo_id", "readme_text"), "repo_id", "left")
-    text = F.coalesce(F.col("readme_text"), F.lit(""))
-    return rows.filter(~F.contains(text, F.col("rel_path")) & ~F.contains(text, basename(F.col("rel_path")))).select("repo_id", "rel_path").distinct()
+    """repo_id, rel_path: artifacts that the README, if there is one, does not hold. Files meet their
+    README in blocks of about :data:`NAMES`, so its text is read once a block and copied to no file;
+    a project with very many files is many blocks."""
+    rows = files.filter(is_artifact(F.col("rel_path")) & F.col("repo_id").isNotNull()).select("repo_id", "rel_path").distinct()
+    blocks = rows.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / NAMES).cast("int").alias("_n"))
+    dealt = rows.join(blocks, "repo_id").groupBy("repo_id", F.pmod(F.xxhash64("rel_path"), F.col("_n")).alias("_b"))
+    held = dealt.agg(F.collect_list(F.struct(F.col("rel_path").alias("path"), basename(F.col("rel_path")).alias("name"))).alias("files"))
+    met = held.join(readmes.select("repo_id", "readme_text"), "repo_id", "left").select("repo_id", "files", "readme_text")
+    return met.mapInArrow(_left_over, rows.schema).distinct()

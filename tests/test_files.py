@@ -96,3 +96,20 @@ def test_bibtex_values(spark):
 @article{k4, title = {Last}, title = {Wins}, , doi = {10.1000/X}, 7 = broken, volume = {9}}"""
     got = {r["key"]: (r["title"], r["authors"], r["year"], r["doi"], r["volume"], r["first_page"], r["truncated"]) for r in bibliography.parse(spark.createDataFrame([("a.bib", text)], "path string, text string")).collect()}
     assert got == {"k1": ("The LiF salt melt", ["Ana Berg", "Bo Kole"], 2001, None, None, "3", True), "in": ("Inside", [], None, None, None, None, False), "k2": ("", [], None, None, None, None, False), "k4": ("Wins", [], None, "10.1000/X", None, None, False)}
+
+
+def test_names_that_a_readme_does_not_hold(spark, monkeypatch):
+    """Against the plain test of each file, in one block and in several."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"run{i}.py" for i in range(30)] + ["a b.csv", "é.json", "code/run3.py", "x.txt", "Run1.py"]
+    texts = {i: None if i == 3 else " ".join(rng.choices(words, k=12)) + " xrun5.py run7.pyc" for i in range(6)}
+    files = [(i, rng.choice(["", "code/", "deep/er/"]) + rng.choice(words)) for i in range(8) for _ in range(25)]
+    rows, readmes = spark.createDataFrame(files, "repo_id int, rel_path string"), spark.createDataFrame(list(texts.items()), "repo_id int, readme_text string")
+    want = {(i, f) for i, f in files if f.endswith((".py", ".csv", ".json")) and f not in (texts.get(i) or "") and f.rpartition("/")[2] not in (texts.get(i) or "")}
+    for names in (10_000, 4):
+        monkeypatch.setattr(manifest, "NAMES", names)
+        got = [tuple(r) for r in manifest.uncatalogued(readmes, rows).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert manifest.uncatalogued(readmes, rows.limit(0)).count() == 0
