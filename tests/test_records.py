@@ -63,8 +63,10 @@ def test_live_registry_is_asked_once(spark):
 
 def test_entry_audit(spark, registry):
     entries = [(1, 0, "Muller A., A study of Li 7 garnets, 2020"), (1, 1, "Rossi, Other work, doi 10.1000/B."), (1, 2, "Garnets study by someone else, 1999"), (1, 3, "https://doi.org/10.9000/none"), (1, 4, "10.1000/A"), (1, 201, "beyond the cap, not seen")]
-    got = {r["ord"]: r["verdict"] for r in records.audit_entries(spark.createDataFrame(entries, "doc_id int, ord int, entry string"), registry).collect()}
-    assert got == {0: "match", 1: "match", 2: "check", 3: "no-match", 4: "match"}
+    rows = spark.createDataFrame(entries, "doc_id int, ord int, entry string")
+    first = {0: "match", 1: "match", 2: "check", 3: "no-match", 4: "match"}
+    assert {r["ord"]: r["verdict"] for r in records.audit_entries(rows, registry, most=200).collect()} == first
+    assert {r["ord"]: r["verdict"] for r in records.audit_entries(rows, registry).collect()} == {**first, 201: "no-match"}
 
 
 def test_every_entry_of_a_long_list_is_judged(spark, monkeypatch):
@@ -162,4 +164,6 @@ def test_arrivals(spark, tmp_path):
 def test_zipped_bytes_without_a_document(spark):
     data = io.BytesIO()
     zipfile.ZipFile(data, "w").close()
-    assert spark.createDataFrame([(None,)], "content binary").select(word._document("content").alias("x")).first()["x"] is None
+    rows = spark.createDataFrame([(0, None), (1, data.getvalue())], "i int, content binary").select("i", word._document("content").alias("x")).select("i", "x.*")
+    none, empty = sorted(rows.collect())
+    assert (none["xml"], none["error"]) == (None, None) and empty["xml"] is None and "KeyError" in empty["error"]
