@@ -29,25 +29,34 @@ def is_artifact(path: Column) -> Column:
     return _suffix(path).isin(*SUFFIXES) & ~F.lower(basename(path)).isin(*SETUP) & ~stem.endswith("_results")
 
 
-def referenced(readme: Column) -> Column:
-    """Paths that a README names: in backticks, then inside fenced blocks; distinct, in order."""
+def _mentions(readme: Column) -> Column:
+    """Names in backticks, then those inside fenced blocks, as often as they stand there."""
     quoted = F.regexp_extract_all(readme, F.lit(f"`({_TOKEN})`"), F.lit(1))
     fenced = F.flatten(F.transform(F.regexp_extract_all(readme, F.lit(_FENCE), F.lit(0)), lambda b: F.regexp_extract_all(b, F.lit(_TOKEN), F.lit(0))))
-    return F.array_distinct(F.filter(F.concat(quoted, fenced), lambda t: _suffix(t).isin(*SUFFIXES)))
+    return F.when(F.contains(readme, F.lit("```")), F.concat(quoted, fenced)).otherwise(quoted)
+
+
+def referenced(readme: Column) -> Column:
+    """Paths that a README names: in backticks, then inside fenced blocks; distinct, in order."""
+    return F.array_distinct(F.filter(_mentions(readme), lambda t: _suffix(t).isin(*SUFFIXES)))
 
 
 def missing(readmes: DataFrame, files: DataFrame) -> DataFrame:
-    """repo_id, token, ord, kind: names without a file. ``dangling`` if the name has
+    """repo_id, token, ord, kind, n: names without a file, by their first mention, and how often the
+    README has each. ``dangling`` if the name has
     a folder or stands in a fenced block, else ``mentioned``. A name with a folder
     needs that path, a bare one any file of that name. readmes: repo_id,
     readme_text; files: repo_id, rel_path."""
     text = F.coalesce(F.col("readme_text"), F.lit(""))
+    named = readmes.select("repo_id", F.posexplode(_mentions(text)).alias("ord", "token")).filter(_suffix(F.col("token")).isin(*SUFFIXES))
+    named = named.groupBy("repo_id", "token").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    # a name with a folder equals paths alone, a bare one names alone
+    there = files.select("repo_id", F.explode(F.array("rel_path", basename(F.col("rel_path")))).alias("token")).distinct()
+    gone = named.join(there, ["repo_id", "token"], "left_anti")
     code = F.array_join(F.regexp_extract_all(text, F.lit(_FENCE), F.lit(0)), "\n")
-    named = readmes.select("repo_id", code.alias("_code"), F.posexplode(referenced(text)).alias("ord", "token"))
-    named = named.withColumn("strong", F.contains("token", F.lit("/")) | F.contains("_code", F.col("token")) | F.contains("_code", basename(F.col("token")))).drop("_code")
-    by_path = named.filter(F.contains("token", F.lit("/"))).join(files.select("repo_id", F.col("rel_path").alias("token")).distinct(), ["repo_id", "token"], "left_anti")
-    by_name = named.filter(~F.contains("token", F.lit("/"))).join(files.select("repo_id", basename(F.col("rel_path")).alias("token")).distinct(), ["repo_id", "token"], "left_anti")
-    return by_path.unionByName(by_name).select("repo_id", "token", "ord", F.when(F.col("strong"), "dangling").otherwise("mentioned").alias("kind"))
+    fenced = readmes.filter(F.contains(text, F.lit("```"))).select("repo_id", code.alias("_code")).filter("_code <> ''")
+    strong = F.contains("token", F.lit("/")) | F.contains("_code", F.col("token")) | F.contains("_code", basename(F.col("token")))
+    return gone.join(fenced, "repo_id", "left").select("repo_id", "token", "ord", F.when(strong, "dangling").otherwise("mentioned").alias("kind"), "n")
 
 
 #: Files of a project that one automaton looks for.
