@@ -78,3 +78,21 @@ def test_entries_are_all_judged(spark):
     assert len(got) == 255 and all(got[1, i] == ("match", "Flows of salt in pores") for i in range(250))
     assert [got[2, i] for i in range(5)] == [("check", "Melts of glass"), ("no-match", None), ("match", "Melts of glass"), ("no-match", None), ("no-match", "Melts of glass")]
     assert records.audit_entries(df, spark.createDataFrame(rows, REG), most=200).count() == 205
+
+
+def test_equal_sets_of_words_are_one_posting_and_one_question(spark, tmp_path, monkeypatch):
+    """Copies of a title under other DOIs and entries of the same words do not meet in pairs."""
+    rows = [("s", 0, f"10.1000/{i:04}", f"Study of {'the ' * (i % 3)}salts", ["A B"], 2000, None, None) for i in range(300)]
+    index = search.build(spark.createDataFrame(rows, REG), f"file://{tmp_path}/index")
+    assert index.blocks.select(F.explode("postings")).count() == 2
+    sizes, put = {}, storage.Scratch.put
+
+    def kept(self, name, *rest):
+        out = put(self, name, *rest)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(storage.Scratch, "put", kept)
+    entries = spark.createDataFrame([(i, 0, f"{i} on salts and study") for i in range(400)], "doc_id long, ord int, entry string")
+    assert {(r["share"], r["doi"]) for r in search.search(entries, index).collect()} == {(1.0, "10.1000/0002")}
+    assert (sizes["state0"], sizes["state1"]) == (1, 1)
