@@ -99,24 +99,35 @@ def _sentences(prose: Column, limit: int = 40) -> Column:
     return F.flatten(F.transform(F.split(prose, "\n", -1), lambda line, i: F.when(F.length(line) > 2 * limit, of(line, i)).otherwise(F.array().cast(_ARRAY))))
 
 
-def findings(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), journal: Journal | None = None, rules: dict | None = None) -> DataFrame:
-    """keys and the columns of :data:`FINDING`, of all checks, by one read of ``df``."""
+def findings(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), journal: Journal | None = None, rules: dict | None = None, severity: str | None = None, apart: bool = False) -> DataFrame:
+    """keys and the columns of :data:`FINDING`, of all checks, by one read of ``df``. With a ``severity``
+    rules over lines of any other are not run, and findings of any other left out;
+    ``apart`` as in ``wording.INITIAL``."""
     body = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     parts = _whole(split_manuscript(body, "_t"), "_t", journal, rules)
-    parts = parts.select(*keys, "_t", F.concat("_whole", _sentences(F.col("prose"))).alias("_whole"), F.size(lines(F.col("prose"))).alias("_n"))
+    asked = lambda s: severity in (None, s)
+    whole = F.concat("_whole", _sentences(F.col("prose"))) if asked("warning") else F.col("_whole")
+    whole = F.filter(whole, lambda f: f["severity"] == severity) if severity else whole
+    parts = parts.select(*keys, "_t", whole.alias("_whole"), F.size(lines(F.col("prose"))).alias("_n"))
     one = "struct<line:int,t:string>"
     units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.lit(None).cast("string").alias("t")).cast(one)), F.transform(lines(F.col("_t")), lambda t, i: F.struct(i.alias("line"), t.alias("t")).cast(one)))
     rows = parts.select(*keys, "_n", F.explode(units).alias("u"), "_whole").select(*keys, "_n", "u.line", F.col("u.t").alias("_l"), F.when(F.col("u.line") < 0, F.col("_whole")).alias("_whole"))
     variant = journal.spelling if journal else "American"
-    typo, rest = [r for r in wording.TYPOGRAPHY if r[0] == 0], [r for r in wording.TYPOGRAPHY if r[0]]
-    low, at = F.lower(F.upper(F.col("_l"))), F.col("line") + 1
+    chosen = lambda rules: wording._chosen(rules, None, severity)
+    typo, rest = (chosen([r for r in wording.TYPOGRAPHY if (r[0] == 0) == first]) for first in (True, False))
+    wordy = chosen(wording.editorial_rules(variant, apart))
+    low, at = F.col("_low"), F.col("line") + 1
+    # lines on which no rule can match go before any rule is tried
+    mixes = wording.mixes_units(F.col("_l")) if asked("warning") else F.lit(False)
+    rows = rows.withColumn("_low", F.lower(F.upper(F.col("_l")))).filter((F.col("line") < 0) | wording.may_match(F.col("_l"), [*typo, *rest, *wordy], low) | (F.contains(F.col("_l"), F.lit("K")) & mixes))
 
     def named(check: str, found: Column) -> Column:
         return F.transform(found, lambda x: _finding(check, x["kind"], x["severity"], x["token"], "", line=at, rule=x["rule"], part=x["part"], pos=x["pos"], suggestion=x["suggestion"], snippet=x["snippet"]))
 
-    mixed = F.when(wording.mixes_units(F.col("_l")), F.array(_finding("editorial", "unit-mix", "warning", "degC + K", "", line=at, rule=7, suggestion=wording.ONE_UNIT, snippet=F.substring(wording.trimmed(F.col("_l")), 1, 60)))).otherwise(F.array().cast(_ARRAY))
-    warned = F.concat(named("typography", wording.line_issues(F.col("_l"), rest, low)), named("editorial", wording.line_issues(F.col("_l"), wording.editorial_rules(variant), low)), mixed)
-    every = F.when(F.col("line") < 0, F.col("_whole")).otherwise(F.concat(named("typography", wording.line_issues(F.col("_l"), typo, low)), F.when(F.col("line") < F.col("_n"), warned).otherwise(F.array().cast(_ARRAY))))
+    mixed = F.when(F.contains(F.col("_l"), F.lit("K")) & mixes, F.array(_finding("editorial", "unit-mix", "warning", "degC + K", "", line=at, rule=7, suggestion=wording.ONE_UNIT, snippet=F.substring(wording.trimmed(F.col("_l")), 1, 60)))).otherwise(F.array().cast(_ARRAY))
+    issues = lambda check, chosen: named(check, wording.line_issues(F.col("_l"), chosen, low)) if chosen else F.array().cast(_ARRAY)
+    warned = F.concat(issues("typography", rest), issues("editorial", wordy), mixed)
+    every = F.when(F.col("line") < 0, F.col("_whole")).otherwise(F.concat(issues("typography", typo), F.when(F.col("line") < F.col("_n"), warned).otherwise(F.array().cast(_ARRAY))))
     return rows.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
 
 
