@@ -64,9 +64,14 @@ def _in_blocks(rows: Column) -> Column:
 FEW = 64
 
 
+def positions(rows: Column) -> Column:
+    """The matches of a text that :func:`cut` has cut, with their places; ``rows`` is used often, so let it be a name."""
+    return F.when(F.size(rows) <= FEW, _placed(rows, F.lit(0))).otherwise(_in_blocks(rows))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array<struct<start, end, m>>; empty for null."""
-    found = let(cut(text, pattern), lambda rows: F.when(F.size(rows) <= FEW, _placed(rows, F.lit(0))).otherwise(_in_blocks(rows)))
+    found = let(cut(text, pattern), positions)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
