@@ -35,10 +35,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def put(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
+    def put(self, name: str, df: DataFrame, *partition_by: str, compression: str | None = None) -> DataFrame:
         path = shared_folder(self.spark)
         try:
-            df.write.parquet(path, partitionBy=list(partition_by))
+            df.write.parquet(path, partitionBy=list(partition_by), compression=compression)
         finally:
             files, place = hadoop_path(self.spark, path)
             files.deleteOnExit(place)

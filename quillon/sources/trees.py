@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import located
+
 # Folders that are never looked into.
 PRUNED = (".git", "node_modules", "__pycache__", ".venv", "venv", "artifacts")
 # Names of a README, best first.
@@ -49,3 +53,33 @@ def manuscripts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path) and text of plain files; line ends become \\n."""
     rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+
+
+#: Bytes of texts that are handed on together.
+BYTES = 4 << 20
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def handed_on(paths: list[str], read: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([r.decode() for r in read], pa.string())], ["path", "text"])
+
+    for batch in batches:
+        paths, read, size = [], [], 0
+        for path in batch.column(0).to_pylist():
+            files, place = located(path)
+            with files.open_input_stream(place, compression=None) as source:
+                read.append(source.read())
+            paths.append(path)
+            size += len(read[-1])
+            if size >= BYTES:
+                yield handed_on(paths, read)
+                paths, read, size = [], [], 0
+        if paths:
+            yield handed_on(paths, read)
+
+
+def texts(paths: DataFrame) -> DataFrame:
+    """path and text of the files that a table names in ``path``, read where its rows are: many small
+    files are neither listed by the driver nor a task for every few of them. An empty file is
+    an empty text; a null path has no row; a file that is not there, or no UTF-8, raises."""
+    return paths.filter("path IS NOT NULL").select("path").mapInArrow(_texts, "path string, text string")

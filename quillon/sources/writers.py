@@ -1,17 +1,17 @@
 """One text file a document, replaced whole or not at all.
 
-1. Tasks write new texts under names of their own into a folder of this run, beside the
-   files, and return a row for each; Spark commits these rows as the run's manifest. What a
-   lost or repeated attempt wrote is in no manifest.
-2. Tasks move the files of the manifest to where they belong. A move replaces a file at once; a
-   task that is run again finds what it moved already by its digest. Whoever reads a
-   file meanwhile reads the old text or the new one.
+1. New texts are written to a table of this run, compressed; Spark commits it. What a lost or
+   repeated attempt wrote is not in it.
+2. Tasks write the texts of that table beside the files, some at a time, under names of the attempt's
+   own, and move them to where they belong. A move replaces a file at once; a task that is run
+   again writes the same texts again. Whoever reads a file meanwhile reads the old text or the new one.
 
 Run again after a failure, :func:`replace_texts` writes all that is still to be written. The
 folder of the run goes at the end, with what lost attempts left in it.
 
 Defined results: a null path is not written; a null text is an empty file; of rows with the
-same path the first by text is written; folders that are missing are made.
+same path the first by text is written; folders that are missing are made. Texts are shuffled
+only where a path has several rows.
 """
 
 from __future__ import annotations
@@ -29,18 +29,20 @@ from ..functions.storage import Scratch, hadoop_path, located
 from ..operators import numbering
 
 MANIFEST = "path string, staged string, digest string, bytes long"
+#: Files of a task that are on their way at a time: they take room beside those they replace.
+AT_A_TIME = 256
 
 
 def _staged(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     files, base = located(folder)
-    for batch in batches:
-        rows = []
-        for path, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data, name = (text.as_py() or "").encode(), uuid.uuid4().hex
-            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(data)
-            rows.append((path, f"{folder}/{name}", hashlib.sha256(data).hexdigest(), len(data)))
-        if rows:
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_A_TIME):
+            batch, rows = whole.slice(at, AT_A_TIME), []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, name = (text.as_py() or "").encode(), uuid.uuid4().hex
+                with files.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(data)
+                rows.append((path, f"{folder}/{name}", hashlib.sha256(data).hexdigest(), len(data)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "staged", "digest", "bytes"])
 
 
@@ -68,22 +70,25 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def replace_texts(rows: DataFrame, folder: str, path: str = "path", text: str = "text") -> DataFrame:
-    """Writes ``text`` to each ``path``; ``folder`` holds staged files meanwhile and must be
+    """Writes ``text`` to each ``path``; ``folder`` holds files on their way and must be
     on the file system of the paths. The manifest (path, digest, bytes) of what was written."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     stage = f"{folder.rstrip('/')}/.staged-{uuid.uuid4().hex}"
     files, place = hadoop_path(spark, stage)
     files.mkdirs(place)
     try:
-        one = rows.filter(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.min(F.coalesce(text, F.lit(""))).alias("text"))
+        given = rows.filter(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text"))
+        texts = scratch.put("texts", given, compression="zstd")
+        often = scratch.put("often", texts.groupBy("path").count().filter("count > 1").select("path"))
+        first = texts.join(often, "path", "left_semi").groupBy("path").agg(F.min("text").alias("text"))
+        one = texts.join(often, "path", "left_anti").unionByName(first)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _staged(stage, batches)
+            return _moved(_staged(stage, batches))
 
-        manifest = scratch.put("manifest", one.mapInArrow(run, MANIFEST))
-        done = scratch.put("done", manifest.mapInArrow(_moved, MANIFEST))
-        scratch.drop("manifest")
-        return done.drop("staged")
+        done = scratch.put("done", one.mapInArrow(run, MANIFEST).drop("staged"))
+        scratch.drop("texts", "often")
+        return done
     finally:
         files.delete(place, True)
 

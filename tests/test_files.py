@@ -2,6 +2,8 @@
 
 import os
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import manifest, records
@@ -113,3 +115,18 @@ def test_names_that_a_readme_does_not_hold(spark, monkeypatch):
         got = [tuple(r) for r in manifest.uncatalogued(readmes, rows).collect()]
         assert set(got) == want and len(got) == len(want)
     assert manifest.uncatalogued(readmes, rows.limit(0)).count() == 0
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"{i}.md").write_text("" if i == 7 else f"é\r\ntext {i}\n", newline="")
+    names = spark.range(300).select(F.concat(F.lit(f"file://{tmp_path}/"), F.col("id").cast("string"), F.lit(".md")).alias("path")).union(spark.createDataFrame([(None,)], "path string")).coalesce(2)
+    read = trees.texts(names)
+    assert read.rdd.getNumPartitions() == 2
+    want = {f"file://{tmp_path}/{i}.md": "" if i == 7 else f"é\r\ntext {i}\n" for i in range(300)}
+    assert {r["path"]: r["text"] for r in read.collect()} == want
+    monkeypatch.setattr(trees, "BYTES", 40)  # texts are handed on in parts
+    parts = list(trees._texts(iter([pa.RecordBatch.from_arrays([pa.array(sorted(want))], ["path"])])))
+    assert len(parts) > 50 and {k: v for p in parts for k, v in zip(*p.to_pydict().values(), strict=True)} == want
+    with pytest.raises(Exception, match="(?i)no such file|not.*found"):
+        trees.texts(names.limit(1).select(F.concat("path", F.lit("x")).alias("path"))).collect()

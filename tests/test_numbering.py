@@ -78,6 +78,15 @@ def test_renumber(spark):
     assert spark.range(1).select(N.collapse(F.array(*[F.lit(n) for n in (5, 1, 2, 3, 3, 8, 9)])).alias("x")).first()["x"] == "1-3,5,8,9"
 
 
+def test_a_filter_on_changed_searches_no_text_again(spark):
+    texts = spark.createDataFrame([("Introduction\nA [3], B [1].\nReferences\n[1] one\n[3] three",), ("Introduction\nA [1].",)], "text string")
+    out = N.renumber(texts).select("renumbered", "changed")
+    only = out.filter("changed")
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert searches(only) == searches(out) > 0
+    assert [r["renumbered"] for r in only.collect()] == ["Introduction\nA [1], B [2].\nReferences\n[1] three\n[2] one"]
+
+
 def test_entries(one):
     assert one("\n1. First entry that is\n long enough here.\n[2] Second entry that is long too.\n(3) Third entry is long enough, yes.\n4. short", S.entries) == ["First entry that is long enough here.", "Second entry that is long too.", "Third entry is long enough, yes."]
     assert len(one("One entry long enough to be kept.\n\nTwo entries long enough to keep.\n\nThree entries long enough to go.", S.entries)) == 3

@@ -125,3 +125,20 @@ def test_a_failed_task_leaves_old_texts_or_new_ones(spark, tmp_path, monkeypatch
     # a move that is made twice is made once
     batch = __import__("pyarrow").RecordBatch.from_pylist([{"path": f"file://{tmp_path}/0.txt", "staged": f"file://{tmp_path}/gone", "digest": __import__("hashlib").sha256(b"new 0.txt").hexdigest(), "bytes": 9}])
     assert len(list(writers._moved(iter([batch])))) == 1
+
+
+def test_texts_that_are_written_are_not_shuffled(spark, tmp_path, monkeypatch):
+    plans, put = [], writers.Scratch.put
+
+    def seen(self, name, df, *by, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, name, df, *by, **how)
+
+    monkeypatch.setattr(writers.Scratch, "put", seen)
+    monkeypatch.setattr(writers, "AT_A_TIME", 2)
+    rows = [(f"file://{tmp_path}/{n}.txt", t) for n, t in (("a", "z"), ("a", "b"), ("a", None), ("b", "é"), ("b", "é"), ("c", "x"), ("d", "y"), ("e", "w"))]
+    done = writers.replace_texts(spark.createDataFrame(rows, "path string, text string"), f"file://{tmp_path}")
+    assert {r["path"][-5]: r["bytes"] for r in done.collect()} == {"a": 0, "b": 2, "c": 1, "d": 1, "e": 1}
+    assert [(tmp_path / f"{n}.txt").read_text() for n in "abcde"] == ["", "é", "x", "y", "w"]
+    assert len(plans) == 3 and "Exchange" not in plans[0] and "text" not in plans[1]
+    assert not [p for p in os.listdir(tmp_path) if p.startswith(".staged")]
