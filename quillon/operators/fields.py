@@ -9,20 +9,15 @@ from pyspark.sql import functions as F
 from . import records
 
 
-def printed(citations: DataFrame) -> DataFrame:
-    """doc_id, key, numbers. A citation with as many numbers as keyed items maps
-    them by place; any other gives all its numbers to each of its items."""
-    keyed = citations.withColumn("k", F.filter(F.transform("items", lambda i: i["key"]), lambda k: k != ""))
-    pairs = F.when(F.size("k") == F.size("numbers"), F.arrays_zip(F.col("k").alias("key"), F.col("numbers").alias("n"))).otherwise(F.flatten(F.transform("k", lambda k: F.transform("numbers", lambda n: F.struct(k.alias("key"), n.alias("n"))))))
-    rows = keyed.select("doc_id", F.explode(pairs).alias("p"))
-    return rows.groupBy("doc_id", F.col("p.key").alias("key")).agg(F.array_sort(F.collect_set("p.n")).alias("numbers"))
-
-
 def items(citations: DataFrame) -> DataFrame:
-    """doc_id, key, item, number: keyed items by first appearance; the data of the
-    first mention holds."""
-    rows = citations.select("doc_id", "ord", F.posexplode("items").alias("i", "x")).filter("x.key <> ''")
-    first = rows.groupBy("doc_id", F.col("x.key").alias("key")).agg(F.min(F.struct("ord", "i")).alias("at"), F.min_by("x.item", F.struct("ord", "i")).alias("item"))
+    """doc_id, key, item, numbers, number: keyed items by first appearance; the data of the
+    first mention holds. A citation with as many numbers as keyed items maps them by
+    place; any other gives all its numbers to each of its items. One shuffle, by document."""
+    keyed = F.filter(F.col("items"), lambda i: i["key"] != "")
+    rows = citations.select("doc_id", "ord", "numbers", keyed.alias("k")).repartition("doc_id").select("doc_id", "ord", "numbers", F.size("k").alias("n"), F.posexplode("k").alias("i", "x"))
+    own = F.when(F.col("n") == F.size("numbers"), F.slice("numbers", F.col("i") + 1, F.lit(1))).otherwise(F.col("numbers"))
+    at = F.struct("ord", "i")
+    first = rows.groupBy("doc_id", F.col("x.key").alias("key")).agg(F.min(at).alias("at"), F.min_by("x.item", at).alias("item"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("numbers"))
     return first.withColumn("number", F.row_number().over(W.partitionBy("doc_id").orderBy("at"))).drop("at")
 
 
@@ -31,9 +26,7 @@ def audit(citations: DataFrame, registry: DataFrame, reference) -> tuple[DataFra
     ``item`` into reference columns. References carry canonical number, metadata
     status and issues, printed numbers and number_ok; numbering has a row per
     document with missing and extra numbers and the overall status."""
-    known = items(citations)
-    checked = records.check(reference(known), registry)
-    refs = checked.join(printed(citations).withColumnRenamed("key", "item_key"), ["doc_id", "item_key"], "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<int>")))
+    refs = records.check(reference(items(citations)), registry)
     refs = refs.withColumn("number_ok", (F.size("numbers") == 0) | (F.col("numbers") == F.array("number")))
     refs = refs.select("doc_id", F.col("number").alias("canonical_number"), "item_key", "title", "doi", F.col("status").alias("metadata_status"), F.col("issues").alias("metadata_issues"), "source", F.col("numbers").alias("printed_numbers"), "number_ok")
     docs = refs.groupBy("doc_id").agg(F.max("canonical_number").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("printed_numbers")))).alias("seen"), F.bool_or(F.col("metadata_status").isin("suspect", "broken") | ~F.col("number_ok")).alias("bad"))

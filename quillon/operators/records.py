@@ -117,7 +117,11 @@ def _author_issues(cited: pd.Series, record: pd.Series, cut: pd.Series) -> pd.Se
 
 def author_issues(cited: Column, record: Column, truncated: Column) -> Column:
     """Issues of two author lists; lists that are equal once folded need no look."""
-    a, b = T.norm_each(F.coalesce(cited, F.array().cast("array<string>"))), T.norm_each(F.coalesce(record, F.array().cast("array<string>")))
+    return _name_issues(T.norm_each(F.coalesce(cited, F.array().cast("array<string>"))), T.norm_each(F.coalesce(record, F.array().cast("array<string>"))), truncated)
+
+
+def _name_issues(a: Column, b: Column, truncated: Column) -> Column:
+    """:func:`author_issues` of lists that are folded already."""
     open_ = a != b
     return F.coalesce(_author_issues(F.when(open_, a), F.when(open_, b), F.coalesce(truncated, F.lit(False))), F.array().cast("array<string>"))
 
@@ -126,8 +130,8 @@ def some(c: Column, none) -> Column:
     return F.nullif(c, F.lit(none))
 
 
-def field_issues(title_threshold: float = TITLE) -> Column:
-    """Title, year, volume and first page of columns beside ``record``."""
+def field_issues(same_title: Column) -> Column:
+    """Title, which is the record's or not, year, volume and first page of columns beside ``record``."""
     r = lambda f: F.col(f"record.{f}")
     year, theirs = some(F.col("year"), 0), some(r("year"), 0)
     volume, vol = some(F.col("volume"), ""), some(r("volume"), "")
@@ -135,7 +139,7 @@ def field_issues(title_threshold: float = TITLE) -> Column:
     text = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
     return F.array_compact(
         F.array(
-            F.when(~T.similar(T.norm(F.col("title")), T.norm(r("title")), title_threshold), text('title of the record: "', T.plain(r("title")), '"')),
+            F.when(~same_title, text('title of the record: "', T.plain(r("title")), '"')),
             F.when(F.abs(year - theirs) > 1, text("year ", year, ", record ", theirs)),
             F.when(T.volume_key(volume) != T.volume_key(vol), F.when(volume.isNotNull() & vol.isNotNull(), text("volume ", volume, ", record ", vol))),
             F.when(T.first_page(page) != T.first_page(first), F.when(page.isNotNull() & first.isNotNull(), text("first page ", page, ", record ", first))),
@@ -145,8 +149,13 @@ def field_issues(title_threshold: float = TITLE) -> Column:
 
 def verify(resolved: DataFrame, title_threshold: float = TITLE) -> DataFrame:
     """Adds ``issues`` and ``status`` (ok, suspect) to rows that have a record."""
-    rows = resolved.withColumn("_fields", field_issues(title_threshold)).withColumn("_names", author_issues(F.col("authors"), F.col("record.authors"), F.col("truncated")))
-    rows = rows.withColumn("issues", F.concat("_fields", "_names")).drop("_fields", "_names")
+    # folded once, as columns: each is used several times
+    known, none = F.col("record").isNotNull(), F.array().cast("array<string>")
+    rows = resolved.withColumns({"_title": T.norm(F.when(known, F.col("title"))), "_theirs": T.norm(F.col("record.title"))})
+    rows = rows.withColumns({"_cited": T.norm_each(F.coalesce(F.when(known, F.col("authors")), none)), "_listed": T.norm_each(F.coalesce("record.authors", none))})
+    rows = rows.withColumn("_same", T.similar(F.col("_title"), F.col("_theirs"), title_threshold))
+    rows = rows.withColumn("_fields", field_issues(F.col("_same"))).withColumn("_names", _name_issues(F.col("_cited"), F.col("_listed"), F.col("truncated")))
+    rows = rows.withColumn("issues", F.concat("_fields", "_names")).drop("_fields", "_names", "_title", "_theirs", "_cited", "_listed", "_same")
     return rows.withColumn("status", F.when(F.size("issues") == 0, "ok").otherwise("suspect"))
 
 

@@ -151,6 +151,17 @@ def test_managed_citations(spark, registry):
     assert (r["missing"], r["extra"], r["status"]) == ([3], [5], "suspect")
 
 
+def test_an_audit_parses_each_document_once(spark, registry):
+    cite = lambda n, keys, numbers: (n, [{"key": k, "item": json.dumps({"title": f"{k}{n}"})} for k in keys], numbers)
+    rows = [("d", *c) for c in (cite(0, ["B", "", "A"], [2, 1]), cite(1, ["A", "C"], [3]), cite(2, ["B"], [2]), cite(3, ["E"], []))]
+    given = spark.createDataFrame(rows, "doc_id string, ord int, items array<struct<key:string,item:string>>, numbers array<int>").repartition(3)
+    refs, _ = fields.audit(given, registry, bibliography.references)
+    got = {r["item_key"]: (r["canonical_number"], r["title"], r["printed_numbers"], r["number_ok"]) for r in refs.collect()}
+    assert got == {"B": (1, "B0", [2], False), "A": (2, "A0", [1, 3], False), "C": (3, "C1", [3], True), "E": (4, "E3", [], True)}
+    refs, _ = fields.audit(word.citations(spark.createDataFrame([("d", "")], "doc_id string, xml string")), registry, bibliography.references)
+    assert refs._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 2  # documents, and items
+
+
 def test_arrivals(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("Rates of 10^6 here.\r\nmore")
